@@ -52,7 +52,7 @@ def tables() -> tuple[str, str, dict[str, str], dict[str, str], dict[str, int]]:
         if unicodedata.combining(c):
             order[c] = unicodedata.combining(c)
     jamo = {chr(c) for c in (*range(VOWEL, VOWEL + VOWELS), *range(TRAILING + 1, TRAILING + TRAILERS))}
-    extending = set(order) | {pair[1] for pair in together} | jamo
+    extending = set(order) | {c for c in apart if unicodedata.combining(apart[c][0])} | {pair[1] for pair in together} | jamo
     changing = extending | {c for c in apart if unicodedata.normalize("NFC", c) != c}
 
     def as_class(chars: set[str]) -> str:
