@@ -1,9 +1,19 @@
-"""Registered queries and their SQL twins."""
+"""Registered queries and their SQL twins, by area."""
 
+from __future__ import annotations
 
-def queries():
-    return {}
+from collections.abc import Callable
 
+from pyspark.sql import DataFrame, SparkSession
 
-def oracle_sql():
-    return {}
+from lodestar.plans import analysis_queries, corpus_queries, health_queries, search_queries
+
+AREAS = (corpus_queries, health_queries, search_queries, analysis_queries)
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {name: q for area in AREAS for name, (q, _) in area.QUERIES.items()}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {name: sql for area in AREAS for name, (_, sql) in area.QUERIES.items() if sql}
