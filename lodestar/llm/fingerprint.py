@@ -145,7 +145,9 @@ def normal_form_c(text: Column) -> Column:
 
 def canonical(text: Column) -> Column:
     """Case-folded, in form C, white space folded; null as empty."""
-    folded = F.replace(F.lower(F.upper(F.coalesce(text, F.lit("")))), F.lit("ς"), F.lit("σ"))
+    # The step between keeps the optimizer from reading lower(upper(x)) as lower(x), which would lose "ß" = "ss".
+    upper = F.replace(F.upper(F.coalesce(text, F.lit(""))), F.lit("ẞ"), F.lit("SS"))
+    folded = F.replace(F.lower(upper), F.lit("ς"), F.lit("σ"))
     return F.trim(F.regexp_replace(normal_form_c(folded), r"(?U)\s+", " "))
 
 

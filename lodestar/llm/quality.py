@@ -132,7 +132,7 @@ def with_verdicts(counts: DataFrame, hosts: DataFrame, host_col: str = "source",
 
 def quality_verdicts(docs: DataFrame, host_col: str = "source", limit: float = 0.5) -> DataFrame:
     """doc_id, the counts, base_failed, kept and host_rate for every document."""
-    counts = checkpoint(text_counts(docs).select("doc_id", host_col, *COUNTS, "base_failed"))
+    counts = checkpoint(text_counts(docs.select("doc_id", host_col, "text")).select("doc_id", host_col, *COUNTS, "base_failed"))
     return with_verdicts(counts, host_rates(counts, host_col), host_col, limit).drop(host_col)
 
 
@@ -142,6 +142,6 @@ def keep_good(docs: DataFrame, host_col: str = "source", limit: float = 0.5) ->
     The verdict is computed beside the text in a second narrow pass, so texts are
     never shuffled: only the hosts' sums are.
     """
-    hosts = host_rates(text_counts(docs).select(host_col, "base_failed"), host_col)
+    hosts = host_rates(text_counts(docs.select(host_col, "text")).select(host_col, "base_failed"), host_col)
     inner = docs.select(F.struct(*docs.columns).alias("_row"), F.col("text"), F.col(host_col).alias("_source"))
     return with_verdicts(text_counts(inner), hosts, "_source", limit).where("kept").select("_row.*")
