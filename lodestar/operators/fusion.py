@@ -5,11 +5,14 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
 from lodestar.functions import patterns as P
 from lodestar.functions import text as T
 
-BY_QUERY = Window.partitionBy("query_id")
+
+def by_query() -> WindowSpec:
+    return Window.partitionBy("query_id")
 
 
 def dedupe_max(hits: DataFrame, score: str = "score") -> DataFrame:
@@ -21,7 +24,7 @@ def dedupe_max(hits: DataFrame, score: str = "score") -> DataFrame:
 
 def minmax(hits: DataFrame, col: str = "score", out: str = "norm") -> DataFrame:
     """(x - min) / (max - min) within the query; 1 where all are equal."""
-    lo, hi = F.min(col).over(BY_QUERY), F.max(col).over(BY_QUERY)
+    lo, hi = F.min(col).over(by_query()), F.max(col).over(by_query())
     return hits.withColumn(out, F.when(hi == lo, 1.0).otherwise((F.col(col) - lo) / (hi - lo)))
 
 
@@ -87,7 +90,7 @@ def apply_downrank(hits: DataFrame, penalty: float = 0.5) -> DataFrame:
 
 
 def ranked(hits: DataFrame, out: str = "rank") -> DataFrame:
-    return hits.withColumn(out, F.row_number().over(BY_QUERY.orderBy(F.desc("score"), F.asc("chunk_id"))))
+    return hits.withColumn(out, F.row_number().over(by_query().orderBy(F.desc("score"), F.asc("chunk_id"))))
 
 
 def select_capped(hits: DataFrame, target: int, cap: int) -> DataFrame:
@@ -95,7 +98,7 @@ def select_capped(hits: DataFrame, target: int, cap: int) -> DataFrame:
     out = ranked(hits)
     within = F.row_number().over(Window.partitionBy("query_id", "document_id").orderBy("rank"))
     out = out.withColumn("tier", F.when(within <= cap, 0).otherwise(1))
-    return out.withColumn("position", F.row_number().over(BY_QUERY.orderBy("tier", "rank"))).where(F.col("position") <= target)
+    return out.withColumn("position", F.row_number().over(by_query().orderBy("tier", "rank"))).where(F.col("position") <= target)
 
 
 def is_authoritative() -> Column:
@@ -111,12 +114,12 @@ def preserve_authoritative(selected: DataFrame, hits: DataFrame, target: int) ->
     structured = F.lower("source_type").isin("xlsx", "csv")
     has = selected.groupBy("query_id").agg(F.bool_or(structured).alias("_has"), F.count("*").alias("_n"), F.max("position").alias("_last"))
     best = ranked(hits).where(structured)
-    best = best.withColumn("_r", F.row_number().over(BY_QUERY.orderBy("rank"))).where("_r = 1").drop("_r").join(has.where("NOT _has"), "query_id")
+    best = best.withColumn("_r", F.row_number().over(by_query().orderBy("rank"))).where("_r = 1").drop("_r").join(has.where("NOT _has"), "query_id")
     needed = best.select("query_id", F.when(F.col("_n") >= target, F.col("_last")).alias("_drop"))
     kept = selected.join(needed, "query_id", "left").where(F.col("_drop").isNull() | (F.col("position") != F.col("_drop"))).drop("_drop")
     added = best.withColumns({"tier": F.lit(0), "position": F.least(F.col("_n") + 1, F.lit(target)).cast("int")}).select(kept.columns)
     out = kept.unionByName(added)
-    return out.withColumn("position", F.row_number().over(BY_QUERY.orderBy("rank", "chunk_id")))
+    return out.withColumn("position", F.row_number().over(by_query().orderBy("rank", "chunk_id")))
 
 
 def interaction_tier(hits: DataFrame) -> DataFrame:

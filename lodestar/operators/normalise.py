@@ -11,11 +11,14 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
 from lodestar.functions import patterns as P
 from lodestar.functions import text as T
 
-BY_DOC = Window.partitionBy("doc_id").orderBy("pos")
+
+def by_doc() -> WindowSpec:
+    return Window.partitionBy("doc_id").orderBy("pos")
 
 
 def with_heading_stack(secs: DataFrame) -> DataFrame:
@@ -26,7 +29,7 @@ def with_heading_stack(secs: DataFrame) -> DataFrame:
     follows: a running "last" by level and a comparison of positions, no fold.
     """
     level = F.least(F.greatest(F.coalesce("level", F.lit(1)), F.lit(1)), F.lit(6))
-    before = BY_DOC.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = by_doc().rowsBetween(Window.unboundedPreceding, Window.currentRow)
     lasts = [
         F.last(F.when((F.col("type") == "heading") & (level == k), F.struct(F.col("pos").alias("at"), F.col("content").alias("title"))), ignorenulls=True).over(before)
         for k in range(1, 7)
@@ -117,7 +120,7 @@ def suppress_boilerplate(secs: DataFrame, mode: str = "rebuild", threshold: int
 
 def with_parent_heading(secs: DataFrame) -> DataFrame:
     """parent_heading: content of the nearest heading section before, in the document."""
-    earlier = BY_DOC.rowsBetween(Window.unboundedPreceding, -1)
+    earlier = by_doc().rowsBetween(Window.unboundedPreceding, -1)
     return secs.withColumn("parent_heading", F.last(F.when(F.col("section_type") == "heading", F.col("content")), ignorenulls=True).over(earlier))
 
 
@@ -130,7 +133,7 @@ def merge_tiny(secs: DataFrame, max_tokens: int = 50) -> DataFrame:
     Where a run may continue is a window comparison; the running length that ends
     it is a fold inside one document.
     """
-    w = BY_DOC
+    w = by_doc()
     tiny = (T.token_count(F.col("content")) < max_tokens) & F.col("section_type").isin(*MERGEABLE)
     marked = with_parent_heading(secs).withColumns({"_tiny": tiny, "_n": T.token_count(F.col("content"))})
     same = lambda c: F.lag(c).over(w).eqNullSafe(F.col(c))
@@ -167,10 +170,10 @@ def drop_empty_headings(secs: DataFrame) -> DataFrame:
     are counted with a running sum, so no self-join is needed.
     """
     level = F.least(F.greatest(F.coalesce("level", F.lit(1)), F.lit(1)), F.lit(6))
-    ahead = BY_DOC.rowsBetween(1, Window.unboundedFollowing)
+    ahead = by_doc().rowsBetween(1, Window.unboundedFollowing)
     heading = F.col("section_type") == "heading"
     kept = (~heading & ~F.col("retrieval_excluded")).cast("int")
-    so_far = F.sum(kept).over(BY_DOC.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    so_far = F.sum(kept).over(by_doc().rowsBetween(Window.unboundedPreceding, Window.currentRow))
     marked = secs.withColumns({"_kept": so_far, "_level": level}).withColumn("_total", F.sum(kept).over(Window.partitionBy("doc_id")))
     nexts = [F.first(F.when(heading & (F.col("_level") == k), F.struct("pos", "_kept")), ignorenulls=True).over(ahead) for k in range(1, 7)]
     marked = marked.select("*", *[x.alias(f"_n{k}") for k, x in enumerate(nexts, 1)])
@@ -200,7 +203,7 @@ EXEMPT_SHORT = ("heading", "warning", "procedure_step", "table", "note")
 
 def short_content_policy(secs: DataFrame, min_tokens: int = 20) -> DataFrame:
     """Exclude short sections with no longer neighbour under their heading, unless their kind or content is worth keeping."""
-    w = BY_DOC
+    w = by_doc()
     marked = with_parent_heading(secs).withColumn("_n", T.token_count(F.col("content")))
     near = lambda f: F.coalesce((f("_n").over(w) >= min_tokens) & f("parent_heading").over(w).eqNullSafe(F.col("parent_heading")), F.lit(False))
     isolated = ~near(F.lag) & ~near(F.lead)

@@ -1,5 +1,255 @@
-"""Queries over evaluation results and page tables."""
+"""Queries over composed chunks, pages, tables, answers and streams."""
 
 from __future__ import annotations
 
-QUERIES = {}
+import uuid
+
+from pyspark.sql import functions as F
+
+from lodestar.operators import chunking, evidence, fusion, lifecycle, normalise, questions, search, structure
+from lodestar.plans.inputs import CHUNKS, VERSIONS, chunks, conversations, hits, sections, table, versions
+from lodestar.plans.inputs import questions as question_table
+from lodestar.sources import corpus
+
+
+def composed_chunks(spark, sf_dir):
+    secs = normalise.normalise(sections(spark, sf_dir), threshold=3)
+    made = chunking.dedupe_chunks(chunking.finish_chunks(chunking.guardrails(chunking.compose_prose(secs))))
+    return made.select("doc_id", "chunk_index", "section_type", "retrieval_excluded", "token_count", "chunk_hash")
+
+
+def sentences(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(chunking.sentences(F.coalesce("text", F.lit("")))).alias("pos", "sentence")).groupBy("doc_id").agg(F.count("*").alias("sentences"), F.max(F.length("sentence")).alias("longest"))
+
+
+SENTENCES = r"""
+WITH p AS (SELECT doc_id, unnest(string_split(regexp_replace(replace(text, chr(10), chr(10) || chr(1)), '(\. )([A-Z])', '\1' || chr(1) || '\2', 'g'), chr(1))) AS s FROM documents)
+SELECT doc_id, count(*) AS sentences, max(length(s))::INT AS longest FROM p WHERE s <> '' GROUP BY doc_id
+"""
+
+
+def finished_chunks(spark, sf_dir):
+    c = chunks(spark, sf_dir).drop("token_count", "chunk_hash")
+    out = chunking.finish_chunks(c).withColumn("label", chunking.citation_label(F.col("doc_title"), F.col("section_title"), F.col("page_number"), F.col("chunk_index")))
+    return out.select("chunk_id", "chunk_hash", "token_count", "embedding_status", "label")
+
+
+FINISHED = f"""
+SELECT chunk_id, sha256(content) AS chunk_hash, len(regexp_extract_all(content, '\\S+')) AS token_count, CASE WHEN retrieval_excluded THEN 'excluded' ELSE 'pending' END AS embedding_status,
+  doc_title || ', ' || CASE WHEN section_title IS NOT NULL THEN section_title ELSE 'p.' || page_number END AS label FROM ({CHUNKS})
+"""
+
+
+def deduped_chunks(spark, sf_dir):
+    return chunking.dedupe_chunks(chunks(spark, sf_dir), by="document_id").select("chunk_id", "chunk_index")
+
+
+DEDUPED = f"""
+SELECT chunk_id, (row_number() OVER (PARTITION BY document_id ORDER BY i) - 1)::INT AS chunk_index FROM (
+  SELECT chunk_id, document_id, chunk_index AS i, row_number() OVER (PARTITION BY document_id, chunk_hash ORDER BY chunk_index) AS k FROM ({CHUNKS})) WHERE k = 1
+"""
+
+
+def embedded_chunks(spark, sf_dir):
+    made = chunking.embed(chunks(spark, sf_dir).select("chunk_id", "content", "retrieval_excluded"))
+    return made.groupBy("retrieval_excluded").agg(F.count("*").alias("n"), F.count("embedding").alias("embedded"))
+
+
+def repaired_titles(spark, sf_dir):
+    return chunking.repair_titles(chunks(spark, sf_dir)).select("chunk_id", "repaired_title")
+
+
+def html_sections(spark, sf_dir):
+    return corpus.html_sections(table(spark, sf_dir, "pages"))
+
+
+def detected_sections(spark, sf_dir):
+    pages = corpus.split_pages(table(spark, sf_dir, "documents"), "\n\n")
+    return structure.detect_sections(pages).groupBy("doc_id", "type").agg(F.count("*").alias("n"), F.sum(F.length("content")).alias("characters"))
+
+
+def split_pages(spark, sf_dir):
+    return corpus.split_pages(table(spark, sf_dir, "documents"), "\n").groupBy("doc_id").agg(F.max("page").alias("pages"), F.sum(F.length("text")).alias("characters"))
+
+
+PAGES = "SELECT doc_id, count(*)::INT AS pages, sum(length(t))::BIGINT AS characters FROM (SELECT doc_id, trim(unnest(string_split(text, chr(10)))) AS t FROM documents) WHERE t <> '' GROUP BY doc_id"
+
+
+def cleaned_lines(spark, sf_dir):
+    lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("no", "line"))
+    return corpus.clean_lines(lines).groupBy("doc_id").agg(F.count("*").alias("lines"), F.sum(F.length("line")).alias("characters"))
+
+
+def _sheet(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.lit("s").alias("sheet"), F.posexplode(F.split("text", "\n")).alias("row", "line"))
+    return rows.select("doc_id", "sheet", "row", F.when(F.col("row") % 4 == 3, F.array(F.lit(" "))).otherwise(F.split("line", r" \| ")).alias("cells"))
+
+
+def sheet_tables(spark, sf_dir):
+    made = corpus.table_groups(_sheet(spark, sf_dir)).groupBy("doc_id", "sheet", "table_no").agg(F.min("row").alias("first_row"), F.max("row").alias("last_row"))
+    return made.drop("sheet")
+
+
+SHEETS = "SELECT doc_id, (r // 4 + 1)::INT AS table_no, min(r)::INT AS first_row, max(r)::INT AS last_row FROM (SELECT doc_id, unnest(range(0, len(string_split(text, chr(10))))) AS r FROM documents) WHERE r % 4 <> 3 GROUP BY doc_id, r // 4"
+
+
+def rendered_tables(spark, sf_dir):
+    made = chunking.compose_tables(corpus.render_table_groups(corpus.table_groups(_sheet(spark, sf_dir))), max_tokens=200)
+    return made.select("doc_id", "table_no", "part", "range_ref", "title", F.sha2("content", 256).alias("hash"))
+
+
+def _answers(spark, sf_dir):
+    turns = conversations(spark, sf_dir).where("role = 'assistant'")
+    return turns.select(
+        (F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), F.concat(F.lit("category "), F.col("conv_id") % 6).alias("category"), (F.col("turn") % 4).cast("long").alias("n_sources"),
+        F.when(F.col("conv_id") % 5 == 0, F.concat("text", F.lit(" [Source: doc 1, part 0] [Source: none]"))).otherwise(F.col("text")).alias("answer"),
+    )
+
+
+def answer_summary(spark, sf_dir):
+    return evidence.category_summary(evidence.answer_checks(_answers(spark, sf_dir)))
+
+
+ANSWERS = "SELECT conv_id * 1000 + turn AS query_id, 'category ' || (conv_id % 6) AS category, (turn % 4)::BIGINT AS n_sources, CASE WHEN conv_id % 5 = 0 THEN text || ' [Source: doc 1, part 0] [Source: none]' ELSE text END AS answer FROM conversations WHERE role = 'assistant'"
+ANSWER_SUMMARY = rf"""
+WITH a AS (SELECT *, regexp_replace(answer, '<!--.*?-->|\[Source: [^\]]*\]', '', 'g') AS v FROM ({ANSWERS})), t AS (SELECT *, len(regexp_extract_all(v, '\S+')) AS n FROM a)
+SELECT category, count(*) AS n, count(*) FILTER (WHERE n < 5 OR n_sources = 0 OR NOT contains(answer, '[Source: ') OR regexp_matches(v, '(?i)controlled copy|as an ai')) AS failed,
+  count(*) FILTER (WHERE n > 0) AS non_empty, round(avg(n_sources), 2) AS mean_sources FROM t GROUP BY category
+"""
+
+
+def citation_check(spark, sf_dir):
+    given = chunks(spark, sf_dir).where("document_id = 1").select("citation_label").withColumn("query_id", F.explode(F.array(F.lit(1001).cast("long"), F.lit(5001).cast("long"))))
+    out = evidence.validate_citations(_answers(spark, sf_dir), given)
+    return out.select("query_id", F.array_join("valid", "|").alias("valid"), F.array_join("unknown", "|").alias("unknown"))
+
+
+def normalised_answers(spark, sf_dir):
+    return evidence.normalise_answers(_answers(spark, sf_dir)).select("query_id", F.md5("answer").alias("hash"))
+
+
+def _joined(spark, sf_dir):
+    h = fusion.dedupe_max(hits(spark, sf_dir).select("query_id", "chunk_id", "score")).withColumnRenamed("chunk_id", "k")
+    return h.join(chunks(spark, sf_dir).withColumn("k", F.col("document_id") * 3 + F.col("chunk_index")), "k")
+
+
+def contexts(spark, sf_dir):
+    return evidence.assemble_context(_joined(spark, sf_dir), limit=5).select("query_id", "n_sources", F.md5("context").alias("hash"))
+
+
+def synthesis_context(spark, sf_dir):
+    return evidence.synthesis_context(_joined(spark, sf_dir)).select("query_id", "document_id", "n_labels", "rank", F.array_join("labels", "|").alias("labels"))
+
+
+def operating_frames(spark, sf_dir):
+    made = evidence.operating_frame(_joined(spark, sf_dir))
+    return made.select("query_id", *[F.size(name).alias(name) for name, _ in evidence.FRAME])
+
+
+def group_previews(spark, sf_dir):
+    return evidence.group_preview(_joined(spark, sf_dir))
+
+
+def retrieval_density(spark, sf_dir):
+    return evidence.retrieval_density(_joined(spark, sf_dir), chunks(spark, sf_dir), tokens=50)
+
+
+DENSITY = f"""
+WITH h AS (SELECT l_orderkey AS query_id, l_partkey AS k, max(CAST(l_extendedprice AS DOUBLE)) AS score FROM lineitem GROUP BY 1, 2),
+j AS (SELECT query_id, chunk_id, token_count, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS r FROM h JOIN ({CHUNKS}) c ON h.k = c.document_id * 3 + c.chunk_index)
+SELECT query_id, round(avg(CASE WHEN token_count > 50 THEN 1.0 ELSE 0.0 END), 4)::DOUBLE AS density, round(avg(CASE WHEN token_count > 50 THEN 1.0 ELSE 0.0 END), 4) >= 0.8 AS dense FROM j WHERE r <= 10 GROUP BY 1
+"""
+
+
+def interaction_selection(spark, sf_dir):
+    h = _joined(spark, sf_dir).withColumns({"system_a": F.lit("the"), "system_b": F.lit("of"), "content_preview": F.substring("content", 1, 200)})
+    return fusion.interaction_diagnostics(fusion.select_interaction(h))
+
+
+def section_anchor_hits(spark, sf_dir):
+    refs = question_table(spark, sf_dir).select("query_id", F.explode(questions.section_refs(F.col("question"))).alias("ref"))
+    return search.section_anchors(refs, chunks(spark, sf_dir), 20)
+
+
+def probe_questions(spark, sf_dir):
+    return questions.doc_probe_queries(versions(spark, sf_dir).where("is_active")).select("id", "probe", "question")
+
+
+PROBES = rf"""
+WITH t AS (SELECT id, trim(regexp_replace(regexp_replace(title, '\.[A-Za-z0-9]{{2,4}}$', ''), '(?i)\s*\bv(?:ersion)?\s*\d+(?:\.\d+)*\b', '')) AS t FROM ({VERSIONS}) WHERE is_active)
+SELECT id, 0 AS probe, 'What is ' || t || '?' AS question FROM t UNION ALL SELECT id, 1, 'Summarise ' || t FROM t UNION ALL SELECT id, 2, 'Which sections does ' || t || ' have?' FROM t
+"""
+
+
+def answer_styles(spark, sf_dir):
+    return questions.answer_style(question_table(spark, sf_dir)).groupBy("answer_style").agg(F.count("*").alias("n"))
+
+
+def deep_hints(spark, sf_dir):
+    return questions.deep_hints(conversations(spark, sf_dir)).select("conv_id", "turn", F.array_join("hints", "|").alias("hints"))
+
+
+def extraction_statuses(spark, sf_dir):
+    docs = versions(spark, sf_dir).select("id")
+    return lifecycle.extraction_status(docs, sections(spark, sf_dir), chunks(spark, sf_dir).where("NOT retrieval_excluded")).groupBy("status").agg(F.count("*").alias("n"))
+
+
+STATUSES = f"""
+SELECT CASE WHEN s IS NULL OR c IS NULL THEN 'failed' ELSE 'completed' END AS status, count(*) AS n FROM ({VERSIONS}) v
+LEFT JOIN (SELECT document_id AS id, count(*) AS s FROM ({CHUNKS}) GROUP BY 1) USING (id) LEFT JOIN (SELECT document_id AS id, count(*) AS c FROM ({CHUNKS}) WHERE NOT retrieval_excluded GROUP BY 1) USING (id) GROUP BY 1
+"""
+
+
+def small_chunk_families(spark, sf_dir):
+    from lodestar.operators.residual import title_family
+
+    return versions(spark, sf_dir).groupBy(title_family(F.col("title")).alias("family")).agg(F.count("*").alias("n"))
+
+
+def streamed_fingerprints(spark, sf_dir):
+    """Counts of the event stream's blocks by a running aggregate, through a checkpointed query that stops when all is read."""
+    from lodestar.streaming.intake import fingerprint_stream
+
+    shared = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/lodestar-streams"
+    root = f"{shared.rstrip('/')}/fingerprints-{uuid.uuid4().hex}"
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").option("basePath", sf_dir).parquet(f"{sf_dir}/events*.parquet").select("ts", F.concat_ws(" ", "event_type", F.col("user_id").cast("string")).alias("content"))
+    query = (
+        fingerprint_stream(stream).writeStream.outputMode("complete")
+        .foreachBatch(lambda df, n: df.write.mode("overwrite").parquet(f"{root}/out"))
+        .option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start()
+    )
+    query.awaitTermination()
+    return spark.read.parquet(f"{root}/out")
+
+
+QUERIES = {
+    "composed_chunks": (composed_chunks, None),
+    "sentences": (sentences, SENTENCES),
+    "finished_chunks": (finished_chunks, FINISHED),
+    "deduped_chunks": (deduped_chunks, DEDUPED),
+    "embedded_chunks": (embedded_chunks, f"SELECT retrieval_excluded, count(*) AS n, count(*) FILTER (WHERE NOT retrieval_excluded) AS embedded FROM ({CHUNKS}) GROUP BY 1"),
+    "repaired_titles": (repaired_titles, None),
+    "html_sections": (html_sections, None),
+    "detected_sections": (detected_sections, None),
+    "split_pages": (split_pages, PAGES),
+    "cleaned_lines": (cleaned_lines, None),
+    "sheet_tables": (sheet_tables, SHEETS),
+    "rendered_tables": (rendered_tables, None),
+    "answer_summary": (answer_summary, ANSWER_SUMMARY),
+    "citation_check": (citation_check, None),
+    "normalised_answers": (normalised_answers, None),
+    "assembled_contexts": (contexts, None),
+    "synthesis_context": (synthesis_context, None),
+    "operating_frames": (operating_frames, None),
+    "group_previews": (group_previews, None),
+    "retrieval_density": (retrieval_density, DENSITY),
+    "interaction_selection": (interaction_selection, None),
+    "section_anchors": (section_anchor_hits, None),
+    "probe_questions": (probe_questions, PROBES),
+    "answer_styles": (answer_styles, None),
+    "deep_hints": (deep_hints, None),
+    "extraction_status": (extraction_statuses, STATUSES),
+    "title_families": (small_chunk_families, None),
+    "streamed_fingerprints": (streamed_fingerprints, "SELECT sha256(trim(lower(event_type || ' ' || user_id))) AS boilerplate_hash, count(*) AS occurrence_count, max(ts) AS last_seen_at FROM events GROUP BY 1"),
+}
