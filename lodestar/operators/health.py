@@ -201,7 +201,7 @@ def yield_report(chunks: DataFrame) -> DataFrame:
 
 
 APPENDIX_REF = r"(?i)\bappendix\s+(\d+(?:\.\d+)*|[A-Z])\b"
-TOC_LINE = r"\.{4,}|\s\d+\s*$"
+TOC_LINE = r"\.{4,}|\s{2,}\d+\s*$"
 
 
 def completeness_audit(chunks: DataFrame) -> DataFrame:

@@ -53,7 +53,7 @@ def vector_search(queries: DataFrame, chunks: DataFrame, k: int, blocks: int = 6
     if small(q):
         pairs = c.join(F.broadcast(q), F.lit(True))
     else:
-        pairs = c.join(q.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("long")), "_block")
+        pairs = c.join(q.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))), "_block")
     scored = pairs.select("query_id", "chunk_id", "_block", (dot(F.col("_qv"), F.col("_v")) / (F.col("_qn") * F.col("_norm"))).alias("score"))
     local = Window.partitionBy("query_id", "_block").orderBy(F.desc("score"), "chunk_id")
     return top_k(scored.withColumn("_r", F.row_number().over(local)).where(F.col("_r") <= k).select("query_id", "chunk_id", "score"), k)
