@@ -6,8 +6,9 @@ import pytest
 
 pipeline = pytest.importorskip("corpus_pipeline")
 
-from lodestar.llm import secret_scan  # noqa: E402
-from tests.llm.test_groups import check_packing, plain_fingerprint, plain_lines, plain_quality, plain_roots  # noqa: E402
+from lodestar.llm import secret_scan, similar  # noqa: E402
+from tests.llm.test_groups import check_packing, plain_lines, plain_quality  # noqa: E402
+from tests.llm.test_similar import plain_groups, wide  # noqa: E402
 
 
 def test_stages_and_columns(spark, awkward, empty):
@@ -31,12 +32,10 @@ def test_run_equals_a_plain_version(spark, sf_dir, documents):
             kept.append((i, text))  # no source fails by half in this table
     out = plain_lines(set(kept))
     texts = {i: out[i, t] for i, t in kept}
-    prints = {i: plain_fingerprint(t, 5) for i, t in texts.items()}
-    roots = plain_roots(set(prints.values()))
-    first = {}
-    for i in sorted(texts):
-        first.setdefault(roots[prints[i]], i)
+    ids = sorted(texts)
+    groups = plain_groups([wide(similar.fingerprint(texts[i])) for i in ids])
+    first = [ids[members[0]] for members in groups]
     scanner = secret_scan.Scanner()
-    final = {i: secret_scan.redact(texts[i], scanner.spans(texts[i])[1], "[REDACTED]") for i in first.values()}
+    final = {i: secret_scan.redact(texts[i], scanner.spans(texts[i])[1], "[REDACTED]") for i in first}
     wanted = [(i, len(re.findall(r"[^\x20\x09-\x0D]+", t))) for i, t in final.items()]
     check_packing(pipeline.run(spark, sf_dir).collect(), wanted, (512, 1024, 2048, 4096, 8192))

@@ -1,0 +1,108 @@
+"""Near copies by wide fingerprints, against all pairs in plain Python."""
+
+import random
+
+from lodestar.llm import simhash, similar
+
+SEGMENTS = 256 // similar.SEGMENT
+
+
+def wide(fp):
+    return sum((w % 2**64) << (64 * k) for k, w in enumerate(fp))
+
+
+def linked(a, b):
+    x = a ^ b
+    near = any((x >> (similar.SEGMENT * s) & ((1 << similar.SEGMENT) - 1)).bit_count() <= 1 for s in range(SEGMENTS))
+    return near and x.bit_count() <= similar.MOST
+
+
+def plain_groups(values):
+    up = list(range(len(values)))
+
+    def find(k):
+        while up[k] != k:
+            k = up[k]
+        return k
+
+    for i in range(len(values)):
+        for j in range(i):
+            if linked(values[i], values[j]):
+                a, b = sorted((find(i), find(j)))
+                up[b] = a
+    groups = {}
+    for k in range(len(values)):
+        groups.setdefault(find(k), set()).add(k)
+    return sorted(map(sorted, groups.values()))
+
+
+def words_of(value):
+    parts = [value >> (64 * k) & (2**64 - 1) for k in range(4)]
+    return [p - (1 << 64) if p >> 63 else p for p in parts]
+
+
+def clusters(rng):
+    """Groups around centres, two of which nearly touch, and members strung out in a chain."""
+    flip = lambda v, n: v ^ sum(1 << b for b in rng.sample(range(256), n))
+    first = rng.getrandbits(256)
+    centres = [first, flip(first, 55), rng.getrandbits(256)]
+    out = {flip(c, rng.randrange(24)) for c in centres for _ in range(25)}
+    at = rng.getrandbits(256)
+    for _ in range(25):
+        at = flip(at, 12)
+        out.add(at)
+    return sorted(out)
+
+
+def test_links_of_fingerprints_lose_nothing(spark):
+    for seed in (1, 2):
+        values = clusters(random.Random(seed))
+        table = spark.createDataFrame([(k, words_of(v)) for k, v in enumerate(values)], "_node long, _fp array<bigint>")
+        want = plain_groups(values)
+        for crowd in (64, 3):
+            edges = similar.links(table, pairs_up_to=crowd)
+            found = {r.node: r.root for r in simhash.components(edges).collect()}
+            groups = {}
+            for k in range(len(values)):
+                groups.setdefault(found.get(k, k), set()).add(k)
+            assert sorted(map(sorted, groups.values())) == want
+            assert all(linked(values[r.u], values[r.v]) for r in edges.collect())
+
+
+def test_rounds_run_out_without_loss(spark, monkeypatch):
+    values = clusters(random.Random(3))
+    table = spark.createDataFrame([(k, words_of(v)) for k, v in enumerate(values)], "_node long, _fp array<bigint>")
+    monkeypatch.setattr(similar, "ROUNDS", 1)
+    monkeypatch.setattr(similar.crowded_links, "__defaults__", (1,))
+    found = {r.node: r.root for r in simhash.components(similar.links(table, pairs_up_to=2)).collect()}
+    groups = {}
+    for k in range(len(values)):
+        groups.setdefault(found.get(k, k), set()).add(k)
+    assert sorted(map(sorted, groups.values())) == plain_groups(values)
+
+
+def test_near_copies_go_and_others_stay(spark):
+    rng = random.Random(6)
+    vocabulary = [f"w{k}" for k in range(3000)]
+    texts, copies = [], 0
+    for _ in range(40):
+        words = [rng.choice(vocabulary) for _ in range(400)]
+        texts.append(" ".join(words))
+        near = list(words)
+        for place in rng.sample(range(400), 4):
+            near[place] = rng.choice(vocabulary)
+        texts += [" ".join(near), " ".join(words)]
+        copies += 2
+    half = texts[0].split()[:200] + [rng.choice(vocabulary) for _ in range(200)]
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate([*texts, " ".join(half)])], "doc_id long, text string")
+    kept = sorted(r.doc_id for r in similar.keep_first(docs).collect())
+    assert set(range(0, 120, 3)) <= set(kept) and 120 in kept
+    assert len(kept) <= 41 + copies // 20
+
+
+def test_awkward_rows(awkward, empty):
+    kept = similar.keep_first(awkward)
+    assert kept.columns == awkward.columns
+    ids = [str(r.doc_id) for r in kept.collect()]
+    assert ids.count("1") == 1 and ids.count("2") == 0 and len(ids) == len(set(ids))
+    assert similar.keep_first(empty).count() == 0
