@@ -187,3 +187,23 @@ def retrieval_density(hits: DataFrame, chunks: DataFrame, top: int = 10, tokens:
     best = hits.select("query_id", "chunk_id", "score").withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= top)
     share = F.avg(F.when(F.col("token_count") > tokens, 1.0).otherwise(0.0))
     return best.join(chunks.select("chunk_id", "token_count"), "chunk_id").groupBy("query_id").agg(F.round(share, 4).alias("density")).withColumn("dense", F.col("density") >= 0.8)
+
+
+FALSE_UNAVAILABLE = r"(?i)I would need access to|need access to|not reproduced in the provided sources"
+
+
+def mapping_checks(results: DataFrame) -> DataFrame:
+    """Pass or the first reason to fail: empty, a false claim that something is missing, or no sources."""
+    answer = F.coalesce("answer", F.lit(""))
+    why = F.when(F.trim(answer) == "", "Answer is empty").when(answer.rlike(FALSE_UNAVAILABLE), "False unavailable claim").when(F.col("n_sources") == 0, "No sources retrieved")
+    return results.withColumn("fail_reason", why).withColumn("pass", F.col("fail_reason").isNull())
+
+
+def interaction_guards(sources: DataFrame, least: int = 5) -> DataFrame:
+    """Over questions with `least` sources or more: mean share of tiers 1 and 2, share of questions at 60 % or above, share with a mechanism."""
+    by = sources.groupBy("query_id").agg(F.count("*").alias("n"), F.count_if(F.col("interaction_tier") <= 2).alias("strong"), F.bool_or("has_mechanism").alias("mechanism"))
+    share = F.col("strong") / F.col("n")
+    return by.where(F.col("n") >= least).agg(
+        F.count("*").alias("questions"), F.round(F.avg(share) * 100, 2).alias("mean_strong_percent"), F.round(F.avg((share >= 0.6).cast("double")), 4).alias("share_at_60"),
+        F.round(F.avg(F.col("mechanism").cast("double")), 4).alias("mechanism_share"),
+    )

@@ -240,3 +240,32 @@ def ocr_reconciliation(docs: DataFrame) -> DataFrame:
     return docs.groupBy("ocr_quality_status").agg(
         F.count("*").alias("n"), F.count_if(F.col("text_quality_tier").isNull()).alias("no_tier"), F.count_if(F.col("document_priority").isNull()).alias("no_priority"), F.min("id").alias("sample_id")
     )
+
+
+def audit_status(docs: DataFrame, audit: DataFrame) -> DataFrame:
+    """completeness_status by risk, and needs_review set by high risk and cleared by low; audit(document_id, risk_level)."""
+    level = audit.select(F.col("document_id").alias("id"), "risk_level")
+    status = F.when(F.col("risk_level") == "high", "incomplete").when(F.col("risk_level") == "medium", "check").when(F.col("risk_level") == "low", "complete")
+    review = F.when(F.col("risk_level") == "high", True).when(F.col("risk_level") == "low", F.lit(False)).otherwise(F.col("needs_review"))
+    return docs.join(level, "id", "left").withColumn("completeness_status", status).withColumn("needs_review", review)
+
+
+def reporting_checks(docs: DataFrame, health: DataFrame) -> DataFrame:
+    """One row of reconciliation checks between a health row and documents with reasons and the latest flag."""
+    on = F.col("is_active")
+    tier, some = F.col("text_quality_tier"), F.size("quality_reasons") > 0
+    seen = docs.agg(
+        F.count_if(on & (tier == "partial")).alias("_p"), F.count_if(on & (tier == "partial") & some).alias("_pr"), F.count_if(on & tier.isNull()).alias("_u"),
+        F.count_if(on & tier.isNull() & some).alias("_ur"), F.coalesce(F.sum(F.when(on & (tier == "partial"), F.size("quality_reasons"))), F.lit(0)).alias("_n"),
+    )
+    h = {c: F.col(c) for c in health.columns}
+    return health.crossJoin(seen).select(  # two single rows
+        (h["active_docs"] + h["inactive_versions"] == h["total_versions"]).alias("versions_reconcile"),
+        (h["quality_total"] == h["active_docs"]).alias("quality_reconciles"),
+        h["active_failed"].isNotNull().alias("failed_split_present"),
+        (F.when(h["active_docs"] > h["active_good"] + h["active_partial"] + h["active_poor"], h["active_unclassified"] > 0).otherwise(True)).alias("unclassified_present"),
+        (F.col("_p") == F.col("_pr")).alias("partial_have_reasons"),
+        (F.col("_u") == F.col("_ur")).alias("unclassified_have_reasons"),
+        ((F.col("_n") > 0) | (F.col("_p") == 0)).alias("breakdown_present"),
+        (F.col("_n") >= F.col("_p")).alias("reason_counts_reconcile"),
+    )

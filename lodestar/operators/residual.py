@@ -169,3 +169,62 @@ def cycle_rollup(cycles: DataFrame) -> DataFrame:
         F.count("*").alias("cycles"), F.sum("documents").alias("documents"), F.sum("material").alias("material"),
         F.round(F.sum(F.col("mean_delta") * F.col("documents")) / F.sum("documents"), 6).alias("weighted_delta"),
     )
+
+
+#: Exclusion categories of a reason code, and what must stand in the code or the tag. The first that holds counts.
+TAG_CATEGORIES = (
+    ("duplicate_boilerplate", "boilerplate"), ("ocr_garbage", "ocr"), ("metadata_block", "metadata"), ("broken_structure", "broken"),
+    ("short_fragment_noise", "short.*noise"), ("short_procedure", "short.*procedure"), ("table_reference", "table.*reference"), ("table_noise", "table"),
+    ("list_reference", "list"), ("diagram_caption", "diagram|caption"), ("footer_mixed_body", "footer"), ("weak_heading_fragment", "weak"),
+)
+
+
+def exclusion_category_from_tag(tag: Column) -> Column:
+    code = F.lower(F.coalesce(tag, F.lit("")))
+    return F.coalesce(*[F.when(code.rlike(pattern), name) for name, pattern in TAG_CATEGORIES], F.lit("other_exclusion"))
+
+
+def residual_drivers(docs: DataFrame, categories: DataFrame) -> DataFrame:
+    """docs(id, quality_reasons, excluded_ratio) with categories(id, category, n): what keeps a document partial."""
+    wide = categories.groupBy("id").agg(
+        F.coalesce(F.sum(F.when(F.col("category") == "broken_structure", F.col("n"))), F.lit(0)).alias("_broken"),
+        F.coalesce(F.sum(F.when(F.col("category") == "short_fragment_noise", F.col("n"))), F.lit(0)).alias("_short"),
+    )
+    named = T.reasons(
+        (F.array_contains("quality_reasons", "High excluded chunk ratio"), "High excluded chunk ratio"), (F.col("_broken") > 2, "broken_structure"), (F.col("_short") > 3, "short_fragment_noise")
+    )
+    out = docs.join(wide, "id", "left").withColumn("_named", named)
+    elevated = F.when(F.col("excluded_ratio") > 0.25, F.array(F.lit("elevated_exclusion"))).otherwise(F.array().cast("array<string>"))
+    return out.withColumn("residual_drivers", F.when(F.size("_named") > 0, F.col("_named")).otherwise(elevated)).drop("_broken", "_short", "_named")
+
+
+def assess_categories(categories: DataFrame) -> DataFrame:
+    """category, n, assessment over the corpus: noise, over-excluded (more than five of a kind worth keeping), minor or unclear."""
+    totals = categories.groupBy("category").agg(F.sum("n").alias("n"))
+    noise = F.col("category").isin("duplicate_boilerplate", "ocr_garbage", "metadata_block", "table_noise")
+    worth = F.col("category").isin("broken_structure", "short_procedure", "table_reference", "list_reference", "footer_mixed_body")
+    return totals.withColumn("assessment", F.when(noise, "noise").when(worth & (F.col("n") > 5), "over_excluded").when(F.col("n") <= 5, "minor").otherwise("unclear"))
+
+
+def residual_detail(before: DataFrame, after: DataFrame) -> DataFrame:
+    """By title, (title, excluded_ratio, dominant_failure, ocr_used) twice: what is fixable, what is a floor, and risk notes."""
+    b = before.select("title", F.col("excluded_ratio").alias("ratio_before"))
+    out = after.join(b, "title")
+    mixed = F.col("dominant_failure") == "contamination"
+    improved = F.col("excluded_ratio") < F.col("ratio_before")
+    fixable = mixed & ~F.col("ocr_used")
+    notes = T.reasons(
+        (F.col("ocr_used") & mixed, "OCR with mixed footers"), (F.col("excluded_ratio") > 0.29, "High excluded ratio"), (~improved, "Did not improve"), (fixable, "Good candidate for footer cleanup")
+    )
+    return out.withColumns(
+        {
+            "improved": improved, "likely_fixable": fixable, "likely_stable": (F.col("excluded_ratio") > 0.28) & mixed & F.col("ocr_used"),
+            "risk_notes": F.array_join(notes, "; "),
+        }
+    )
+
+
+def residual_shallow(docs: DataFrame, n: int = 20, above: float = 0.25) -> DataFrame:
+    """From document counters alone: the active partial documents of greatest excluded share, and how far above the bound."""
+    pool = docs.where("is_active AND text_quality_tier = 'partial' AND chunk_count > 0").withColumn("excluded_ratio", excluded_ratio())
+    return pool.where(F.col("excluded_ratio") > above).withColumn("excess", F.round(F.col("excluded_ratio") - above, 6)).orderBy(F.desc("excluded_ratio"), "id").limit(n)

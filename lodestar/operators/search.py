@@ -163,3 +163,30 @@ def hybrid_search(queries: DataFrame, chunks: DataFrame, postings: DataFrame, k:
     trg = trigram_search(queries, chunks, k, threshold).select("query_id", "chunk_id", "score")
     vec = vector_search(vectors, chunks, k).select("query_id", "chunk_id", "score") if vectors is not None else None
     return top_k(fusion.fuse(vec, fts, trg), final)
+
+
+def title_admissions(refs: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(query_id, chunk_id, score 0) of chunks whose section or document title holds a reference as a run of words.
+
+    refs(query_id, ref). Titles are cut into runs of up to four words, so that the join
+    is an equality whatever the sizes.
+    """
+    norm = lambda c: F.filter(F.split(F.lower(F.coalesce(c, F.lit(""))), r"[^a-z0-9.]+"), lambda w: w != "")
+    runs = lambda w, n: F.transform(F.sequence(F.lit(1), F.size(w) - (n - 1)), lambda i: F.array_join(F.slice(w, i, n), " "))
+    none = F.array().cast("array<string>")
+    spread = lambda w: F.array_distinct(F.concat(*[F.when(F.size(w) >= n, runs(w, n)).otherwise(none) for n in (1, 2, 3, 4)]))
+    titled = chunks.select("chunk_id", norm("section_title").alias("_s"), norm("doc_title").alias("_d"))
+    keys = titled.select("chunk_id", F.explode(F.array_distinct(F.concat(spread(F.col("_s")), spread(F.col("_d"))))).alias("_ref"))
+    asked = refs.select("query_id", F.array_join(norm("ref"), " ").alias("_ref")).distinct()
+    return keys.join(asked, "_ref").select("query_id", "chunk_id", F.lit(0.0).alias("score")).distinct()
+
+
+def with_fallback(queries: DataFrame, hits: DataFrame, diagnostics: DataFrame, retrieve, hints: str) -> DataFrame:
+    """Ask again, with hints, the questions that found no mechanism, as a second batch; hits of both, the better score of each chunk.
+
+    `retrieve` maps questions to hits of the columns of `hits`.
+    """
+    from lodestar.operators import fusion
+
+    again = fusion.without_mechanism(queries, diagnostics).withColumn("question", F.concat_ws(" ", "question", F.lit(hints)))
+    return fusion.dedupe_max(hits.unionByName(retrieve(again)))

@@ -6,7 +6,8 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from lodestar.operators import chunking, evidence, fusion, lifecycle, normalise, questions, search, structure
+from lodestar.functions import patterns as P
+from lodestar.operators import chunking, evidence, fusion, health, lifecycle, normalise, questions, residual, search, structure
 from lodestar.plans.inputs import CHUNKS, VERSIONS, chunks, conversations, hits, sections, table, versions
 from lodestar.plans.inputs import questions as question_table
 from lodestar.sources import corpus
@@ -223,7 +224,74 @@ def streamed_fingerprints(spark, sf_dir):
     return spark.read.parquet(f"{root}/out")
 
 
+def authority_flags(spark, sf_dir):
+    made = questions.authority_flags(chunks(spark, sf_dir))
+    return made.select("chunk_id", "structured", "authoritative_title", "authoritative_section", "list_signal", "rule_signal")
+
+
+def _sql(p: str) -> str:
+    return "'" + p.replace("'", "''") + "'"
+
+
+AUTHORITY = f"""
+SELECT chunk_id, source_type = 'xlsx' AS structured, regexp_matches(doc_title, {_sql(P.AUTHORITATIVE_TITLE)}) AS authoritative_title,
+  regexp_matches(coalesce(section_title, ''), {_sql(P.AUTHORITATIVE_SECTION)}) AS authoritative_section,
+  regexp_matches(coalesce(section_title, '') || ' ' || content, {_sql(P.LIST_TEXT_SIGNAL)}) AS list_signal, regexp_matches(coalesce(section_title, '') || ' ' || content, {_sql(P.RULE_SIGNAL)}) AS rule_signal FROM ({CHUNKS})
+"""
+
+
+def reporting_checks(spark, sf_dir):
+    docs = health.quality_reasons(versions(spark, sf_dir))
+    return health.reporting_checks(docs, health.health_derived(health.health_metrics(docs, chunks(spark, sf_dir))))
+
+
+def audit_statuses(spark, sf_dir):
+    out = health.audit_status(versions(spark, sf_dir), health.completeness_audit(chunks(spark, sf_dir)))
+    return out.groupBy("completeness_status", "needs_review").agg(F.count("*").alias("n"))
+
+
+def residual_shallow(spark, sf_dir):
+    return residual.residual_shallow(versions(spark, sf_dir)).select("id", "excess")
+
+
+SHALLOW = f"SELECT id, round(excluded_chunk_count / chunk_count - 0.25, 6) AS excess FROM ({VERSIONS}) WHERE is_active AND text_quality_tier = 'partial' AND chunk_count > 0 AND excluded_chunk_count / chunk_count > 0.25 ORDER BY excluded_chunk_count / chunk_count DESC, id LIMIT 20"
+
+
+def mapping_checks(spark, sf_dir):
+    return evidence.mapping_checks(_answers(spark, sf_dir)).groupBy("category").agg(F.bool_and("pass").alias("all_pass"), F.count_if("pass").alias("passed"))
+
+
+MAPPING = f"""
+WITH m AS (SELECT category, trim(answer) <> '' AND NOT regexp_matches(answer, {_sql(evidence.FALSE_UNAVAILABLE)}) AND n_sources > 0 AS pass FROM ({ANSWERS}))
+SELECT category, bool_and(pass) AS all_pass, count(*) FILTER (WHERE pass) AS passed FROM m GROUP BY 1
+"""
+
+
+def interaction_guards(spark, sf_dir):
+    h = _joined(spark, sf_dir).withColumns({"system_a": F.lit("the"), "system_b": F.lit("of"), "content_preview": F.substring("content", 1, 200)})
+    return evidence.interaction_guards(fusion.interaction_tier(h))
+
+
+def title_admissions(spark, sf_dir):
+    refs = spark.range(40).select(F.col("id").alias("query_id"), F.concat(F.lit("Title "), "id").alias("ref"))
+    return search.title_admissions(refs, chunks(spark, sf_dir)).groupBy("query_id").agg(F.count("*").alias("n"))
+
+
+def exclusion_assessment(spark, sf_dir):
+    secs = normalise.normalise(sections(spark, sf_dir), threshold=3).where("retrieval_excluded")
+    counts = secs.groupBy(F.col("doc_id").alias("id"), residual.exclusion_category_from_tag(F.col("exclusion_tag")).alias("category")).agg(F.count("*").alias("n"))
+    return residual.assess_categories(counts)
+
+
 QUERIES = {
+    "authority_flags": (authority_flags, AUTHORITY),
+    "reporting_checks": (reporting_checks, None),
+    "audit_statuses": (audit_statuses, None),
+    "residual_shallow": (residual_shallow, SHALLOW),
+    "mapping_checks": (mapping_checks, MAPPING),
+    "interaction_guards": (interaction_guards, None),
+    "title_admissions": (title_admissions, f"SELECT CAST(split_part(doc_title, ' ', 2) AS BIGINT) AS query_id, count(*) AS n FROM ({CHUNKS}) GROUP BY 1"),
+    "exclusion_assessment": (exclusion_assessment, None),
     "composed_chunks": (composed_chunks, None),
     "sentences": (sentences, SENTENCES),
     "finished_chunks": (finished_chunks, FINISHED),

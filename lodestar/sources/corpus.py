@@ -153,3 +153,9 @@ def processed_paths(spark: SparkSession, files: list[str]) -> DataFrame:
 def read_queries(spark: SparkSession, path: str) -> DataFrame:
     schema = "query_id long, question string, category string, expected_docs array<string>, expected_behaviour string"
     return spark.read.schema(schema).option("multiLine", True).json(path)
+
+
+def rebuild(chunks: DataFrame, path: str) -> DataFrame:
+    """Replace the whole chunk table, written beside the old one first and read back from its place."""
+    write_chunks(chunks, path)
+    return chunks.sparkSession.read.parquet(path)
