@@ -98,10 +98,14 @@ def chunk_grams(chunks: DataFrame, col: str = "content") -> DataFrame:
 
 
 def trigram_search(queries: DataFrame, chunks: DataFrame, k: int, threshold: float = 0.3, col: str = "content") -> DataFrame:
-    """Jaccard similarity of trigram sets by an equality join on grams: shared / (a + b - shared)."""
+    """Jaccard similarity of trigram sets by an equality join on grams: shared / (a + b - shared).
+
+    Sets whose sizes differ by more than the threshold allows are dropped at the join.
+    """
     q = chunk_grams(queries.select(F.col("query_id").alias("chunk_id"), F.col("question").alias(col)), col)
     q = q.select(F.col("chunk_id").alias("query_id"), F.col("n_grams").alias("_qn"), "gram")
-    shared = chunk_grams(chunks, col).join(q, "gram").groupBy("query_id", "chunk_id").agg(F.count("*").alias("_s"), F.max("n_grams").alias("_a"), F.max("_qn").alias("_b"))
+    joined = chunk_grams(chunks, col).join(q, "gram").where((F.col("n_grams") >= threshold * F.col("_qn")) & (F.col("n_grams") * threshold <= F.col("_qn")))
+    shared = joined.groupBy("query_id", "chunk_id").agg(F.count("*").alias("_s"), F.max("n_grams").alias("_a"), F.max("_qn").alias("_b"))
     scored = shared.select("query_id", "chunk_id", (F.col("_s") / (F.col("_a") + F.col("_b") - F.col("_s"))).alias("score"))
     return top_k(scored.where(F.col("score") >= threshold), k)
 
