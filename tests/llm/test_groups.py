@@ -241,3 +241,14 @@ def test_one_shard_is_best_fit():
     assert bins[0] != bins[1] and bins[2] == bins[1] and bins[3] == bins[0] and bins[4] == bins[0]
     assert final == [1024, 1024] and offsets[3] == 900
     assert packing.pack_shard([30], (512, 1024))[2] == [512]
+
+
+def test_bytes_are_compared_inside_a_digest(spark, monkeypatch):
+    import pytest
+
+    docs = spark.createDataFrame([(1, "one text"), (2, "another"), (3, "One  text")], "doc_id long, text string")
+    rows = {r.doc_id: (r.group_id, r.group_size) for r in fingerprint.duplicate_groups(docs).collect()}
+    assert rows == {1: (1, 2), 3: (1, 2), 2: (2, 1)}
+    monkeypatch.setattr(fingerprint, "digest", lambda c: F.concat(F.lit("d"), F.substring(c, 1, 0)))
+    with pytest.raises(Exception, match="one digest holds different texts"):
+        fingerprint.duplicate_groups(docs).collect()
