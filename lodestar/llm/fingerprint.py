@@ -132,8 +132,14 @@ def composed(cluster: Column, apart: Column, together: Column, order: Column) ->
     return let(classed, lambda p: let(placed(p), lambda ordered: F.aggregate(ordered, zero, step, lambda s: F.concat(s["out"], s["starter"], s["held"]))))
 
 
+#: Nothing below U+0300 can change, nor can Han characters of the main blocks or Hangul syllables. The
+#: engine tries a class's parts from the left, so most characters never meet the long list of ranges.
+COMMON = r"\x{300}-\x{10FFFF}&&[^\x{3400}-\x{9FFF}\x{AC00}-\x{D7A3}]&&"
+
+
 def normal_form_c(text: Column) -> Column:
     changing, extending, apart, together, order = tables()
+    changing = f"{COMMON}[{changing}]"
     maps = F.struct(literal_map(apart).alias("a"), literal_map(together).alias("t"), literal_map(order).alias("o"))
     clusters = F.regexp_extract_all(text, F.lit(f"(?s)[^{extending}]?[{extending}]*"), F.lit(0))
     slow = let(
@@ -148,7 +154,7 @@ def canonical(text: Column) -> Column:
     # The step between keeps the optimizer from reading lower(upper(x)) as lower(x), which would lose "ß" = "ss".
     upper = F.replace(F.upper(F.coalesce(text, F.lit(""))), F.lit("ẞ"), F.lit("SS"))
     folded = F.replace(F.lower(upper), F.lit("ς"), F.lit("σ"))
-    return F.trim(F.regexp_replace(normal_form_c(folded), r"(?U)\s+", " "))
+    return let(folded, lambda x: F.trim(F.regexp_replace(normal_form_c(x), r"(?U)\s+", " ")))
 
 
 def digest(canonical_text: Column) -> Column:
