@@ -27,18 +27,20 @@ from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from lodestar.llm.bpe import SPACES, Merges
-from lodestar.llm.common import BoundedCache, map_rows
+from lodestar.llm.common import BoundedCache, checkpoint, map_rows
 
 #: The byte-level split of the format, a fixed value.
 PIECES = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACES}\p{{L}}\p{{N}}]+|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]+")
 #: A coarser cut of the same text: every piece lies inside one stretch and depends on nothing outside it.
 STRETCHES = re.compile(rf" ?[^{SPACES}]+|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]+")
 MAGIC = b"LEX1"
+NO_RANK = 1 << 40
+SINGLE = [bytes([b]) for b in range(256)]
 
 
 def compile_lexicon(entries: Iterable[tuple[bytes, bytes]]) -> bytes:
@@ -122,12 +124,13 @@ class Lexicon:
     def get(self, word: bytes) -> bytes | None:
         """The word's identifiers as little-endian 32-bit integers, or None if it isn't an entry."""
         state, total, find, labels = self.root, 0, self.map.find, self.labels
-        for k in range(len(word)):
-            arc = find(word[k : k + 1], labels + self.first[state], labels + self.first[state + 1]) - labels
+        first, outputs, targets = self.first, self.outputs, self.targets
+        for byte in word:
+            arc = find(SINGLE[byte], labels + first[state], labels + first[state + 1]) - labels
             if arc < 0:
                 return None
-            total += self.outputs[arc]
-            state = self.targets[arc]
+            total += outputs[arc]
+            state = targets[arc]
         if not self.map[self.finals + state]:
             return None
         return self.map[self.flat + self.starts[total] : self.flat + self.starts[total + 1]]
@@ -136,30 +139,43 @@ class Lexicon:
 class Codec:
     """Encodes whole texts to identifiers and decodes them."""
 
-    def __init__(self, vocabulary: bytes, lexicon: bytes | None, limit: int = 400_000) -> None:
+    def __init__(self, vocabulary: bytes, lexicon: bytes | None, limit: int = 700_000) -> None:
         self.merges = Merges(vocabulary)
         self.lexicon = Lexicon(lexicon) if lexicon else None
         self.stretches = BoundedCache(self._stretch, limit)
-        self.pieces = BoundedCache(self._piece, limit * 3 // 4)
 
-    def _piece(self, piece: str) -> bytes:
+    def merged(self, piece: str) -> bytes:
+        """Exact merges of a piece that the lexicon doesn't hold: short ones by scanning their ranks, long ones by heap."""
         symbols = self.merges.symbols(piece.encode("utf-8", "replace"))
-        self.merges.merge(symbols)
-        return struct.pack(f"<{len(kept)}I", *kept) if (kept := [s for s in symbols if s >= 0]) else b""
-
-    def merged(self, stretch: str) -> bytes:
-        if stretch.isascii():  # the common shapes, cut without the pattern
-            bare = stretch[1:] if stretch[0] == " " else stretch
-            if bare.isalpha():
-                return self.pieces[stretch]
-            if bare[-1:] in (".", ",") and bare[:-1].isalpha():
-                return self.pieces[stretch[:-1]] + self.pieces[stretch[-1]]
-        return b"".join(map(self.pieces.__getitem__, PIECES.findall(stretch)))
+        if len(symbols) > 40:
+            self.merges.merge(symbols)
+            symbols = [s for s in symbols if s >= 0]
+        else:
+            size, rank_of, merged_of = self.merges.size, self.merges.rank_of.get, self.merges.merged
+            ranks = [rank_of(a * size + b, NO_RANK) for a, b in zip(symbols, symbols[1:])]
+            while ranks and (rank := min(ranks)) != NO_RANK:
+                i = ranks.index(rank)
+                new = symbols[i] = merged_of[rank]
+                del symbols[i + 1], ranks[i]
+                if i < len(ranks):
+                    ranks[i] = rank_of(new * size + symbols[i + 1], NO_RANK)
+                if i:
+                    ranks[i - 1] = rank_of(symbols[i - 1] * size + new, NO_RANK)
+        return array("I", symbols).tobytes()
 
-    def _stretch(self, stretch: str) -> bytes:
-        if self.lexicon is not None and (found := self.lexicon.get(stretch.encode("utf-8", "replace"))) is not None:
+    def _piece(self, piece: str) -> bytes:
+        if self.lexicon is not None and (found := self.lexicon.get(piece.encode("utf-8", "replace"))) is not None:
             return found
-        return self.merged(stretch)
+        return self.merged(piece)
+
+    def _stretch(self, stretch: str) -> bytes:
+        bare = stretch[1:] if stretch[0] == " " else stretch
+        if bare.isalpha():  # the common shapes, cut without the pattern
+            return self._piece(stretch)
+        if bare[-1:] in (".", ",") and bare[:-1].isalpha():
+            return self.stretches[stretch[:-1]] + self.stretches[stretch[-1]]
+        pieces = PIECES.findall(stretch)
+        return self._piece(stretch) if len(pieces) == 1 else b"".join(map(self.stretches.__getitem__, pieces))
 
     def _plain(self, text: str) -> bytes:
         return b"".join(map(self.stretches.__getitem__, STRETCHES.findall(text)))
@@ -178,11 +194,17 @@ class Codec:
 
 
 def word_frequencies(docs: DataFrame, text_col: str = "text", held: int = 200_000) -> DataFrame:
-    """word, n over all whole texts. Tasks add up what recurs, holding `held` words at most, before the shuffle."""
+    """word, n over all whole texts, by lossy counting.
+
+    Each task counts in windows of `held` distinct words; what occurred once in a
+    window is not sent on. So a count falls short by one a window at most: no word
+    that is frequent anywhere is missed, and the rare ones aren't shuffled.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(counts: Counter) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.string()), pa.array(counts.values(), pa.int64())], ["word", "n"])
+            often = {w: n for w, n in counts.items() if n > 1}
+            return pa.RecordBatch.from_arrays([pa.array(often.keys(), pa.string()), pa.array(often.values(), pa.int64())], ["word", "n"])
 
         counts: Counter = Counter()
         for batch in batches:
@@ -198,21 +220,21 @@ def word_frequencies(docs: DataFrame, text_col: str = "text", held: int = 200_00
 
 
 def build_lexicon(docs: DataFrame, vocabulary: bytes, entries: int = 200_000, longest: int = 48, text_col: str = "text") -> bytes:
-    """Compile the `entries` most frequent words of the corpus.
+    """Compile the most frequent words of the corpus, `entries` at most (words of equal count go in or out together).
 
-    All texts are counted; `entries` and `longest` bound the lexicon, and so what
+    All texts are read; `entries` and `longest` bound the lexicon, and so what
     reaches the driver. A word that misses the cut is merged like any unseen one,
     so the bound changes speed and never results.
     """
-    top = (
-        word_frequencies(docs, text_col)
-        .where((F.length("word") <= longest) & (F.col("n") > 1))
-        .orderBy(F.desc("n"), "word")
-        .limit(entries)
-        .collect()
-    )
+    counted = checkpoint(word_frequencies(docs, text_col).where((F.length("word") <= longest) & (F.col("n") > 1)))
+    # The least count whose words still fit, from how many words have each count: few rows, where a
+    # sorted limit would bring `entries` rows of every partition to the driver.
+    sizes = counted.groupBy("n").agg(F.count("*").alias("words"))
+    running = sizes.withColumn("total", F.sum("words").over(Window.orderBy(F.desc("n"))))
+    least = running.where(F.col("total") <= entries).agg(F.min("n").alias("least")).first().least
+    top = counted.where(F.col("n") >= least).select("word").collect() if least is not None else []
     codec = Codec(vocabulary, None)
-    return compile_lexicon((row.word.encode(), codec.merged(row.word)) for row in top)
+    return compile_lexicon((row.word.encode(), codec.merged(row.word)) for row in top if len(PIECES.findall(row.word)) == 1)
 
 
 _codecs: dict[tuple[str, str], Codec] = {}
