@@ -204,7 +204,11 @@ def classifier_for(content: bytes) -> Classifier:
 
 def train(docs: DataFrame, text_col: str = "text", background_docs: int = 200) -> Classifier:
     """Fit with the paragraphs of at most `background_docs` documents, those whose text hashes are least, as ordinary text."""
-    sample = docs.where(F.length(text_col).between(1, 20_000)).orderBy(F.xxhash64(text_col), text_col).limit(background_docs).select(text_col).collect()
+    texts = docs.where(F.length(text_col).between(1, 20_000)).select(F.xxhash64(text_col).alias("_h"), F.col(text_col).alias("_t"))
+    # The cut is found from hashes alone: a sorted limit over texts would bring that many of every partition to the driver.
+    hashes = [row[0] for row in texts.select("_h").orderBy("_h").limit(background_docs).collect()]
+    sample = texts.where(F.col("_h") <= hashes[-1]).select("_t").distinct().limit(background_docs).collect() if hashes else []
+    sample.sort()
     return fit([p for row in sample for p in row[0].split("\n")])
 
 
