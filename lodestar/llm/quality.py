@@ -3,7 +3,9 @@
 Each document gets its counts from its own text. Rule failures are summed by
 host (the source), the hosts' failure rates are shrunk with a beta prior whose
 mean and strength come from the hosts themselves, and a host whose shrunk rate
-passes a limit takes its other documents with it.
+passes a limit takes its other documents with it. The operator's verdicts have the base
+rules alone; `keep_good` also fails documents by symbols, duplicate lines and mean
+word length, and counts these failures by host too.
 
 Counts are computed in one narrow pass and checkpointed without the text; the
 sums by host combine before the shuffle, so a host with a third of the rows
@@ -80,15 +82,25 @@ def text_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
             repeat_words(w).cast("long").alias("n_repeat_words"),
         ),
     )
-    dup = let(lines, lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long"))
-    rest = [c for c in docs.columns if c not in [*COUNTS, "base_failed"]]
+    dup = let(lines, lambda x: F.struct(F.size(x).cast("long").alias("n"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("dup")))
+    rest = [c for c in docs.columns if c not in [*COUNTS, "base_failed", "_n_lines"]]
     return (
-        docs.select(*rest, counted.alias("_counted"), F.regexp_count(text, F.lit(SYMBOLS)).cast("long").alias("n_symbols"), dup.alias("n_dup_lines"))
-        .select(*rest, "_counted.n_words", "_counted.word_chars", "n_symbols", "n_dup_lines", "_counted.n_repeat_words")
+        docs.select(*rest, counted.alias("_counted"), F.regexp_count(text, F.lit(SYMBOLS)).cast("long").alias("n_symbols"), dup.alias("_lines"))
+        .select(*rest, "_counted.n_words", "_counted.word_chars", "n_symbols", F.col("_lines.dup").alias("n_dup_lines"), "_counted.n_repeat_words", F.col("_lines.n").alias("_n_lines"))
         .withColumn("base_failed", (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words")))
     )
 
 
+def any_failed() -> Column:
+    """The base rules, over one symbol in ten words, over 30 % duplicate lines, or a mean word length outside 2 to 12."""
+    return (
+        F.col("base_failed")
+        | (10 * F.col("n_symbols") > F.col("n_words"))
+        | (100 * F.col("n_dup_lines") > 30 * F.col("_n_lines"))
+        | ~F.col("word_chars").between(2 * F.col("n_words"), 12 * F.col("n_words"))
+    )
+
+
 def host_rates(counts: DataFrame, host_col: str = "source") -> DataFrame:
     """_host, n_docs, n_failed, host_rate: failure rates shrunk by the beta prior that the hosts' own rates suggest.
 
@@ -139,9 +151,9 @@ def quality_verdicts(docs: DataFrame, host_col: str = "source", limit: float = 0
 def keep_good(docs: DataFrame, host_col: str = "source", limit: float = 0.5) -> DataFrame:
     """The documents that pass, with their own columns.
 
-    The verdict is computed beside the text in a second narrow pass, so texts are
+    All rules count here, alone and by host. The verdict is computed beside the text in a second narrow pass, so texts are
     never shuffled: only the hosts' sums are.
     """
-    hosts = host_rates(text_counts(docs.select(host_col, "text")).select(host_col, "base_failed"), host_col)
+    hosts = host_rates(text_counts(docs.select(host_col, "text")).select(host_col, any_failed().alias("base_failed")), host_col)
     inner = docs.select(F.struct(*docs.columns).alias("_row"), F.col("text"), F.col(host_col).alias("_source"))
-    return with_verdicts(text_counts(inner), hosts, "_source", limit).where("kept").select("_row.*")
+    return with_verdicts(text_counts(inner).withColumn("base_failed", any_failed()), hosts, "_source", limit).where("kept").select("_row.*")
