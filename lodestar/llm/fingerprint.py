@@ -1,7 +1,7 @@
 """Canonical exact digests in DataFrame functions alone (operator 10).
 
-A text is case-folded, put in Unicode normal form C and has its white space
-folded; the digest is two chained 64-bit xxhashes of the result. Documents are
+A text is put in Unicode normal form C, case-folded, put in form C again (folding
+can leave it) and has its white space folded; the digest is two chained 64-bit xxhashes of the result. Documents are
 grouped by digest, and inside a group that holds more than one document the
 bytes are compared: its least and greatest canonical text must be equal.
 
@@ -15,7 +15,8 @@ other and to texts of white space alone. Rows that share an id are separate
 documents; the one whose text has the least hash is "the next document" of the
 id before, and the rows of an id share their next document. Rows without an id
 have no next document: nothing replaces their last quarter. A single document
-is its own next one. Extra columns are ignored.
+is its own next one. Extra columns are ignored. An empty table gives an empty
+result. Very long texts take part whole: all work is inside the row.
 """
 
 from __future__ import annotations
@@ -150,9 +151,12 @@ def normal_form_c(text: Column) -> Column:
 
 
 def canonical(text: Column) -> Column:
-    """Case-folded, in form C, white space folded; null as empty."""
+    """In form C, case-folded, in form C again, white space folded; null as empty.
+
+    Without the first step a mark whose upper case is a letter would stop the reordering of those around it.
+    """
     # The step between keeps the optimizer from reading lower(upper(x)) as lower(x), which would lose "ß" = "ss".
-    upper = F.replace(F.upper(F.coalesce(text, F.lit(""))), F.lit("ẞ"), F.lit("SS"))
+    upper = F.replace(F.upper(normal_form_c(F.coalesce(text, F.lit("")))), F.lit("ẞ"), F.lit("SS"))
     folded = F.replace(F.lower(upper), F.lit("ς"), F.lit("σ"))
     return let(folded, lambda x: F.trim(F.regexp_replace(normal_form_c(x), r"(?U)\s+", " ")))
 
