@@ -12,9 +12,10 @@ length do. A document longer than the greatest length gives whole bins of that
 length, which are final at once, and one remainder that is packed.
 
 Defined results: null, negative and zero lengths take no part and return no row.
-Repeated rows are packed as many times as they occur and told apart by `copy`
-(0, 1, ...); ties go by length, id, copy and piece. An empty table gives an
-empty result.
+Rows of one id, equal or not, are packed each for itself and told apart by `copy`
+(0, 1, ... by rising length); ties go by length, id, copy and piece. An empty
+table gives an empty result. Other columns are ignored, whatever their names; very
+long documents give whole bins and one remainder.
 """
 
 from __future__ import annotations
@@ -23,11 +24,13 @@ import bisect
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Permitted sequence lengths in tokens.
 LENGTHS = (512, 1024, 2048, 4096, 8192)
+#: Copies of one row are numbered in arrays of so many at most.
+BLOCK = 4096
 
 
 def sequence_cost(length: int, overhead: int = 64, quadratic: float = 1 / 65536) -> float:
@@ -84,12 +87,17 @@ def pack(
     """(id, copy, piece, n_tokens, bin_id, bin_capacity, bin_offset), one row for every piece of every document."""
     most = max(capacities)
     kind = lengths.schema[id_col].dataType.simpleString()
+    # One row for each length of an id: the lengths before give the number of its first copy.
+    before = Window.partitionBy("_id").orderBy("_n").rowsBetween(Window.unboundedPreceding, -1)
     items = (
         lengths.select(F.col(id_col).alias("_id"), F.col(length_col).cast("long").alias("_n"))
         .where("_n > 0")
         .groupBy("_id", "_n")
         .agg(F.count("*").alias("_copies"))
-        .select("_id", "_n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_copies") - 1)).alias("_copy"))
+        .withColumn("_before", F.coalesce(F.sum("_copies").over(before), F.lit(0)))
+        .select("_id", "_n", "_before", "_copies", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(_copies - 1) div {BLOCK}"))).alias("_block"))
+        .select("_id", "_n", "_before", F.explode(F.sequence(F.col("_block") * BLOCK, F.least(F.col("_copies"), (F.col("_block") + 1) * BLOCK) - 1)).alias("_copy"))
+        .select("_id", "_n", (F.col("_before") + F.col("_copy")).alias("_copy"))
     )
     whole = (
         items.where(F.col("_n") > most)
