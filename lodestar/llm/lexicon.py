@@ -193,11 +193,12 @@ class Codec:
         return b"".join(map(self.merges.bytes_of.__getitem__, memoryview(ids).cast("I"))).decode("utf-8", "replace")
 
 
-def word_frequencies(docs: DataFrame, text_col: str = "text", held: int = 200_000) -> DataFrame:
+def word_frequencies(docs: DataFrame, text_col: str = "text", held: int = 200_000, longest: int = 48) -> DataFrame:
     """word, n over all whole texts, by lossy counting.
 
     Each task counts in windows of `held` distinct words; what occurred once in a
-    window is not sent on. So a count falls short by one a window at most: no word
+    window is not sent on, nor are stretches of more than `longest` characters even
+    held, so texts without spaces cost no memory. So a count falls short by one a window at most: no word
     that is frequent anywhere is missed, and the rare ones aren't shuffled.
     """
 
@@ -210,7 +211,7 @@ def word_frequencies(docs: DataFrame, text_col: str = "text", held: int = 200_00
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 if text:
-                    counts.update(STRETCHES.findall(text))
+                    counts.update(w for w in STRETCHES.findall(text) if len(w) <= longest)
                     if len(counts) > held:
                         yield out(counts)
                         counts = Counter()
@@ -226,7 +227,7 @@ def build_lexicon(docs: DataFrame, vocabulary: bytes, entries: int = 200_000, lo
     reaches the driver. A word that misses the cut is merged like any unseen one,
     so the bound changes speed and never results.
     """
-    counted = checkpoint(word_frequencies(docs, text_col).where((F.length("word") <= longest) & (F.col("n") > 1)))
+    counted = checkpoint(word_frequencies(docs, text_col, longest=longest).where("n > 1"))
     # The least count whose words still fit, from how many words have each count: few rows, where a
     # sorted limit would bring `entries` rows of every partition to the driver.
     sizes = counted.groupBy("n").agg(F.count("*").alias("words"))

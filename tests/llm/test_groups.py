@@ -165,10 +165,24 @@ def test_form_c_is_the_librarys(spark):
 
 
 def plain_canonical(text):
-    folded = (text or "").upper().replace("ẞ", "SS").lower().replace("ς", "σ")
+    folded = unicodedata.normalize("NFD", text or "").upper().replace("ẞ", "SS").lower().replace("ς", "σ")
     return re.sub(r"\s+", " ", unicodedata.normalize("NFC", folded)).strip(" ")
 
 
+def test_canonically_equivalent_texts_share_a_digest(spark):
+    """The upper case of U+0345 is a letter: folded first, it would stop the reordering."""
+    pairs = [("α\u0345\u0301", "\u1fb4"), ("Å", "A\u030a"), ("\u1e9b\u0323", "\u017f\u0323\u0307"), ("가", "\u1100\u1161"), ("ω\u0345\u0342", "\u1ff7")]
+    assert all(unicodedata.normalize("NFC", a) == unicodedata.normalize("NFC", b) for a, b in pairs)
+    rows = [(k, x) for k, pair in enumerate(pairs) for x in pair]
+    found = {}
+    for r in fingerprint.duplicate_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        found.setdefault(r.doc_id, set()).add(r.fingerprint)
+    assert all(len(f) == 1 for f in found.values()) and len({min(f) for f in found.values()}) == len(pairs)
+    texts = [x for _, x in rows] + ["ΑΙ\u0301", "ᾼ\u0301", "ǰ", "ΰ"]
+    df = spark.createDataFrame([(x,) for x in texts], "x string")
+    assert all(r.y == plain_canonical(r.x) for r in df.select("x", fingerprint.canonical(F.col("x")).alias("y")).collect())
+
+
 def test_edits_and_likeness(documents, awkward, empty):
     for docs in (documents, awkward):
         rows = docs.select("doc_id", "text").distinct().collect()
@@ -252,3 +266,53 @@ def test_bytes_are_compared_inside_a_digest(spark, monkeypatch):
     monkeypatch.setattr(fingerprint, "digest", lambda c: F.concat(F.lit("d"), F.substring(c, 1, 0)))
     with pytest.raises(Exception, match="one digest holds different texts"):
         fingerprint.duplicate_groups(docs).collect()
+
+
+def plain_pack(lengths, capacities, cost):
+    """Best fit written out: scan all open bins for the least room, all lengths for the least cost by expected token."""
+    bins, to_come = [], sorted(lengths, reverse=True)
+    while to_come:
+        x = to_come.pop(0)
+        fitting = [b for b in bins if b["room"] >= x]
+        if fitting:
+            b = min(fitting, key=lambda b: (b["room"], b["k"]))
+        else:
+            best = None
+            for c in sorted(c for c in capacities if c >= x):
+                gap, expected = c - x, 0
+                for y in sorted(y for y in to_come if y <= c - x):
+                    expected += y
+                rate = cost(c) / (x + min(gap, expected))
+                if best is None or rate < best[0]:
+                    best = (rate, c)
+            b = {"room": best[1], "k": len(bins), "items": []}
+            bins.append(b)
+        b["items"].append(x)
+        b["room"] -= x
+    return sorted((min(c for c in capacities if c >= sum(b["items"])), sorted(b["items"])) for b in bins)
+
+
+def test_packing_equals_a_scan_of_all_bins(spark):
+    rng = random.Random(11)
+    for trial in range(6):
+        wanted = [(k, rng.choice([3, 60, 500, 700, 1200, 2500, rng.randrange(1, 8193)])) for k in range(120)]
+        rows = packing.pack(spark.createDataFrame(wanted, "doc_id long, n_tokens long")).collect()
+        bins = {}
+        for r in rows:
+            bins.setdefault((r.bin_id, r.bin_capacity), []).append(r.n_tokens)
+        got = sorted((c, sorted(items)) for (_, c), items in bins.items())
+        assert got == plain_pack([n for _, n in wanted], packing.LENGTHS, packing.sequence_cost), trial
+
+
+def test_packing_of_documents(spark, awkward, empty):
+    """Rows of one id and different lengths are different copies."""
+    rows = packing.pack(spark.createDataFrame([(1, 900), (1, 700), (1, 700), (None, 5), (None, 6)], "doc_id long, n_tokens long")).collect()
+    assert sorted((str(r.doc_id), r["copy"], r.n_tokens) for r in rows) == [("1", 0, 700), ("1", 1, 700), ("1", 2, 900), ("None", 0, 5), ("None", 1, 6)]
+    many = packing.pack(spark.createDataFrame([(1, 3)] * 5000, "doc_id long, n_tokens long")).collect()
+    assert sorted(r["copy"] for r in many) == list(range(5000))
+    from lodestar.llm import bpe
+    from lodestar.llm.queries import vocabulary
+
+    counts = [(r.doc_id, r.n_tokens) for r in bpe.token_counts(awkward, vocabulary("word_bpe_49k.json")).collect()]
+    check_packing(packing.pack_documents(awkward, vocabulary("word_bpe_49k.json")).collect(), counts, packing.LENGTHS)
+    assert packing.pack_documents(empty, vocabulary("word_bpe_49k.json")).count() == 0

@@ -73,3 +73,8 @@ def test_transducer_is_minimal_and_exact(n):
     assert all(made.get(w + b"x") is None and made.get(w[:-1] + b"d") is None for w in words)
     prefixes = {w[:k] for w in words for k in range(len(w) + 1)} | {b""}
     assert made.n_states == len({frozenset(w[len(p) :] for w in words if w.startswith(p)) for p in prefixes})
+
+
+def test_long_stretches_are_not_counted(spark):
+    docs = spark.createDataFrame([("ab " * 5 + "Q" * 60 + " " + "Q" * 60,)], "text string")
+    assert {r.word.strip(): r.n for r in lexicon.word_frequencies(docs).collect()} == {"ab": 4}
