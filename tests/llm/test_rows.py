@@ -71,6 +71,7 @@ def test_licences_are_found_and_prose_is_left(spark, documents, awkward, empty):
         "Released under the MIT License.": "mit",
         "This work is licensed under the GNU General Public License, version 3.": "gpl",
         "Licensed under CC BY-NC 4.0.": "cc-by-nc",
+        "All rights reserved.": "proprietary",
     }
     for text, family in shown.items():
         assert classifier.classify(text)[0] == family
