@@ -23,12 +23,14 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def checkpoint(df: DataFrame) -> DataFrame:
     """Cut lineage through the folder that all executors share.
 
-    ``spark.checkpoint.dir`` is read from the session; where it is unset (tests
-    on one machine) a temporary folder takes its place.
+    ``spark.checkpoint.dir`` is read from the session. Where it is unset, a temporary
+    folder takes its place in local mode alone: on a cluster executors would write to disks of their own.
     """
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not shared and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="lodestar-checkpoint-"))
     return df.checkpoint(eager=True)
 
