@@ -54,19 +54,47 @@ def synthesis_context(hits: DataFrame, labels: int = 6, documents: int = 16) ->
     return docs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= documents)
 
 
-def evidence_summary(hits: DataFrame) -> DataFrame:
+def evidence_flags(chunks: DataFrame) -> DataFrame:
+    """Adds the signals of each chunk, so that the long patterns run once a chunk and not once a hit."""
     corpus = F.concat_ws(" ", F.coalesce("section_title", F.lit("")), F.coalesce("content", F.lit("")))
     structured = F.lower("source_type").isin("xlsx", "csv")
     authority = structured | F.col("doc_title").rlike(P.AUTHORITATIVE_TITLE) | F.coalesce("section_title", F.lit("")).rlike(P.AUTHORITATIVE_SECTION)
-    return hits.groupBy("query_id").agg(
+    return chunks.withColumns(
+        {
+            "list_signal": corpus.rlike(P.LIST_TEXT_SIGNAL), "rule_signal": corpus.rlike(P.RULE_SIGNAL), "is_structured": structured, "is_authoritative": authority,
+            "rule_categories": T.reasons(*[(corpus.rlike(p), name) for name, p in RULE_CATEGORIES]),
+        }
+    )
+
+
+#: Kinds of rules a text can state; own lists, parameters of nothing that must match another system.
+RULE_CATEGORIES = (
+    ("obligation", r"(?i)\b(?:must|shall|required?)\b"), ("prohibition", r"(?i)\b(?:must not|shall not|never|prohibited)\b"), ("condition", r"(?i)\b(?:if|unless|provided that)\b"),
+    ("timing", r"(?i)\b(?:before|after|within|until)\b"), ("limit", r"(?i)\b(?:maximum|minimum|limit|at least|at most)\b"), ("exception", r"(?i)\b(?:except|exempt|waiver)\w*\b"),
+)
+
+
+def evidence_summary(hits: DataFrame) -> DataFrame:
+    """Counts of each question's evidence, and whether lists, rules and sources are covered; hits carry `evidence_flags`."""
+    found = hits.groupBy("query_id").agg(
         F.count_distinct("document_id").alias("documents"),
         F.count("*").alias("chunks"),
         F.count("section_title").alias("titled"),
-        F.count_if(corpus.rlike(P.LIST_TEXT_SIGNAL)).alias("list_signals"),
-        F.count_if(corpus.rlike(P.RULE_SIGNAL)).alias("rule_signals"),
-        F.count_if(structured).alias("structured"),
-        F.count_if(authority).alias("authoritative"),
+        F.count_if("list_signal").alias("list_signals"),
+        F.count_if("rule_signal").alias("rule_signals"),
+        F.count_if("is_structured").alias("structured"),
+        F.count_if("is_authoritative").alias("authoritative"),
+        *[F.max(F.array_contains("rule_categories", name).cast("int")).alias(f"_{name}") for name, _ in RULE_CATEGORIES],
     )
+    kinds = sum((F.col(f"_{name}") for name, _ in RULE_CATEGORIES[1:]), F.col(f"_{RULE_CATEGORIES[0][0]}"))
+    return found.withColumns(
+        {
+            "rule_kinds": kinds,
+            "covers_lists": F.col("list_signals") >= 2,
+            "covers_rules": (F.col("rule_signals") >= 2) & (kinds >= 2),
+            "covers_sources": (F.col("documents") >= 2) & (F.col("authoritative") > 0),
+        }
+    ).drop(*[f"_{name}" for name, _ in RULE_CATEGORIES])
 
 
 def evidence_policy(summary: DataFrame, queries: DataFrame) -> DataFrame:

@@ -15,6 +15,7 @@ from pyspark.sql.window import WindowSpec
 
 from lodestar.functions import patterns as P
 from lodestar.functions import text as T
+from lodestar.operators.shared import cut, sent
 
 
 def by_doc() -> WindowSpec:
@@ -44,15 +45,14 @@ def with_heading_stack(secs: DataFrame) -> DataFrame:
 
 
 def under(pattern: str) -> Column:
-    """The section's title or any open heading matches."""
-    return F.coalesce(F.col("title").rlike(pattern), F.lit(False)) | F.exists("heading_stack", lambda h: h.rlike(pattern))
+    """The section's title or any open heading matches; `_path` holds them as one text, parted by a character that no pattern takes for a space."""
+    return F.col("_path").rlike(pattern)
 
 
 def classify_sections(secs: DataFrame) -> DataFrame:
     """Adds section_type, confidence, retrieval_excluded, retrieval_downranked, exclusion_tag. The first rule that holds counts."""
     content = F.coalesce("content", F.lit(""))
-    verbs = F.size(T.imperative_verbs(content))
-    tokens = T.token_count(content)
+    verbs, tokens = F.col("_verbs"), F.col("_tokens")
 
     def outcome(kind: str, confidence: float, excluded: Column | bool = False, downranked: bool = False, tag: Column | str | None = None) -> Column:
         lit = lambda x: x if isinstance(x, Column) else F.lit(x)
@@ -81,7 +81,9 @@ def classify_sections(secs: DataFrame) -> DataFrame:
         .otherwise(outcome("paragraph", 0.5))
     )
     source = secs if "heading_stack" in secs.columns else with_heading_stack(secs)
-    return source.withColumn("_c", found).select("*", "_c.*").drop("_c", "heading_stack")
+    path = F.array_join(F.concat(F.array(F.coalesce("title", F.lit(""))), F.col("heading_stack")), "\x01")
+    source = source.withColumns({"_path": path, "_verbs": F.size(T.imperative_verbs(content)), "_tokens": T.token_count(content)})
+    return source.withColumn("_c", found).select("*", "_c.*").drop("_c", "heading_stack", "_path", "_verbs", "_tokens")
 
 
 def fingerprints(secs: DataFrame) -> DataFrame:
@@ -94,19 +96,22 @@ def suppress_boilerplate(secs: DataFrame, mode: str = "rebuild", threshold: int
     """Sets is_boilerplate, boilerplate_hash, suppressed_by and the exclusion of classified sections.
 
     Footers and stubs are skipped, protected content is never touched, rules come
-    before corpus counts, and those count only when the corpus is rebuilt.
+    before corpus counts, and those count only when the corpus is rebuilt. Blocks
+    that recur are few, so their hashes are counted, cut and sent to the sections,
+    whose text never moves; rules run once a row, below the join.
     """
     content = F.coalesce("content", F.lit(""))
-    out = secs.withColumn("boilerplate_hash", T.boilerplate_hash(content))
+    out = secs.withColumns({"boilerplate_hash": T.boilerplate_hash(content), "_rule": T.rule_boilerplate(content)})
     if mode == "rebuild":
-        counts = fingerprints(secs).where(F.col("occurrence_count") >= threshold).select("boilerplate_hash", F.col("occurrence_count").alias("_n"))
-        out = out.join(counts, "boilerplate_hash", "left")
+        hashed = secs.where(F.trim(content) != "").select(T.boilerplate_hash(F.col("content")).alias("boilerplate_hash"))
+        counts = hashed.groupBy("boilerplate_hash").agg(F.count("*").alias("_n")).where(F.col("_n") >= threshold)
+        out = out.join(sent(cut(counts)), "boilerplate_hash", "left")
     else:
         out = out.withColumn("_n", F.lit(None).cast("long"))
     by = (
         F.when(F.col("section_type").isin("footer_header", "form_stub"), F.lit(None))
         .when(T.is_protected(content, domain_terms), F.lit(None))
-        .when(T.rule_boilerplate(content).isNotNull(), F.concat(F.lit("rule:"), T.rule_boilerplate(content)))
+        .when(F.col("_rule").isNotNull(), F.concat(F.lit("rule:"), F.col("_rule")))
         .when(F.col("_n").isNotNull() & T.is_low_information(content, domain_terms), "corpus")
     )
     return (
@@ -114,7 +119,7 @@ def suppress_boilerplate(secs: DataFrame, mode: str = "rebuild", threshold: int
         .withColumn("is_boilerplate", F.col("suppressed_by").isNotNull())
         .withColumn("retrieval_excluded", F.col("retrieval_excluded") | F.col("is_boilerplate"))
         .withColumn("exclusion_tag", F.when(F.col("is_boilerplate"), "duplicate_boilerplate").otherwise(F.col("exclusion_tag")))
-        .drop("_n")
+        .drop("_n", "_rule")
     )
 
 

@@ -1,12 +1,17 @@
 """Batched search: every operator answers a whole table of questions at once.
 
-Text channels are equality joins on terms or grams, so a posting list is probed
-by a shuffle join instead of a scan a question. Questions are broadcast only
-when their table is measured to be small.
+Full text is an equality join on terms, so a posting list is probed by a shuffle
+join instead of a scan a question. Questions go to every task only when their
+table is measured to be small.
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -97,17 +102,83 @@ def chunk_grams(chunks: DataFrame, col: str = "content") -> DataFrame:
     return chunks.select("chunk_id", T.trigrams(F.col(col)).alias("_g")).select("chunk_id", F.size("_g").alias("n_grams"), F.explode("_g").alias("gram"))
 
 
-def trigram_search(queries: DataFrame, chunks: DataFrame, k: int, threshold: float = 0.3, col: str = "content") -> DataFrame:
-    """Jaccard similarity of trigram sets by an equality join on grams: shared / (a + b - shared).
+#: A question table whose matrix of questions by distinct grams has so many places at most goes to every task.
+MATRIX_PLACES = 16_000_000
+_WORD = re.compile("[a-z0-9]+")
+
+
+def gram_set(text: str | None) -> set[str]:
+    """Distinct trigrams of each word, lower case, padded with two spaces before and one after."""
+    return {f"  {w} "[i : i + 3] for w in set(_WORD.findall((text or "").lower())) for i in range(len(w) + 1)}
+
+
+def trigram_search(queries: DataFrame, chunks: DataFrame, k: int, threshold: float = 0.3, cols: tuple[str, ...] = ("content",)) -> DataFrame:
+    """Jaccard similarity of trigram sets, shared / (a + b - shared); of several columns the greatest counts.
 
-    Sets whose sizes differ by more than the threshold allows are dropped at the join.
+    Frequent grams are in most chunks, so an equality join on grams would make a row
+    for nearly every (question, chunk, gram). While the questions' matrix is small
+    (it is measured), tasks multiply it with blocks of their own chunks, and each
+    task keeps the `k` best of a question: nothing else is shuffled. Larger question
+    tables meet the chunks by an equality join on grams.
     """
-    q = chunk_grams(queries.select(F.col("query_id").alias("chunk_id"), F.col("question").alias(col)), col)
+    fields = [chunks.select("chunk_id", F.col(c).alias("content")) for c in cols]
+    asked = queries.select("query_id", T.trigrams(F.col("question")).alias("_g"))
+    size = asked.agg(F.count("*").alias("n")).crossJoin(asked.select(F.explode("_g").alias("g")).agg(F.count_distinct("g").alias("grams"))).first()
+    if size.n * size.grams > MATRIX_PLACES:
+        found = fields[0].sparkSession.createDataFrame([], "query_id long, chunk_id long, score double")
+        for one in fields:
+            found = found.unionByName(gram_join(queries, one, threshold))
+    else:
+        rows = asked.where(F.size("_g") > 0).collect()
+        found = multiplied(fields, [r.query_id for r in rows], [list(r._g) for r in rows], k, threshold, queries.schema["query_id"].dataType.simpleString(), chunks.schema["chunk_id"].dataType.simpleString())
+    return top_k(found.groupBy("query_id", "chunk_id").agg(F.max("score").alias("score")), k)
+
+
+def multiplied(fields: list[DataFrame], ids: list, grams: list[list[str]], k: int, threshold: float, query_type: str, chunk_type: str, block: int = 512) -> DataFrame:
+    """(query_id, chunk_id, score): the best of each task, by products of 0/1 matrices."""
+    place = {g: i for i, g in enumerate(sorted({g for gs in grams for g in gs}))}
+    held = np.zeros((len(place), len(ids)), np.float32)
+    for j, gs in enumerate(grams):
+        held[[place[g] for g in gs], j] = 1
+    sizes = held.sum(axis=0)
+    shared = fields[0].sparkSession.sparkContext.broadcast((place, held, sizes, ids))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        place, held, sizes, ids = shared.value
+        best: pd.DataFrame | None = None
+        for batch in batches:
+            for at in range(0, len(batch), block):
+                part = batch.iloc[at : at + block]
+                own = [gram_set(t) for t in part["content"]]
+                mine = np.zeros((len(part), len(place)), np.float32)
+                for i, gs in enumerate(own):
+                    mine[i, [p for p in map(place.get, gs) if p is not None]] = 1
+                both = (mine @ held).astype(np.float64)
+                n = np.array([len(gs) for gs in own], np.float64)
+                score = both / np.maximum(n[:, None] + sizes[None, :] - both, 1)
+                i, j = np.nonzero(score >= threshold)
+                new = pd.DataFrame({"query_id": [ids[x] for x in j], "chunk_id": part["chunk_id"].to_numpy()[i], "score": score[i, j]})
+                best = new if best is None else pd.concat([best, new])
+            if best is not None and len(best) > 4 * k * len(ids):
+                best = best.sort_values(["score", "chunk_id"], ascending=[False, True]).groupby("query_id", sort=False).head(k)
+        if best is not None and len(best):
+            yield best.sort_values(["score", "chunk_id"], ascending=[False, True]).groupby("query_id", sort=False).head(k)
+
+    out = [f.mapInPandas(run, f"query_id {query_type}, chunk_id {chunk_type}, score double") for f in fields]
+    whole = out[0]
+    for more in out[1:]:
+        whole = whole.unionByName(more)
+    return whole
+
+
+def gram_join(queries: DataFrame, chunks: DataFrame, threshold: float) -> DataFrame:
+    """The same scores by an equality join on grams; sets whose sizes differ too much are dropped at the join."""
+    q = chunk_grams(queries.select(F.col("query_id").alias("chunk_id"), F.col("question").alias("content")))
     q = q.select(F.col("chunk_id").alias("query_id"), F.col("n_grams").alias("_qn"), "gram")
-    joined = chunk_grams(chunks, col).join(q, "gram").where((F.col("n_grams") >= threshold * F.col("_qn")) & (F.col("n_grams") * threshold <= F.col("_qn")))
+    joined = chunk_grams(chunks).join(q, "gram").where((F.col("n_grams") >= threshold * F.col("_qn")) & (F.col("n_grams") * threshold <= F.col("_qn")))
     shared = joined.groupBy("query_id", "chunk_id").agg(F.count("*").alias("_s"), F.max("n_grams").alias("_a"), F.max("_qn").alias("_b"))
     scored = shared.select("query_id", "chunk_id", (F.col("_s") / (F.col("_a") + F.col("_b") - F.col("_s"))).alias("score"))
-    return top_k(scored.where(F.col("score") >= threshold), k)
+    return scored.where(F.col("score") >= threshold)
 
 
 def ilike_any(col: Column, patterns: Column) -> Column:
@@ -159,29 +230,42 @@ def authoritative_anchors(hits: DataFrame, chunks: DataFrame, k: int) -> DataFra
     return top_k(hits.select("query_id", "chunk_id").join(chunks, "chunk_id").withColumn("score", score).where("score IS NOT NULL").select("query_id", "chunk_id", "score"), k)
 
 
-def hybrid_search(queries: DataFrame, chunks: DataFrame, postings: DataFrame, k: int = 25, final: int = 8, vectors: DataFrame | None = None, threshold: float = 0.3) -> DataFrame:
-    """Three channels, min-max normalised, fused by weight; without question vectors the text channels stand alone."""
+TEXT_COLUMNS = ("content", "citation_label", "section_title")
+
+
+def hybrid_search(
+    queries: DataFrame, chunks: DataFrame, postings: DataFrame, k: int = 25, final: int = 8, vectors: DataFrame | None = None, threshold: float = 0.3, refs: DataFrame | None = None
+) -> DataFrame:
+    """Three channels, min-max normalised, fused by weight; without question vectors the text channels stand alone.
+
+    Trigrams score the best of content, label and section title; titles that hold one of `refs` (query_id, ref) are admitted with score 0.
+    """
     from lodestar.operators import fusion
 
     fts = fulltext_search(queries, postings, k, match="any").select("query_id", "chunk_id", "score")
-    trg = trigram_search(queries, chunks, k, threshold).select("query_id", "chunk_id", "score")
-    vec = vector_search(vectors, chunks, k).select("query_id", "chunk_id", "score") if vectors is not None else None
+    trg = trigram_search(queries, chunks, k, threshold, TEXT_COLUMNS).select("query_id", "chunk_id", "score")
+    if refs is not None:
+        trg = fusion.dedupe_max(trg.unionByName(title_admissions(refs, chunks)))
+    vec = vector_search(vectors, chunks.where(F.col("embedding").isNotNull()), k).select("query_id", "chunk_id", "score") if vectors is not None else None
     return top_k(fusion.fuse(vec, fts, trg), final)
 
 
 def title_admissions(refs: DataFrame, chunks: DataFrame) -> DataFrame:
     """(query_id, chunk_id, score 0) of chunks whose section or document title holds a reference as a run of words.
 
-    refs(query_id, ref). Titles are cut into runs of up to four words, so that the join
-    is an equality whatever the sizes.
+    refs(query_id, ref). Titles are cut into runs of the lengths that references
+    have, so that the join is an equality whatever the sizes.
     """
     norm = lambda c: F.filter(F.split(F.lower(F.coalesce(c, F.lit(""))), r"[^a-z0-9.]+"), lambda w: w != "")
+    asked = refs.select("query_id", norm("ref").alias("_w")).where(F.size("_w") > 0).select("query_id", F.array_join("_w", " ").alias("_ref"), F.size("_w").alias("_n")).distinct()
+    lengths = [r[0] for r in asked.select("_n").distinct().orderBy("_n").collect()]
+    if not lengths:
+        return asked.join(chunks.select("chunk_id"), F.lit(False)).select("query_id", "chunk_id", F.lit(0.0).alias("score"))
     runs = lambda w, n: F.transform(F.sequence(F.lit(1), F.size(w) - (n - 1)), lambda i: F.array_join(F.slice(w, i, n), " "))
     none = F.array().cast("array<string>")
-    spread = lambda w: F.array_distinct(F.concat(*[F.when(F.size(w) >= n, runs(w, n)).otherwise(none) for n in (1, 2, 3, 4)]))
+    spread = lambda w: F.array_distinct(F.concat(*[F.when(F.size(w) >= n, runs(w, n)).otherwise(none) for n in lengths]))
     titled = chunks.select("chunk_id", norm("section_title").alias("_s"), norm("doc_title").alias("_d"))
     keys = titled.select("chunk_id", F.explode(F.array_distinct(F.concat(spread(F.col("_s")), spread(F.col("_d"))))).alias("_ref"))
-    asked = refs.select("query_id", F.array_join(norm("ref"), " ").alias("_ref")).distinct()
     return keys.join(asked, "_ref").select("query_id", "chunk_id", F.lit(0.0).alias("score")).distinct()
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestar.functions import patterns as P
@@ -18,11 +18,14 @@ def q(text: str) -> str:
 
 def repeated_blocks_by_source(spark: SparkSession, sf_dir: str, at_least: int = 3) -> DataFrame:
     """The flagship: which share of each source's blocks recurs in `at_least` documents or more."""
-    secs = sections(spark, sf_dir).withColumn("boilerplate_hash", T.boilerplate_hash(F.col("content")))
-    counts = secs.groupBy("boilerplate_hash").agg(F.count_distinct("doc_id").alias("docs"))
+    secs = sections(spark, sf_dir).select("doc_id", "source", T.boilerplate_hash(F.col("content")).alias("h"))
+    # One pass over the text: sections by (block, source, document), then by (block, source); a block's documents are a sum over its sources.
+    each = secs.groupBy("h", "source", "doc_id").agg(F.count("*").alias("n"))
+    blocks = each.groupBy("h", "source").agg(F.sum("n").alias("n"), F.count("*").alias("docs"))
+    whole = blocks.withColumn("docs", F.sum("docs").over(Window.partitionBy("h")))
     return (
-        secs.join(counts, "boilerplate_hash").groupBy("source")
-        .agg(F.count("*").alias("sections"), F.count_if(F.col("docs") >= at_least).alias("repeated"), F.count_distinct(F.when(F.col("docs") >= at_least, F.col("boilerplate_hash"))).alias("blocks"))
+        whole.groupBy("source")
+        .agg(F.sum("n").alias("sections"), F.sum(F.when(F.col("docs") >= at_least, F.col("n")).otherwise(0)).alias("repeated"), F.count_if(F.col("docs") >= at_least).alias("blocks"))
         .withColumn("share", F.round(F.col("repeated") / F.col("sections"), 6))
     )
 

@@ -16,6 +16,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A table that lies in one file is read by few tasks, so its rows are dealt out first; tables of many files stay as they are."""
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if len(df.inputFiles()) == 1 else df
+
+
 #: Read by both engines.
 VERSIONS = """
 SELECT o_orderkey AS id, concat('docs/', o_custkey) AS source_path,
@@ -52,7 +57,7 @@ def hits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Non-empty lines: tables hold a bar, lists start with a mark, lines of up to three words are headings."""
-    lines = table(spark, sf_dir, "documents").select("doc_id", "source", F.posexplode(F.split("text", "\n")).alias("pos", "content"))
+    lines = spread(table(spark, sf_dir, "documents").select("doc_id", "source", "text")).select("doc_id", "source", F.posexplode(F.split("text", "\n")).alias("pos", "content"))
     content = F.trim("content")
     kind = F.when(content.contains("|"), "table").when(content.rlike(r"^[-*•]"), "list").when(T.token_count(content) <= 3, "heading").otherwise("paragraph")
     return lines.where(content != "").select("doc_id", "source", F.col("pos").cast("long").alias("pos"), content.alias("content"), kind.alias("type"), F.lit(None).cast("string").alias("title"), (1 + F.pmod("pos", F.lit(3))).cast("int").alias("level"))

@@ -211,15 +211,16 @@ SELECT query_id, doc_title, folder, upper(trim(CASE WHEN regexp_extract(doc_titl
 
 def evidence_summary(spark, sf_dir):
     h = _unique(spark, sf_dir).select("query_id", F.col("chunk_id").alias("k"))
-    c = chunks(spark, sf_dir).withColumn("k", F.col("document_id") * 3 + F.col("chunk_index"))
-    return evidence.evidence_summary(h.join(c, "k"))
+    c = evidence.evidence_flags(chunks(spark, sf_dir)).withColumn("k", F.col("document_id") * 3 + F.col("chunk_index"))
+    return evidence.evidence_summary(h.join(c.drop("content", "citation_label"), "k"))
 
 
 SUMMARY = f"""
 WITH j AS (SELECT h.query_id, c.*, concat_ws(' ', coalesce(section_title, ''), content) AS corpus FROM ({DEDUPED}) h JOIN ({CHUNKS}) c ON h.chunk_id = c.document_id * 3 + c.chunk_index)
-SELECT query_id, count(DISTINCT document_id) AS documents, count(*) AS chunks, count(section_title) AS titled, count(*) FILTER (WHERE regexp_matches(corpus, {q(P.LIST_TEXT_SIGNAL)})) AS list_signals,
+SELECT *, list_signals >= 2 AS covers_lists, rule_signals >= 2 AND rule_kinds >= 2 AS covers_rules, documents >= 2 AND authoritative > 0 AS covers_sources FROM (
+SELECT query_id, {" + ".join(f"max(regexp_matches(corpus, {q(p)})::INT)" for _, p in evidence.RULE_CATEGORIES)} AS rule_kinds, count(DISTINCT document_id) AS documents, count(*) AS chunks, count(section_title) AS titled, count(*) FILTER (WHERE regexp_matches(corpus, {q(P.LIST_TEXT_SIGNAL)})) AS list_signals,
   count(*) FILTER (WHERE regexp_matches(corpus, {q(P.RULE_SIGNAL)})) AS rule_signals, count(*) FILTER (WHERE source_type = 'xlsx') AS structured,
-  count(*) FILTER (WHERE source_type = 'xlsx' OR regexp_matches(doc_title, {q(P.AUTHORITATIVE_TITLE)}) OR regexp_matches(coalesce(section_title, ''), {q(P.AUTHORITATIVE_SECTION)})) AS authoritative FROM j GROUP BY 1
+  count(*) FILTER (WHERE source_type = 'xlsx' OR regexp_matches(doc_title, {q(P.AUTHORITATIVE_TITLE)}) OR regexp_matches(coalesce(section_title, ''), {q(P.AUTHORITATIVE_SECTION)})) AS authoritative FROM j GROUP BY 1)
 """
 
 QUERIES = {
