@@ -164,16 +164,19 @@ def hybrid_vectors(spark, sf_dir):
 
 def _as_hits(spark, sf_dir):
     """Chunks as hits of a question a document: entities are the first words of the line and of its title."""
-    c = chunks(spark, sf_dir)
+    # The two engines see word ends beside accented letters differently, so those become a plain letter.
+    plain = lambda c: F.regexp_replace(c, r"[^\x00-\x7F]", "x")
+    c = chunks(spark, sf_dir).withColumns({"content": plain("content"), "section_title": plain("section_title")})
     return c.select(
         F.col("document_id").alias("query_id"), "chunk_id", "document_id", "content", F.substring("content", 1, 60).alias("content_preview"), "section_title", "doc_title", "source_type", "retrieval_downranked",
         F.col("token_count").cast("double").alias("score"), F.regexp_extract("content", "^([A-Za-z]+) ", 1).alias("system_a"), F.regexp_extract(F.coalesce("section_title", F.lit("")), " ([a-z]{4,}) ", 1).alias("system_b"),
     )
 
 
+_PLAIN = r"(SELECT * REPLACE (regexp_replace(content, '[^\x00-\x7F]', 'x', 'g') AS content, regexp_replace(section_title, '[^\x00-\x7F]', 'x', 'g') AS section_title) FROM ({}))".format(CHUNKS)
 AS_HITS = f"""
 SELECT document_id AS query_id, chunk_id, content, coalesce(section_title, '') || ' ' || substr(content, 1, 60) || ' ' || content AS corpus, coalesce(section_title, '') AS section, doc_title, source_type, retrieval_downranked,
-  token_count::DOUBLE AS score, regexp_extract(content, '^([A-Za-z]+) ', 1) AS a, regexp_extract(coalesce(section_title, ''), ' ([a-z]{{4,}}) ', 1) AS b FROM ({CHUNKS})
+  token_count::DOUBLE AS score, regexp_extract(content, '^([A-Za-z]+) ', 1) AS a, regexp_extract(coalesce(section_title, ''), ' ([a-z]{{4,}}) ', 1) AS b FROM {_PLAIN}
 """
 
 
