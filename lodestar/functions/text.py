@@ -102,9 +102,9 @@ def is_protected(col: Column, domain_terms: str | None = None) -> Column:
     return out | col.rlike(domain_terms) if domain_terms else out
 
 
-def rule_boilerplate(col: Column) -> Column:
-    """Label of the first boilerplate rule that matches, or null."""
-    return F.coalesce(*[F.when(col.rlike(pattern), F.lit(label)) for pattern, label in P.BOILERPLATE_RULES])
+def rule_boilerplate(col: Column, own: tuple[tuple[str, str], ...] = ()) -> Column:
+    """Label of the first boilerplate rule that matches, or null; `own` are a corpus's (pattern, label) pairs, such as its export headers."""
+    return F.coalesce(*[F.when(col.rlike(pattern), F.lit(label)) for pattern, label in (*P.BOILERPLATE_RULES, *own)])
 
 
 def is_low_information(col: Column, domain_terms: str | None = None) -> Column:

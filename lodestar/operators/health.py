@@ -118,7 +118,11 @@ def ocr_quality(docs: DataFrame, noisy: float = 0.50, mixed: float = 0.30, unusa
     return docs.withColumn("ocr_quality_status", status)
 
 
-def document_priority(docs: DataFrame, high: str = r"^LOP-[A-Z]+|^EOP|MANUAL|GUIDELINES") -> DataFrame:
+#: A document's place inside its share of equals is numbered in so many id groups, so that common shares don't meet in one task.
+PIECES = 64
+
+
+def document_priority(docs: DataFrame, high: str = r"MANUAL|GUIDELINES") -> DataFrame:
     named = F.upper(F.coalesce("title", F.lit(""))).rlike(high) | F.upper(F.coalesce("folder", F.lit(""))).rlike(high)
     medium = F.coalesce(F.col("text_quality_tier") == "partial", F.lit(False)) | (F.coalesce("heading_chunk_count", F.lit(0)) > 0)
     return docs.withColumn("document_priority", F.when(~F.col("is_active"), "low").when(named, "high").when(medium, "medium").otherwise("low"))
@@ -143,15 +147,22 @@ def reprocess_candidate(docs: DataFrame) -> DataFrame:
 def reprocess_rank(docs: DataFrame) -> DataFrame:
     """Ranks candidates over the whole corpus by priority, then excluded share, then id.
 
-    Positions come from counts by (priority, share) and a running sum over those few
-    distinct pairs; the documents themselves never pass through one task.
+    Positions come from counts by (priority, share, range of ids) and a running sum
+    over those few rows; documents never pass through one task, and a share that many
+    have is numbered in `PIECES` ranges.
     """
     order = F.when(F.col("document_priority") == "high", 0).when(F.col("document_priority") == "medium", 1).otherwise(2)
     keyed = docs.where("reprocess_candidate").select("id", order.alias("_p"), F.round(-excluded_ratio(), 9).alias("_x"))
-    groups = keyed.groupBy("_p", "_x").agg(F.count("*").alias("_n"))
-    offset = groups.withColumn("_before", F.sum("_n").over(Window.orderBy("_p", "_x").rowsBetween(Window.unboundedPreceding, -1)))
-    within = F.row_number().over(Window.partitionBy("_p", "_x").orderBy("id"))
-    ranks = keyed.withColumn("_w", within).join(offset, ["_p", "_x"]).select("id", (F.coalesce("_before", F.lit(0)) + F.col("_w")).alias("reprocess_rank"))
+    if docs.schema["id"].dataType.typeName() in ("integer", "long"):
+        ends = keyed.agg(F.min("id").alias("_lo"), F.max("id").alias("_hi"))  # one row
+        part = F.floor((F.col("id") - F.col("_lo")).cast("double") / (F.col("_hi") - F.col("_lo") + 1) * PIECES)
+        keyed = keyed.crossJoin(F.broadcast(ends)).select("id", "_p", "_x", part.alias("_i"))
+    else:
+        keyed = keyed.withColumn("_i", F.lit(0))
+    groups = keyed.groupBy("_p", "_x", "_i").agg(F.count("*").alias("_n"))
+    offset = groups.withColumn("_before", F.sum("_n").over(Window.orderBy("_p", "_x", "_i").rowsBetween(Window.unboundedPreceding, -1)))
+    within = F.row_number().over(Window.partitionBy("_p", "_x", "_i").orderBy("id"))
+    ranks = keyed.withColumn("_w", within).join(offset, ["_p", "_x", "_i"]).select("id", (F.coalesce("_before", F.lit(0)) + F.col("_w")).alias("reprocess_rank"))
     return docs.join(ranks, "id", "left")
 
 

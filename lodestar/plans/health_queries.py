@@ -115,7 +115,7 @@ def facet_filter(spark, sf_dir):
 
 
 def _scored(spark, sf_dir):
-    return health.reprocess_candidate(health.document_priority(health.ocr_quality(versions(spark, sf_dir), noisy=0.4)))
+    return health.reprocess_candidate(health.document_priority(health.ocr_quality(versions(spark, sf_dir), noisy=0.4), high=r"^LOP-[A-Z]+|^EOP|MANUAL|GUIDELINES"))
 
 
 X = "(CASE WHEN chunk_count > 0 THEN excluded_chunk_count / chunk_count ELSE 0 END)"

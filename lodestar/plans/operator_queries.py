@@ -258,7 +258,7 @@ LOOKUPS = rf"""
 WITH t AS (SELECT query_id, trim(CASE query_id % 3 WHEN 0 THEN 'List of section 4.2 ' WHEN 1 THEN 'Appendix on ' ELSE '' END || question) AS x FROM ({QUESTIONS})),
 r AS (SELECT *, regexp_extract(lower(x), '\b\d+\.\d+(?:\.\d+){{0,3}}\b') AS ref, regexp_matches(x, '(?i)\b(?:list|full list|codes?|test\s*codes?)\b') AS ls FROM t)
 SELECT query_id, md5(CASE WHEN regexp_matches(x, '(?i)\b(?:appendix|section)\b') OR ref <> '' THEN concat_ws(' ', x, CASE WHEN ref <> '' THEN 'appendix ' || ref || ' section ' || ref END,
-  CASE WHEN ls THEN 'test codes test type number' END, 'appendix') ELSE x END) AS lookup FROM r
+  CASE WHEN ls THEN 'codes entries' END, 'appendix') ELSE x END) AS lookup FROM r
 """
 
 
