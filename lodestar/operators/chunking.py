@@ -38,7 +38,10 @@ def is_structural_title(title: Column) -> Column:
 
 
 def split_text(text: str, most: int, overlap: int) -> list[str]:
-    """Pieces of whole sentences of up to `most` words; each begins with up to `overlap` words of the one before."""
+    """Pieces of whole sentences of up to `most` words; each begins with the last sentences of the one before.
+
+    These are as many as `overlap` words hold, and one at least; a piece of such a sentence and one more may pass `most`.
+    """
     out: list[str] = []
     held: list[tuple[str, int]] = []
     size = 0
