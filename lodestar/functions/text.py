@@ -14,6 +14,11 @@ def any_match(col: Column, patterns: tuple[str, ...]) -> Column:
     return reduce(lambda a, b: a | b, [col.rlike(p) for p in patterns])
 
 
+def strip(col: Column) -> Column:
+    """A text without white space at its ends. One argument, so that array functions can take it (`F.trim` would take the place in the array as characters to cut)."""
+    return F.btrim(col, F.lit(" \t\n\r\f\v"))
+
+
 def words(col: Column) -> Column:
     """Words between white space."""
     return F.filter(F.split(F.coalesce(col, F.lit("")), r"\s+"), lambda w: w != "")
@@ -27,7 +32,7 @@ def token_count(col: Column, how: str = "words") -> Column:
 
 
 def trimmed_lines(col: Column) -> Column:
-    return F.filter(F.transform(F.split(F.coalesce(col, F.lit("")), "\n"), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(F.coalesce(col, F.lit("")), "\n"), strip), lambda x: x != "")
 
 
 def strip_html(col: Column) -> Column:

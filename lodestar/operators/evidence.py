@@ -44,14 +44,29 @@ def group_preview(hits: DataFrame, snippets: int = 3, pool: int = 10, length: in
     return listed.select("query_id", "doc_title", "folder", F.substring(F.array_join(keep, " … "), 1, length).alias("preview"))
 
 
-def synthesis_context(hits: DataFrame, labels: int = 6, documents: int = 16) -> DataFrame:
-    """Per question, the documents with most labels: up to six labels and six sections each."""
-    firsts = lambda c: F.slice(F.array_sort(F.collect_set(c)), 1, labels)
-    docs = hits.groupBy("query_id", "document_id").agg(
-        F.count_distinct("citation_label").alias("n_labels"), firsts("citation_label").alias("labels"), firsts("section_title").alias("sections")
-    )
-    w = Window.partitionBy("query_id").orderBy(F.desc("n_labels"), "document_id")
-    return docs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= documents)
+def list_lines(content: Column, limit: int = 3) -> Column:
+    """The first lines of a text that look like entries of a list, trimmed."""
+    lines = F.transform(F.split(F.coalesce(content, F.lit("")), r"\r?\n"), T.strip)
+    return F.slice(F.filter(lines, lambda x: (x != "") & T.any_match(x, P.LIST_LINE_RULES)), 1, limit)
+
+
+def synthesis_context(hits: DataFrame, each: int = 6, lines: int = 8, documents: int = 16) -> DataFrame:
+    """Per question, the documents with most labels, the better hit first among equals.
+
+    A document has up to six labels, six section titles and eight list-like lines,
+    distinct and in the order of its hits. Only those enter the group's lists, which
+    a question's hits within one document bound.
+    """
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
+    ranked = hits.select("query_id", "document_id", "citation_label", "section_title", list_lines(F.col("content")).alias("_lines"), F.row_number().over(w).alias("_r"))
+    listed = ranked.groupBy("query_id", "document_id").agg(F.min("_r").alias("_first"), F.array_sort(F.collect_list(F.struct("_r", "citation_label", "section_title", "_lines"))).alias("_h"))
+    firsts = lambda values, n: F.slice(F.array_distinct(F.filter(values, lambda x: x.isNotNull() & (x != ""))), 1, n)
+    docs = listed.select(
+        "query_id", "document_id", "_first", firsts(F.transform("_h", lambda h: h["citation_label"]), each).alias("labels"),
+        firsts(F.transform("_h", lambda h: h["section_title"]), each).alias("sections"), firsts(F.flatten(F.transform("_h", lambda h: h["_lines"])), lines).alias("snippets"),
+    ).withColumn("n_labels", F.size("labels"))
+    best = Window.partitionBy("query_id").orderBy(F.desc("n_labels"), "_first")
+    return docs.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= documents).drop("_first")
 
 
 def evidence_flags(chunks: DataFrame) -> DataFrame:
@@ -104,23 +119,24 @@ def evidence_policy(summary: DataFrame, queries: DataFrame) -> DataFrame:
     return queries.join(summary, "query_id", "left").withColumn("policy", F.when(broad, "broad_rules").when(strong, "strong").when(F.col("authoritative") > 0, "authoritative").otherwise("none"))
 
 
-FRAME = (
-    ("triggers", r"(?i)\b(?:when|once|after)\s+[^.;\n]{3,60}"),
-    ("conditions", r"(?i)\b(?:if|unless|only if)\s+[^.;\n]{3,60}"),
-    ("limits", r"(?i)\b(?:limit|threshold|range|maximum|minimum)\b[^.;\n]{0,60}"),
-    ("actions", r"(?i)\b(?:must|shall|should)\s+[^.;\n]{3,60}"),
-    ("transfers", r"(?i)\b(?:send|receive|import|export|transmit)s?\b[^.;\n]{0,60}"),
-    ("failures", r"(?i)\b(?:fail|reject|error)\w*\b[^.;\n]{0,60}"),
-)
-
+def operating_frame(hits: DataFrame, limit: int = 4, pool: int = 24, names: dict[str, str] | None = None) -> DataFrame:
+    """Eight lists of up to four distinct phrases from a question's best hits, in rank order.
 
-def operating_frame(hits: DataFrame, limit: int = 4, pool: int = 24) -> DataFrame:
-    """Up to four distinct phrases of each kind, in rank order, from a question's best hits."""
+    `names` maps a list to a further pattern, such as the corpus's systems or
+    instruments; its matches follow the list's own.
+    """
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
     best = hits.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= pool)
-    listed = best.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("_r", F.coalesce("content", F.lit("")).alias("c")))).alias("_p"))
-    found = lambda p: F.slice(F.array_distinct(F.flatten(F.transform("_p", lambda x: F.regexp_extract_all(x["c"], F.lit(p), F.lit(0))))), 1, limit)
-    return listed.select("query_id", *[found(p).alias(name) for name, p in FRAME])
+    text = F.concat_ws("\n", F.coalesce("section_title", F.lit("")), F.coalesce("content", F.lit("")))
+    listed = best.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("_r", text.alias("c")))).alias("_p"))
+    whole = listed.select("query_id", F.array_join(F.transform("_p", lambda x: x["c"]), "\n\n").alias("_text"))
+    more = {"trigger_events": P.TRIGGER_NOUNS, **(names or {})}
+
+    def found(name: str, pattern: str) -> Column:
+        parts = [F.regexp_extract_all("_text", F.lit(p), F.lit(0)) for p in (pattern, more.get(name)) if p]
+        return F.slice(F.array_distinct(F.filter(F.transform(F.concat(*parts), T.strip), lambda x: x != "")), 1, limit)
+
+    return whole.select("query_id", *[found(name, pattern).alias(name) for name, pattern in P.OPERATING_FRAME])
 
 
 def assemble_context(hits: DataFrame, limit: int = 24) -> DataFrame:
@@ -133,7 +149,7 @@ def assemble_context(hits: DataFrame, limit: int = 24) -> DataFrame:
 
 
 def cited_labels(answer: Column) -> Column:
-    return F.array_distinct(F.transform(F.regexp_extract_all(answer, F.lit(P.CITATION), F.lit(1)), F.trim))
+    return F.array_distinct(F.transform(F.regexp_extract_all(answer, F.lit(P.CITATION), F.lit(1)), T.strip))
 
 
 def validate_citations(answers: DataFrame, hits: DataFrame) -> DataFrame:

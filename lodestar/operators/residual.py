@@ -141,11 +141,43 @@ def summarise_wave(wave: DataFrame, base: DataFrame, within: float = 0.1) -> Dat
     return rate(wave, "wave").crossJoin(rate(base, "base")).withColumn("consistent", F.abs(F.col("wave_delta") - F.col("base_delta")) < within)
 
 
+def substrings(col: Column, n: int) -> Column:
+    """Distinct runs of n characters; none of a shorter text."""
+    runs = F.transform(F.sequence(F.lit(1), F.length(col) - (n - 1)), lambda i: F.substring(col, i, n))
+    return F.when(F.length(col) >= n, F.array_distinct(runs)).otherwise(F.array().cast("array<string>"))
+
+
+def contained(needles: DataFrame, texts: DataFrame) -> DataFrame:
+    """(needle, text) for every needle that stands inside a text, both distinct and not empty.
+
+    All runs of three characters of a needle are in a text that holds it, so they meet
+    by equality on the needle's rarest run (shorter needles: on themselves), and
+    `contains` confirms. A needle with a run that no text has meets none.
+    """
+    n = F.length("needle")
+    runs = texts.where("text <> ''").select("text", F.explode(F.concat(*[substrings(F.col("text"), k) for k in (1, 2, 3)])).alias("_run"))
+    counts = runs.groupBy("_run").agg(F.count("*").alias("_n"))
+    asked = needles.where("needle <> ''").select("needle", F.explode(F.when(n < 3, F.array("needle")).otherwise(substrings(F.col("needle"), 3))).alias("_run"))
+    rarest = asked.join(counts, "_run", "left").groupBy("needle").agg(F.min_by("_run", F.struct(F.coalesce("_n", F.lit(0)), "_run")).alias("_run"))
+    return rarest.join(runs, "_run").where(F.contains("text", "needle")).select("needle", "text")
+
+
 def source_hits(hits: DataFrame, docs: DataFrame) -> DataFrame:
-    """id, hits: how often a document's normalised title is among the hits' titles."""
+    """id, hits: how many hits have a title that equals, holds or is held by the document's, both normalised.
+
+    Blank titles of hits don't count; a title without a letter or digit holds nothing
+    and stands inside every other. A document without a title has none.
+    """
     norm = lambda c: F.trim(F.regexp_replace(F.lower(c), r"[^a-z0-9]+", " "))
-    counts = hits.groupBy(norm("doc_title").alias("_t")).agg(F.count("*").alias("hits"))
-    return docs.select("id", norm("title").alias("_t")).join(counts, "_t", "left").select("id", F.coalesce("hits", F.lit(0)).alias("hits"))
+    found = hits.where(F.trim("doc_title") != "").groupBy(norm("doc_title").alias("text")).agg(F.count("*").alias("_n"))
+    named = docs.select("id", norm("title").alias("_t"))
+    titles = named.where(F.col("_t").isNotNull()).select(F.col("_t").alias("needle")).distinct()
+    inside = contained(titles, found)
+    around = contained(found.select(F.col("text").alias("needle")), titles.select(F.col("needle").alias("text"))).select(F.col("text").alias("needle"), F.col("needle").alias("text"))
+    counts = inside.unionByName(around).distinct().join(found, "text").groupBy(F.col("needle").alias("_t")).agg(F.sum("_n").alias("_hits"))
+    totals = found.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("_all"), F.coalesce(F.sum(F.when(F.col("text") == "", F.col("_n"))), F.lit(0)).alias("_bare"))  # one row
+    hits_of = F.when(F.col("_t").isNull(), 0).when(F.col("_t") == "", F.col("_all")).otherwise(F.coalesce("_hits", F.lit(0)) + F.col("_bare"))
+    return named.join(counts, "_t", "left").crossJoin(F.broadcast(totals)).select("id", hits_of.cast("long").alias("hits"))
 
 
 def retrieval_impact(before: DataFrame, after: DataFrame) -> DataFrame:

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from lodestar.functions import patterns as P
 from lodestar.operators import chunking, evidence, fusion, health, lifecycle, normalise, questions, residual, search, structure
-from lodestar.plans.inputs import CHUNKS, VERSIONS, chunks, conversations, hits, sections, table, versions
+from lodestar.plans.corpus_queries import q
+from lodestar.plans.inputs import CHUNKS, QUESTIONS, VERSIONS, WHITE, chunks, conversations, hits, sections, table, versions
 from lodestar.plans.inputs import questions as question_table
 from lodestar.sources import corpus
 
@@ -73,7 +74,7 @@ def split_pages(spark, sf_dir):
     return corpus.split_pages(table(spark, sf_dir, "documents"), "\n").groupBy("doc_id").agg(F.max("page").alias("pages"), F.sum(F.length("text")).alias("characters"))
 
 
-PAGES = "SELECT doc_id, count(*)::INT AS pages, sum(length(t))::BIGINT AS characters FROM (SELECT doc_id, trim(unnest(string_split(text, chr(10)))) AS t FROM documents) WHERE t <> '' GROUP BY doc_id"
+PAGES = f"SELECT doc_id, count(*)::INT AS pages, sum(length(t))::BIGINT AS characters FROM (SELECT doc_id, trim(unnest(string_split(text, chr(10))), {WHITE}) AS t FROM documents) WHERE t <> '' GROUP BY doc_id"
 
 
 def cleaned_lines(spark, sf_dir):
@@ -120,11 +121,23 @@ SELECT category, count(*) AS n, count(*) FILTER (WHERE n < 5 OR n_sources = 0 OR
 
 
 def citation_check(spark, sf_dir):
-    given = chunks(spark, sf_dir).where("document_id = 1").select("citation_label").withColumn("query_id", F.explode(F.array(F.lit(1001).cast("long"), F.lit(5001).cast("long"))))
-    out = evidence.validate_citations(_answers(spark, sf_dir), given)
+    """Answers that name the first label they were given and one they weren't."""
+    given = _joined(spark, sf_dir).select("query_id", "citation_label")
+    first = given.groupBy("query_id").agg(F.min("citation_label").alias("_first"))
+    named = F.concat("answer", F.coalesce(F.concat(F.lit(" [Source: "), "_first", F.lit("]")), F.lit("")), F.lit(" [Source: none]"))
+    answers = conversations(spark, sf_dir).where("role = 'assistant'").select((F.col("conv_id") * 10 + F.col("turn")).alias("query_id"), F.col("text").alias("answer"))
+    out = evidence.validate_citations(answers.join(first, "query_id", "left").withColumn("answer", named), given)
     return out.select("query_id", F.array_join("valid", "|").alias("valid"), F.array_join("unknown", "|").alias("unknown"))
 
 
+JOINED = f"SELECT h.query_id, h.score, c.* FROM (SELECT l_orderkey AS query_id, l_partkey AS k, max(CAST(l_extendedprice AS DOUBLE)) AS score FROM lineitem GROUP BY 1, 2) h JOIN ({CHUNKS}) c ON h.k = c.document_id * 3 + c.chunk_index"
+CITATIONS = f"""
+WITH g AS (SELECT query_id, min(citation_label) AS f FROM ({JOINED}) GROUP BY 1)
+SELECT conv_id * 10 + turn AS query_id, CASE WHEN text IS NULL THEN '' ELSE coalesce(f, '') END AS valid, CASE WHEN text IS NULL THEN '' ELSE 'none' END AS unknown
+FROM conversations LEFT JOIN g ON g.query_id = conv_id * 10 + turn WHERE role = 'assistant'
+"""
+
+
 def normalised_answers(spark, sf_dir):
     return evidence.normalise_answers(_answers(spark, sf_dir)).select("query_id", F.md5("answer").alias("hash"))
 
@@ -138,13 +151,45 @@ def contexts(spark, sf_dir):
     return evidence.assemble_context(_joined(spark, sf_dir), limit=5).select("query_id", "n_sources", F.md5("context").alias("hash"))
 
 
+def _plain_joined(spark, sf_dir):
+    # The two engines see word ends beside accented letters differently, so those become a plain letter.
+    plain = lambda c: F.regexp_replace(c, r"[^\x00-\x7F]", "x")
+    return _joined(spark, sf_dir).withColumns({"content": plain("content"), "section_title": plain("section_title")})
+
+
+PLAIN_JOINED = r"(SELECT * REPLACE (regexp_replace(content, '[^\x00-\x7F]', 'x', 'g') AS content, regexp_replace(section_title, '[^\x00-\x7F]', 'x', 'g') AS section_title), row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS r FROM ({}))".format(JOINED)
+#: The first n distinct values of a list, in order, joined; no null or empty ones.
+FIRSTS = "array_to_string(list_filter(list_filter({0}, lambda x: x IS NOT NULL AND x <> ''), lambda x, i: list_position(list_filter({0}, lambda y: y IS NOT NULL AND y <> ''), x) = i)[1:{1}], '|')"
+
+
 def synthesis_context(spark, sf_dir):
-    return evidence.synthesis_context(_joined(spark, sf_dir)).select("query_id", "document_id", "n_labels", "rank", F.array_join("labels", "|").alias("labels"))
+    made = evidence.synthesis_context(_plain_joined(spark, sf_dir))
+    return made.select("query_id", "document_id", "n_labels", "rank", *[F.array_join(c, "|").alias(c) for c in ("labels", "sections", "snippets")])
+
+
+_LIST_LINE = " OR ".join(f"regexp_matches(trim(content, {WHITE}), {q(p)})" for p in P.LIST_LINE_RULES)
+SYNTHESIS = f"""
+WITH d AS (SELECT query_id, document_id, min(r) AS first, least(count(DISTINCT citation_label), 6)::INT AS n_labels, list(citation_label ORDER BY r) AS l, list(section_title ORDER BY r) AS s,
+  list(CASE WHEN {_LIST_LINE} THEN trim(content, {WHITE}) END ORDER BY r) AS t FROM {PLAIN_JOINED} GROUP BY 1, 2)
+SELECT query_id, document_id, n_labels, rank, {FIRSTS.format("l", 6)} AS labels, {FIRSTS.format("s", 6)} AS sections, {FIRSTS.format("t", 8)} AS snippets
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY n_labels DESC, first)::INT AS rank FROM d) WHERE rank <= 16
+"""
 
 
 def operating_frames(spark, sf_dir):
-    made = evidence.operating_frame(_joined(spark, sf_dir))
-    return made.select("query_id", *[F.size(name).alias(name) for name, _ in evidence.FRAME])
+    made = evidence.operating_frame(_plain_joined(spark, sf_dir), names={"decision_engine": "(?i)middleware|service"})
+    return made.select("query_id", *[F.array_join(name, "|").alias(name) for name, _ in P.OPERATING_FRAME])
+
+
+_MORE = {"trigger_events": P.TRIGGER_NOUNS, "decision_engine": "(?i)middleware|service"}
+_PHRASES = ", ".join(
+    f"list_transform(list_concat(regexp_extract_all(c, {q(p)}), {f'regexp_extract_all(c, {q(_MORE[name])})' if name in _MORE else '[]'}), lambda x: trim(x, {WHITE})) AS {name}" for name, p in P.OPERATING_FRAME
+)
+FRAMES = f"""
+WITH t AS (SELECT query_id, string_agg(coalesce(section_title, '') || chr(10) || content, chr(10) || chr(10) ORDER BY r) AS c FROM {PLAIN_JOINED} WHERE r <= 24 GROUP BY 1),
+f AS (SELECT query_id, {_PHRASES} FROM t)
+SELECT query_id, {", ".join(f"{FIRSTS.format(name, 4)} AS {name}" for name, _ in P.OPERATING_FRAME)} FROM f
+"""
 
 
 def group_previews(spark, sf_dir):
@@ -168,8 +213,28 @@ def interaction_selection(spark, sf_dir):
 
 
 def section_anchor_hits(spark, sf_dir):
-    refs = question_table(spark, sf_dir).select("query_id", F.explode(questions.section_refs(F.col("question"))).alias("ref"))
-    return search.section_anchors(refs, chunks(spark, sf_dir), 20)
+    """Questions on numbered sections; lines bear the number at the start of the title, inside it, or in the text."""
+    asked = question_table(spark, sf_dir).withColumn("question", F.concat(F.lit("What does section "), F.pmod("query_id", F.lit(9)) + 1, F.lit("."), F.pmod("query_id", F.lit(5)) + 1, F.lit(" say?")))
+    refs = asked.select("query_id", F.explode(questions.section_refs(F.col("question"))).alias("ref"))
+    number = F.concat(F.pmod("document_id", F.lit(9)) + 1, F.lit("."), F.pmod("chunk_index", F.lit(5)) + 1)
+    place = F.pmod("chunk_index", F.lit(3))
+    titled = chunks(spark, sf_dir).withColumns(
+        {
+            "section_title": F.when(place == 0, F.concat(number, F.lit(" Scope"))).when(place == 1, F.concat(F.lit("After "), number)),
+            "content": F.concat(F.when(place == 2, F.concat(F.lit("see "), number, F.lit(" "))).otherwise(""), F.regexp_replace("content", r"[^\x00-\x7F]", "x")),
+        }
+    )
+    return search.section_anchors(refs, titled, 20)
+
+
+SECTION_ANCHORS = rf"""
+WITH q AS (SELECT query_id, (query_id % 9 + 1) || '.' || (query_id % 5 + 1) AS ref FROM ({QUESTIONS})), n AS (SELECT *, (document_id % 9 + 1) || '.' || (chunk_index % 5 + 1) AS num, chunk_index % 3 AS place FROM ({CHUNKS})),
+c AS (SELECT chunk_id, CASE place WHEN 0 THEN num || ' Scope' WHEN 1 THEN 'After ' || num ELSE '' END AS title, CASE place WHEN 2 THEN 'see ' || num || ' ' ELSE '' END || regexp_replace(content, '[^\x00-\x7F]', 'x', 'g') AS content FROM n),
+r AS (SELECT chunk_id, regexp_extract(title, '^\s*({P.SECTION_REF})', 1) AS ref, 1.0 AS s FROM c UNION ALL SELECT chunk_id, unnest(regexp_extract_all(title, '{P.SECTION_REF}')), 0.95 FROM c
+  UNION ALL SELECT chunk_id, unnest(regexp_extract_all(content, '{P.SECTION_REF}')), 0.8 FROM c),
+m AS (SELECT query_id, chunk_id, max(s)::DOUBLE AS score FROM r JOIN q USING (ref) GROUP BY 1, 2)
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id)::INT AS rank FROM m) WHERE rank <= 20
+"""
 
 
 def probe_questions(spark, sf_dir):
@@ -305,15 +370,15 @@ QUERIES = {
     "sheet_tables": (sheet_tables, SHEETS),
     "rendered_tables": (rendered_tables, None),
     "answer_summary": (answer_summary, ANSWER_SUMMARY),
-    "citation_check": (citation_check, None),
+    "citation_check": (citation_check, CITATIONS),
     "normalised_answers": (normalised_answers, None),
     "assembled_contexts": (contexts, None),
-    "synthesis_context": (synthesis_context, None),
-    "operating_frames": (operating_frames, None),
+    "synthesis_context": (synthesis_context, SYNTHESIS),
+    "operating_frames": (operating_frames, FRAMES),
     "group_previews": (group_previews, None),
     "retrieval_density": (retrieval_density, DENSITY),
     "interaction_selection": (interaction_selection, None),
-    "section_anchors": (section_anchor_hits, None),
+    "section_anchors": (section_anchor_hits, SECTION_ANCHORS),
     "probe_questions": (probe_questions, PROBES),
     "answer_styles": (answer_styles, None),
     "deep_hints": (deep_hints, None),

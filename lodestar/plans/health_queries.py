@@ -15,7 +15,7 @@ def doc_chunk_stats(spark, sf_dir):
 
 
 def invariants(spark, sf_dir):
-    docs = versions(spark, sf_dir).where("id % 2 = 0").select("id")
+    docs = versions(spark, sf_dir).where("is_active").select("id")
     return lifecycle.invariant_violations(chunks(spark, sf_dir), docs)
 
 
@@ -240,17 +240,17 @@ def outcome_summary(spark, sf_dir):
 
 def wave(spark, sf_dir):
     docs = health.reprocess_rank(_scored(spark, sf_dir))
-    return residual.select_wave(docs, docs.where("id % 2 = 0").select("source_path"), n=20, offset=5).select("id", "reprocess_rank")
+    return residual.select_wave(docs, docs.where("quarantined").select("source_path"), n=20, offset=5).select("id", "reprocess_rank")
 
 
 WAVE = f"""
 WITH s AS (SELECT *, row_number() OVER (ORDER BY CASE document_priority WHEN 'high' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END, round(-x, 9), id) AS r FROM ({SCORED}) WHERE reprocess_candidate)
-SELECT id, r AS reprocess_rank FROM s WHERE is_active AND source_path NOT IN (SELECT source_path FROM ({VERSIONS}) WHERE id % 2 = 0) ORDER BY r, id LIMIT 20 OFFSET 5
+SELECT id, r AS reprocess_rank FROM s WHERE is_active AND source_path NOT IN (SELECT source_path FROM ({VERSIONS}) WHERE quarantined) ORDER BY r, id LIMIT 20 OFFSET 5
 """
 
 QUERIES = {
     "doc_chunk_stats": (doc_chunk_stats, f"SELECT document_id, count(*) AS chunk_count, count(*) FILTER (WHERE retrieval_excluded) AS excluded_chunk_count, count(*) FILTER (WHERE is_boilerplate) AS boilerplate_chunk_count, count(*) FILTER (WHERE retrieval_downranked) AS downranked_chunk_count FROM ({CHUNKS}) GROUP BY document_id"),
-    "invariant_violations": (invariants, f"SELECT chunk_id, 'excluded_embedded' AS violation FROM ({CHUNKS}) WHERE retrieval_excluded AND embedding_status = 'embedded' UNION ALL SELECT chunk_id, 'orphan' FROM ({CHUNKS}) WHERE document_id NOT IN (SELECT id FROM ({VERSIONS}) WHERE id % 2 = 0)"),
+    "invariant_violations": (invariants, f"SELECT chunk_id, 'excluded_embedded' AS violation FROM ({CHUNKS}) WHERE retrieval_excluded AND embedding_status = 'embedded' UNION ALL SELECT chunk_id, 'orphan' FROM ({CHUNKS}) WHERE document_id NOT IN (SELECT id FROM ({VERSIONS}) WHERE is_active)"),
     "chunk_uniqueness": (chunk_uniqueness, f"SELECT document_id, chunk_hash, count(*) AS n_rows FROM ({CHUNKS}) GROUP BY 1, 2 HAVING count(*) > 1"),
     "chunk_signals": (chunk_signals, SIGNALS),
     "inventory": (inventory, f"SELECT id, is_latest, {', '.join(f'coalesce({s}_chunk_count, 0) AS n_{s}' for s in health.SIGNALS)} FROM (SELECT id, source_type, row_number() OVER (PARTITION BY source_path ORDER BY created_at DESC, updated_at DESC, id DESC) = 1 AS is_latest FROM ({VERSIONS})) LEFT JOIN ({SIGNALS}) ON id = document_id WHERE source_type = 'pdf'"),

@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 from lodestar.functions import text as T
 
 
+#: White space that `functions.text.strip` cuts, for DuckDB's trim.
+WHITE = "' ' || chr(9) || chr(10) || chr(13) || chr(12) || chr(11)"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

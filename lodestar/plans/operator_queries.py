@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from lodestar.functions import patterns as P
 from lodestar.operators import chunking, evidence, fusion, health, lifecycle, questions, residual, search, text_quality
-from lodestar.plans.analysis_queries import ANSWERS, _answers, _joined
+from lodestar.plans.analysis_queries import ANSWERS, JOINED, _answers, _joined
 from lodestar.plans.corpus_queries import q
+from lodestar.plans.health_queries import SCORED, _scored
 from lodestar.plans.inputs import CHUNKS, HITS, QUESTIONS, VERSIONS, chunks, conversations, hits, table, versions
 from lodestar.plans.inputs import questions as question_table
 from lodestar.plans.search_queries import DEDUPED, GRAMS, MIXED, POSTED, TERMS, _unique
@@ -325,7 +326,6 @@ def citations(spark, sf_dir):
     return evidence.cite(_joined(spark, sf_dir)).groupBy("query_id").agg(F.count("*").alias("n"), F.min("citation_label").alias("first_label"), F.round(F.max("score"), 2).alias("best"))
 
 
-JOINED = f"SELECT h.query_id, h.score, c.* FROM (SELECT l_orderkey AS query_id, l_partkey AS k, max(CAST(l_extendedprice AS DOUBLE)) AS score FROM lineitem GROUP BY 1, 2) h JOIN ({CHUNKS}) c ON h.k = c.document_id * 3 + c.chunk_index"
 
 
 def image_previews(spark, sf_dir):
@@ -421,11 +421,93 @@ SELECT round(w.r, 6) AS wave_rate, round(b.r, 6) AS base_rate, w.d AS wave_delta
 
 
 def source_hits(spark, sf_dir):
-    docs = versions(spark, sf_dir).select("id", "title")
-    return residual.source_hits(table(spark, sf_dir, "customer").select(F.concat(F.lit("LOP-AB "), "c_custkey", F.lit(".PDF")).alias("doc_title")), docs)
+    """Hits cite customers' manuals by the start of their titles, and notes and procedures whole."""
+    name = F.when(F.col("c_custkey") % 4 == 1, F.concat(F.lit("Site manual "), "c_custkey")).when(F.col("c_custkey") % 4 == 0, F.concat(F.lit("LOP-AB "), "c_custkey", F.lit(".PDF, p. 1"))).otherwise(F.concat(F.lit("notes: "), "c_custkey"))
+    return residual.source_hits(table(spark, sf_dir, "customer").select(name.alias("doc_title")), versions(spark, sf_dir).select("id", "title"))
 
 
-SOURCE_HITS = f"SELECT id, (title LIKE 'LOP-AB %' AND EXISTS (SELECT 1 FROM customer WHERE title = 'LOP-AB ' || c_custkey || '.pdf'))::BIGINT AS hits FROM ({VERSIONS})"
+SOURCE_HITS = rf"""
+WITH t AS (SELECT trim(regexp_replace(lower(CASE c_custkey % 4 WHEN 1 THEN 'Site manual ' || c_custkey WHEN 0 THEN 'LOP-AB ' || c_custkey || '.PDF, p. 1' ELSE 'notes: ' || c_custkey END), '[^a-z0-9]+', ' ', 'g')) AS h FROM customer),
+d AS (SELECT id, trim(regexp_replace(lower(title), '[^a-z0-9]+', ' ', 'g')) AS t FROM ({VERSIONS})), u AS (SELECT DISTINCT t FROM d),
+n AS (SELECT u.t, count(*) AS n FROM u JOIN t ON contains(u.t, h) OR contains(h, u.t) GROUP BY 1)
+SELECT id, coalesce(n, 0) AS hits FROM d LEFT JOIN n USING (t)
+"""
+
+
+def text_quality_tiers(spark, sf_dir):
+    made = text_quality.assess_text_quality(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return made.select("doc_id", F.round("text_quality_score", 6).alias("text_quality_score"), "text_quality_tier")
+
+
+def _excluded_kinds(spark, sf_dir):
+    kind = F.when(F.col("section_type") == "heading", "broken").when(F.col("token_count") < 10, "short_noise").otherwise("table")
+    return chunks(spark, sf_dir).groupBy(F.col("document_id").alias("id"), residual.exclusion_category_from_tag(kind).alias("category")).agg(F.count("*").alias("n"))
+
+
+def residual_drivers(spark, sf_dir):
+    docs = health.quality_reasons(versions(spark, sf_dir)).withColumn("excluded_ratio", health.excluded_ratio())
+    return residual.residual_drivers(docs, _excluded_kinds(spark, sf_dir)).select("id", F.array_join("residual_drivers", "|").alias("drivers"))
+
+
+DRIVERS = f"""
+WITH c AS (SELECT document_id AS id, count(*) FILTER (WHERE section_type = 'heading') AS broken, count(*) FILTER (WHERE section_type <> 'heading' AND token_count < 10) AS short FROM ({CHUNKS}) GROUP BY 1),
+v AS (SELECT id, CASE WHEN chunk_count > 0 THEN excluded_chunk_count / chunk_count ELSE 0 END AS x, coalesce(broken, 0) AS b, coalesce(short, 0) AS s FROM ({VERSIONS}) LEFT JOIN c USING (id)),
+d AS (SELECT id, x, concat_ws('|', CASE WHEN x >= 0.25 THEN 'High excluded chunk ratio' END, CASE WHEN b > 2 THEN 'broken_structure' END, CASE WHEN s > 3 THEN 'short_fragment_noise' END) AS named FROM v)
+SELECT id, CASE WHEN named <> '' THEN named WHEN x > 0.25 THEN 'elevated_exclusion' ELSE '' END AS drivers FROM d
+"""
+
+
+def residual_detail(spark, sf_dir):
+    """First and latest version of every path."""
+    failure = F.when(F.col("heading_chunk_count") == 0, "missing_headings").otherwise("contamination")
+    view = lambda order: lifecycle.distinct_on(versions(spark, sf_dir), ["source_path"], [order]).select("title", health.excluded_ratio().alias("excluded_ratio"), failure.alias("dominant_failure"), "ocr_used")
+    return residual.residual_detail(view(F.asc("id")), view(F.desc("id"))).select("title", "improved", "likely_fixable", "likely_stable", "risk_notes")
+
+
+DETAIL = f"""
+WITH v AS (SELECT *, CASE WHEN chunk_count > 0 THEN excluded_chunk_count / chunk_count ELSE 0 END AS x, heading_chunk_count > 0 AS mixed FROM ({VERSIONS})),
+b AS (SELECT DISTINCT ON (source_path) * FROM v ORDER BY source_path, id), a AS (SELECT DISTINCT ON (source_path) * FROM v ORDER BY source_path, id DESC)
+SELECT a.title, a.x < b.x AS improved, a.mixed AND NOT a.ocr_used AS likely_fixable, a.x > 0.28 AND a.mixed AND a.ocr_used AS likely_stable,
+  concat_ws('; ', CASE WHEN a.ocr_used AND a.mixed THEN 'OCR with mixed footers' END, CASE WHEN a.x > 0.29 THEN 'High excluded ratio' END, CASE WHEN NOT a.x < b.x THEN 'Did not improve' END,
+    CASE WHEN a.mixed AND NOT a.ocr_used THEN 'Good candidate for footer cleanup' END) AS risk_notes FROM a JOIN b USING (title)
+"""
+
+
+def reprocess_pilot(spark, sf_dir):
+    return residual.select_pilot(health.reprocess_rank(_scored(spark, sf_dir))).select("id", "reprocess_rank")
+
+
+PILOT = f"""
+WITH s AS (SELECT id, x, row_number() OVER (ORDER BY CASE document_priority WHEN 'high' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END, round(-x, 9), id) AS r FROM ({SCORED}) WHERE reprocess_candidate)
+SELECT d.id, s.r AS reprocess_rank FROM ({SCORED}) d LEFT JOIN s USING (id) WHERE is_active AND document_priority = 'high' AND ocr_quality_status IN ('ocr_mixed', 'ocr_noisy')
+ORDER BY s.r NULLS LAST, d.x DESC, d.id LIMIT 8
+"""
+
+HINTS = "setup interface import export"
+
+
+def fallback_hits(spark, sf_dir):
+    """Questions whose text hits show no mechanism are asked again with hints, and both lists merge."""
+    c = chunks(spark, sf_dir)
+    p = search.search_postings(c, {"citation_label": "A", "section_title": "A", "content": "C"})
+    ask = lambda asked: search.fulltext_search(asked, p, 10, "any").select("query_id", "chunk_id", "score")
+    asked = _short_questions(spark, sf_dir)
+    found = ask(asked)
+    mechanism = F.regexp_replace("content", r"[^\x00-\x7F]", "x").rlike(P.MECHANISM)
+    seen = found.join(c.select("chunk_id", mechanism.alias("_m")), "chunk_id").groupBy("query_id").agg(F.bool_or("_m").alias("has_mechanism"))
+    return search.with_fallback(asked, found, seen, ask, HINTS).select("query_id", "chunk_id", F.round("score", 6).alias("score"))
+
+
+FALLBACK = rf"""
+WITH p AS ({POSTED}), s AS ({SHORT}), a AS (SELECT DISTINCT query_id, unnest({TERMS.format('question')}) AS term FROM s),
+f AS (SELECT query_id, chunk_id, round(sum(weight * tf / (tf + 1.0))::DOUBLE, 9) AS score FROM p JOIN a USING (term) GROUP BY 1, 2),
+h AS (SELECT query_id, chunk_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS r FROM f) WHERE r <= 10),
+m AS (SELECT query_id FROM h JOIN ({CHUNKS}) c USING (chunk_id) GROUP BY 1 HAVING bool_or(regexp_matches(regexp_replace(content, '[^\x00-\x7F]', 'x', 'g'), {q(P.MECHANISM)}))),
+b AS (SELECT DISTINCT query_id, unnest({TERMS.format(f"question || ' {HINTS}'")}) AS term FROM s WHERE query_id NOT IN (SELECT query_id FROM m)),
+g AS (SELECT query_id, chunk_id, round(sum(weight * tf / (tf + 1.0))::DOUBLE, 9) AS score FROM p JOIN b USING (term) GROUP BY 1, 2),
+k AS (SELECT query_id, chunk_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS r FROM g) WHERE r <= 10)
+SELECT query_id, chunk_id, round(max(score), 6) AS score FROM (SELECT * FROM h UNION ALL SELECT * FROM k) GROUP BY 1, 2
+"""
 
 
 def answer_checks(spark, sf_dir):
@@ -509,6 +591,11 @@ QUERIES = {
     "cycle_rollup": (cycle_rollup, ROLLUP),
     "wave_summary": (wave_summary, WAVES),
     "source_hits": (source_hits, SOURCE_HITS),
+    "text_quality_tiers": (text_quality_tiers, None),
+    "residual_drivers": (residual_drivers, DRIVERS),
+    "residual_detail": (residual_detail, DETAIL),
+    "reprocess_pilot": (reprocess_pilot, PILOT),
+    "fallback_hits": (fallback_hits, FALLBACK),
     "answer_checks": (answer_checks, CHECKED),
     "acceptance": (acceptance, ACCEPTED),
     "uncovered_categories": (uncovered_categories, UNCOVERED),

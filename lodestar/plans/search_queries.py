@@ -77,13 +77,17 @@ def hybrid_topk(spark, sf_dir):
 
 
 def list_anchor_hits(spark, sf_dir):
-    return search.list_anchors(chunks(spark, sf_dir), 50)
+    """Titles say what their lines are: codes of tables, lists of notes; some appendix lines name programmes."""
+    title = F.when(F.col("section_type") == "table", "Test codes").when(F.col("section_type") == "note", "List of entries").otherwise(F.col("section_title"))
+    content = F.when(F.col("section_type") == "appendix", F.concat(F.lit("programme: "), "content")).otherwise(F.col("content"))
+    return search.list_anchors(chunks(spark, sf_dir).withColumns({"section_title": title, "content": content}), 50)
 
 
 LIST_ANCHORS = rf"""
 SELECT chunk_id, score FROM (SELECT chunk_id, CASE WHEN regexp_matches(t, '(?i)test\s*codes?') THEN 1.0 WHEN regexp_matches(t, '(?i)\b(?:list|register|appendix)\b') THEN 0.95
   WHEN regexp_matches(content, '(?i)test\s*codes?') THEN 0.92 WHEN regexp_matches(content, {q(P.LIST_EVIDENCE)}) THEN 0.85 END::DOUBLE AS score
-  FROM (SELECT *, coalesce(section_title, '') AS t FROM ({CHUNKS}))) WHERE score IS NOT NULL ORDER BY score DESC, chunk_id LIMIT 50
+  FROM (SELECT chunk_id, CASE section_type WHEN 'table' THEN 'Test codes' WHEN 'note' THEN 'List of entries' ELSE coalesce(section_title, '') END AS t,
+    CASE section_type WHEN 'appendix' THEN 'programme: ' || content ELSE content END AS content FROM ({CHUNKS}))) WHERE score IS NOT NULL ORDER BY score DESC, chunk_id LIMIT 50
 """
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lodestar.functions import text as T
+
 SUPPORTED = ("pdf", "docx", "txt", "xlsx", "csv", "png", "jpg", "jpeg")
 #: Skipped at any level of a path: hidden names and editors' lock files.
 HIDDEN = r"(^|/)(\.|~\$)"
@@ -48,13 +50,13 @@ def routing_counts(files: DataFrame) -> DataFrame:
 
 def paragraph_sections(docs: DataFrame, sep: str = r"\n\s*\n") -> DataFrame:
     """doc_id, pos, content, type: trimmed, non-empty paragraphs numbered from 0."""
-    parts = F.filter(F.transform(F.split("text", sep), F.trim), lambda x: x != "")
+    parts = F.filter(F.transform(F.split("text", sep), T.strip), lambda x: x != "")
     return docs.select("doc_id", F.posexplode(parts).alias("pos", "content"), F.lit("paragraph").alias("type"))
 
 
 def split_pages(docs: DataFrame, marker: str = "\f") -> DataFrame:
     """doc_id, page (from 1), text."""
-    parts = F.filter(F.transform(F.split("text", marker), F.trim), lambda x: x != "")
+    parts = F.filter(F.transform(F.split("text", marker), T.strip), lambda x: x != "")
     return docs.select("doc_id", F.posexplode(parts).alias("page", "text")).withColumn("page", F.col("page") + 1)
 
 

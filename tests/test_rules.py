@@ -1,10 +1,15 @@
 """Rules on small hand-made rows."""
 
-from hypothesis import given, settings
+import re
+
+from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from lodestar.functions import patterns as P
+from lodestar.functions import text as T
 from lodestar.operators import chunking, evidence, fusion, health, lifecycle, normalise, questions, residual, search, structure, text_quality
+from lodestar.sources import corpus
 
 SECTION = "doc_id long, pos long, content string, type string, title string, level int"
 
@@ -244,3 +249,80 @@ def test_previews_do_not_contain_each_other(spark):
     rows = [(1, k, 1, 1.0, "pdf", "t", None, c, "") for k, c in enumerate(["abcdef ghi", "abcdef", "other", "ghi", "more of it", "last"])]
     r = evidence.group_preview(hits(spark, rows).withColumn("folder", F.lit("f"))).first()
     assert r.preview == "abcdef ghi … more of it … other"
+
+
+def test_lines_keep_the_digits_at_their_ends(spark):
+    text = "\n".join(f"\t{i} step {i} " for i in range(12))
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    assert df.select(T.trimmed_lines(F.col("text"))).first()[0] == [f"{i} step {i}" for i in range(12)]
+    assert [r.text for r in corpus.split_pages(df, "\n").orderBy("page").collect()] == [f"{i} step {i}" for i in range(12)]
+    answer = F.lit("a [Source: 0 alpha 0] b [Source: doc 1, part 1]")
+    assert spark.range(1).select(evidence.cited_labels(answer)).first()[0] == ["0 alpha 0", "doc 1, part 1"]
+
+
+def test_source_hits_count_equal_holding_and_held_titles(spark):
+    docs = [(1, "Site Manual 12 v2.docx"), (2, "a"), (3, "--"), (4, "zz9"), (5, None), (6, "manual")]
+    hits = ["site manual 12", "SITE manual 12 V2 docx (copy)", "Manual", "?!", "  ", "ab", "site manual 12", None]
+    norm = lambda t: re.sub("[^a-z0-9]+", " ", t.lower()).strip()
+    want = {i: sum(norm(t) in norm(h) or norm(h) in norm(t) for h in hits if h and h.strip()) if t is not None else 0 for i, t in docs}
+    out = residual.source_hits(spark.createDataFrame([(h,) for h in hits], "doc_title string"), spark.createDataFrame(docs, "id long, title string"))
+    assert {r.id: r.hits for r in out.collect()} == want
+    none = spark.createDataFrame([], "doc_title string")
+    assert {r.hits for r in residual.source_hits(none, spark.createDataFrame(docs, "id long, title string")).collect()} == {0}
+
+
+@settings(max_examples=12, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.text("ab c", max_size=7), min_size=1, max_size=12), st.lists(st.text("ab c", max_size=7), min_size=1, max_size=12))
+def test_contained_equals_all_pairs(spark, needles, texts):
+    out = residual.contained(spark.createDataFrame([(n,) for n in set(needles)], "needle string"), spark.createDataFrame([(t,) for t in set(texts)], "text string"))
+    assert sorted(map(tuple, out.collect())) == sorted((n, t) for n in set(needles) for t in set(texts) if n and n in t)
+
+
+HIT = "query_id long, document_id long, chunk_id long, score double, citation_label string, section_title string, content string"
+
+
+def test_synthesis_context_takes_list_lines_in_order(spark):
+    rows = [
+        (1, 7, 1, 0.5, "late", "S", "- one\n2) two\nno list\nsample type X\n* four"), (1, 7, 2, 0.9, "early", "", "the 120 samples\n- one"),
+        (1, 8, 3, 0.8, "x", None, None), (1, 9, 4, 0.95, "y", "T", "plain"),
+    ]
+    out = evidence.synthesis_context(spark.createDataFrame(rows, HIT)).orderBy("rank").collect()
+    assert [(r.document_id, r.labels, r.sections, r.snippets) for r in out] == [
+        (7, ["early", "late"], ["S"], ["the 120 samples", "- one", "2) two", "sample type X"]), (9, ["y"], ["T"], []), (8, ["x"], [], []),
+    ]
+
+
+def test_operating_frame_lists(spark):
+    rows = [(1, 7, 1, 0.5, "a", "Reports", "When the sample is 10 ready, go. Manual entry is the fallback; on failure retry."), (1, 7, 2, 0.9, "b", None, "The LIMS is the source of truth. Rules engine determines status.")]
+    out = evidence.operating_frame(spark.createDataFrame(rows, HIT), names={"source_of_truth": r"\bLIMS\b"}).first()
+    assert out.source_of_truth == ["source of truth", "LIMS"] and out.decision_engine == ["Rules engine", "determines"]
+    assert out.trigger_events == ["When the sample is 10 ready, go", "on failure retry"] and out.data_objects == ["status", "Reports"]
+    assert out.failure_points == ["failure", "retry"] and out.fallback_paths == ["Manual entry", "fallback"]
+    assert out.execution_layer == [] and out.integration_mechanism == []
+
+
+def test_text_quality_equals_a_plain_count(spark, sf_dir):
+    def plain(text):
+        tokens = re.findall(r"\S+", text, re.A)
+        printable = (len(text) - len(re.findall(r"[^A-Za-z0-9 \t\n\r.,:;'\"()/-]", text))) / len(text) if text else 0.0
+        mean = sum(map(len, tokens)) / len(tokens) if tokens else 0.0
+        by_length = 0.0 if not tokens else 1.0 if 3 <= mean <= 8 else mean / 3 if mean < 3 else max(0.0, 1 - (mean - 8) / 4)
+        known = {re.sub("[^a-z]", "", t.lower()) for t in tokens} - {""}
+        hit = len(known & set(P.COMMON_WORDS)) / len(known) if known else 0.0
+        odd = run = 0
+        for t in tokens:
+            if any(re.search(p, t, re.A) for p in P.SUSPICIOUS) or re.fullmatch(r"(.)\1{2,}", t):
+                odd, run = odd + 1, 0
+            elif len(t) == 1:
+                odd, run = odd + (run >= 2), run + 1
+            else:
+                run = 0
+        score = 0.25 * printable + 0.2 * by_length + 0.25 * hit + 0.15 * (len(text) > 50) + 0.15 * (1 - (odd / len(tokens) if tokens else 0.0))
+        return round(score, 6), "good" if score > 0.8 else "partial" if score >= 0.4 else "poor"
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    extra = spark.createDataFrame([(-1, None), (-2, ""), (-3, "a b c d e !!! aaa x1y2 12345"), (-4, "w" * 70)], "doc_id long, text string")
+    out = text_quality.assess_text_quality(docs.unionByName(extra)).select("text", "text_quality_score", "text_quality_tier").collect()
+    for r in out:
+        score, tier = plain(r.text or "")
+        assert abs(r.text_quality_score - score) < 2e-6 and r.text_quality_tier == tier, r.text
