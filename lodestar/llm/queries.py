@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm import bpe, fingerprint, langid, lexicon, licenses, line_dedup, packing, quality, secret_scan, simhash
+from lodestar.llm import bpe, fingerprint, langid, lexicon, licenses, line_dedup, packing, pieces, quality, resample, secret_scan, simhash, spelling
 from lodestar.llm.common import documents
 
 
@@ -58,6 +58,19 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.edit_likeness(documents(spark, sf_dir))
 
 
+def op11_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode_documents(documents(spark, sf_dir), vocabulary("piece_bpe_32k.model"), digests=True)
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group_variants(spelling.word_counts(documents(spark, sf_dir), spelling.drop_some))
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    target = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return resample.resample(documents(spark, sf_dir), target)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     from corpus_pipeline import run
 
@@ -65,7 +78,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         f.__name__: f
         for f in (
             op1_token_counts, op2_best_fit_packing, op3_secret_scan, op4_bpe_codec, op5_line_dedup, op6_license_scan,
-            op7_quality_rules, op8_simhash, op9_language_id, op10_fingerprints,
+            op7_quality_rules, op8_simhash, op9_language_id, op10_fingerprints, op11_piece_codec, op12_spelling_variants, op13_importance_resampling,
         )
     }
     return found | {"pipeline": run}
