@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 
 from pyspark.sql import functions as F
 
@@ -272,23 +271,6 @@ def small_chunk_families(spark, sf_dir):
     return versions(spark, sf_dir).groupBy(title_family(F.col("title")).alias("family")).agg(F.count("*").alias("n"))
 
 
-def streamed_fingerprints(spark, sf_dir):
-    """Counts of the event stream's blocks by a running aggregate, through a checkpointed query that stops when all is read."""
-    from lodestar.streaming.intake import fingerprint_stream
-
-    shared = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/lodestar-streams"
-    root = f"{shared.rstrip('/')}/fingerprints-{uuid.uuid4().hex}"
-    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").option("basePath", sf_dir).parquet(f"{sf_dir}/events*.parquet").select("ts", F.concat_ws(" ", "event_type", F.col("user_id").cast("string")).alias("content"))
-    query = (
-        fingerprint_stream(stream).writeStream.outputMode("complete")
-        .foreachBatch(lambda df, n: df.write.mode("overwrite").parquet(f"{root}/out"))
-        .option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start()
-    )
-    query.awaitTermination()
-    return spark.read.parquet(f"{root}/out")
-
-
 def authority_flags(spark, sf_dir):
     made = questions.authority_flags(chunks(spark, sf_dir))
     return made.select("chunk_id", "structured", "authoritative_title", "authoritative_section", "list_signal", "rule_signal")
@@ -384,5 +366,4 @@ QUERIES = {
     "deep_hints": (deep_hints, None),
     "extraction_status": (extraction_statuses, STATUSES),
     "title_families": (small_chunk_families, None),
-    "streamed_fingerprints": (streamed_fingerprints, "SELECT sha256(trim(lower(event_type || ' ' || user_id))) AS boilerplate_hash, count(*) AS occurrence_count, max(ts) AS last_seen_at FROM events GROUP BY 1"),
 }

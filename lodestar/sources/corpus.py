@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestar.functions import text as T
+from lodestar.sources import folders
 
 SUPPORTED = ("pdf", "docx", "txt", "xlsx", "csv", "png", "jpg", "jpeg")
 #: Skipped at any level of a path: hidden names and editors' lock files.
@@ -86,7 +87,7 @@ def html_sections(pages: DataFrame) -> DataFrame:
     tag = F.lower(F.regexp_extract("block", r"^<([a-zA-Z0-9]+)", 1))
     cells = lambda row: F.transform(F.regexp_extract_all(row, F.lit(r"(?is)<t[dh]\b[^>]*>(.*?)</t[dh]\s*>"), F.lit(1)), strip_html)
     rows = F.filter(F.transform(F.regexp_extract_all("block", F.lit(r"(?is)<tr\b[^>]*>(.*?)</tr\s*>"), F.lit(1)), lambda r: F.array_join(cells(r), " | ")), lambda r: r != "")
-    table = F.concat_ws("\n", F.slice(rows, 1, 1), F.when(F.size(rows) > 0, F.lit("---")), F.slice(rows, 2, 100000))
+    table = F.concat_ws("\n", F.slice(rows, 1, 1), F.when(F.size(rows) > 0, F.lit("---")), F.slice(rows, F.lit(2), F.greatest(F.size(rows), F.lit(0))))
     items = F.filter(F.transform(F.regexp_extract_all("block", F.lit(r"(?is)<li\b[^>]*>(.*?)</li\s*>"), F.lit(1)), strip_html), lambda x: x != "")
     listed = F.array_join(F.transform(items, lambda x, i: F.concat(F.when(tag == "ol", F.concat((i + 1).cast("string"), F.lit(". "))).otherwise("- "), x)), "\n")
     content = F.when(tag == "table", table).when(tag.isin("ul", "ol"), listed).otherwise(strip_html(F.col("block")))
@@ -107,10 +108,13 @@ def table_groups(rows: DataFrame) -> DataFrame:
 
 
 def column_letter(n: Column) -> Column:
-    """1 to 702 as A to ZZ."""
-    letter = lambda k: F.substring(F.lit("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), 1, 26).substr((k + 1).cast("int"), F.lit(1))
-    high, low = F.floor((n - 1) / 26), (n - 1) % 26
-    return F.when(n <= 26, letter(low)).otherwise(F.concat(letter(high - 1), letter(low)))
+    """1, 2, ... as A, B, ..., Z, AA, ... for any column of a four-byte number: bijective base 26, at most seven letters."""
+    letter = lambda k: F.chr(F.lit(65) + F.pmod(k, F.lit(26)))
+    left, out = n.cast("long"), F.lit("")
+    for _ in range(7):
+        out = F.when(left > 0, F.concat(letter(left - 1), out)).otherwise(out)
+        left = F.when(left > 0, F.floor((left - 1) / 26)).otherwise(F.lit(0))
+    return out
 
 
 def render_table_groups(groups: DataFrame) -> DataFrame:
@@ -121,19 +125,39 @@ def render_table_groups(groups: DataFrame) -> DataFrame:
     )
     n = F.count("*").over(Window.partitionBy("doc_id", "sheet"))
     lines = F.transform("_r", lambda x: x["line"])
-    text = F.concat_ws("\n", F.concat(F.lit("Sheet: "), "sheet"), F.concat(F.lit("Columns: "), F.get(lines, 0)), F.lit("---"), F.array_join(F.slice(lines, 2, 1000000), "\n"))
+    text = F.concat_ws("\n", F.concat(F.lit("Sheet: "), "sheet"), F.concat(F.lit("Columns: "), F.get(lines, 0)), F.lit("---"), F.array_join(F.slice(lines, F.lit(2), F.size(lines)), "\n"))
     ref = F.concat(F.lit("A"), F.col("first_row").cast("string"), F.lit(":"), column_letter(F.col("width")), F.col("last_row").cast("string"))
     title = F.when(n > 1, F.concat("sheet", F.lit(" — Table "), F.col("table_no").cast("string"))).otherwise(F.col("sheet"))
     return made.select("doc_id", "sheet", "table_no", text.alias("content"), ref.alias("range_ref"), title.alias("title"))
 
 
-def write_chunks(chunks: DataFrame, path: str) -> None:
-    """Write embedded and excluded chunks in one go, partitioned by status; an excluded chunk is never embedded."""
+def chunks_to_write(chunks: DataFrame, documents: DataFrame | None = None) -> DataFrame:
+    """Chunks with the flags that their branch forces; the job fails on a chunk that breaks a rule.
+
+    Rules: an excluded chunk has no vector but for the one that is taken from it here,
+    `retrieval_excluded` and `chunk_id` aren't null, and, where `documents` is given, every
+    chunk's document is there. They are asserted in the plan that writes, without a pass of their own.
+    """
     excluded = F.col("retrieval_excluded")
-    ready = chunks.withColumn("embedding_status", F.when(excluded, "excluded").otherwise("embedded"))
+    status = F.when(excluded, "excluded").otherwise("embedded")
+    broken = F.when(F.col("chunk_id").isNull() | excluded.isNull(), "a chunk without id or flag")
+    ready = chunks
+    if documents is not None:
+        known = documents.select(F.col("id").alias("document_id"), F.lit(True).alias("_known")).distinct()
+        ready = chunks.join(known, "document_id", "left")
+        broken = broken.when(F.col("_known").isNull(), "a chunk of an unknown document")
+    if "embedding_status" in chunks.columns:
+        broken = broken.when(excluded & (F.col("embedding_status") == "embedded"), "an excluded chunk that was embedded")
+    told = F.raise_error(F.concat(broken, F.lit(": "), F.coalesce(F.col("chunk_id").cast("string"), F.lit("null"))))
+    ready = ready.withColumn("embedding_status", F.when(broken.isNotNull(), told).otherwise(status))
     if "embedding" in chunks.columns:
         ready = ready.withColumn("embedding", F.when(~excluded, F.col("embedding")))
-    ready.write.mode("overwrite").partitionBy("embedding_status").parquet(path)
+    return ready.select(*chunks.columns, *([] if "embedding_status" in chunks.columns else ["embedding_status"]))
+
+
+def write_chunks(chunks: DataFrame, path: str, documents: DataFrame | None = None) -> None:
+    """Embedded and excluded chunks in one write, partitioned by status; nothing is written if a rule is broken."""
+    chunks_to_write(chunks, documents).write.mode("overwrite").partitionBy("embedding_status").parquet(path)
 
 
 def drop_document(chunks: DataFrame, ids: DataFrame) -> DataFrame:
@@ -157,7 +181,22 @@ def read_queries(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schema).option("multiLine", True).json(path)
 
 
-def rebuild(chunks: DataFrame, path: str) -> DataFrame:
-    """Replace the whole chunk table, written beside the old one first and read back from its place."""
-    write_chunks(chunks, path)
-    return chunks.sparkSession.read.parquet(path)
+def rebuild(chunks: DataFrame, path: str, documents: DataFrame | None = None) -> DataFrame:
+    """Replaces the whole chunk table, which `chunks` may be read from, and reads it back.
+
+    The new table is written beside the old one, and folders are switched only once that
+    write has ended well; a write that fails leaves the old table in its place. A run that dies
+    between the two renames leaves the old table under `<path>.old`, which the next one puts back first.
+    """
+    spark, new, old = chunks.sparkSession, f"{path}.new", f"{path}.old"
+    if not folders.exists(spark, path) and folders.exists(spark, old):
+        folders.rename(spark, old, path)
+    folders.remove(spark, new)
+    write_chunks(chunks, new, documents)
+    folders.remove(spark, old)
+    if folders.exists(spark, path):
+        folders.rename(spark, path, old)
+    folders.rename(spark, new, path)
+    folders.remove(spark, old)
+    spark.catalog.refreshByPath(path)
+    return spark.read.parquet(path)

@@ -1,13 +1,10 @@
-"""Incremental intake with Structured Streaming."""
+"""File intake with Structured Streaming; the version store and running counts are modules of their own."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
 
-from lodestar.functions.text import boilerplate_hash
-from lodestar.operators import lifecycle
 from lodestar.sources.corpus import HIDDEN, SUPPORTED
 
 BINARY_FILE = "path string, modificationTime timestamp, length long, content binary"
@@ -23,42 +20,3 @@ def intake_stream(spark: SparkSession, directory: str, most_bytes: int = 100 * 1
         .where(F.col("extension").isin(*SUPPORTED) & ~F.regexp_extract("path", r"[^/]+$", 0).rlike(HIDDEN))
         .select("path", "extension", F.col("length").alias("bytes"), F.sha2("content", 256).alias("version_hash"), "modificationTime")
     )
-
-
-def fingerprint_stream(sections: DataFrame, ttl: str | None = None, time_col: str = "ts") -> DataFrame:
-    """Running count and last sight of each normalised block, for the update mode.
-
-    Without `ttl` every hash is kept for good, as the counts are defined; with it,
-    hashes fall out of the state once the watermark has passed them by that long.
-    """
-    hashed = sections.withColumn("boilerplate_hash", boilerplate_hash(F.col("content")))
-    if ttl:
-        hashed = hashed.withWatermark(time_col, ttl)
-        return hashed.groupBy(F.window(time_col, ttl), "boilerplate_hash").agg(F.count("*").alias("occurrence_count"), F.max(time_col).alias("last_seen_at"))
-    return hashed.groupBy("boilerplate_hash").agg(F.count("*").alias("occurrence_count"), F.max(time_col).alias("last_seen_at"))
-
-
-def ingest_batch(documents: DataFrame, batch: DataFrame) -> DataFrame:
-    """The version table after one batch of (source_path, version_hash, seen_at): supersede what changed, append, touch the rest.
-
-    A batch delivered again changes nothing: its hashes are the active ones by then.
-    """
-    latest = lifecycle.distinct_on(batch, ["source_path"], [F.desc("seen_at"), F.desc("version_hash")])
-    changes = lifecycle.detect_changes(latest, documents)
-    fresh = changes.where("change <> 'unchanged'")
-    closed = lifecycle.supersede(documents, fresh, F.current_timestamp())
-    return lifecycle.append_versions(closed, fresh.drop("change", "seen_at"), F.current_timestamp())
-
-
-def ingest_stream(stream: DataFrame, table: str, checkpoint: str) -> StreamingQuery:
-    """Apply `ingest_batch` to a table folder batch by batch; each batch writes a new generation, named by its number."""
-    spark = stream.sparkSession
-
-    def apply(batch: DataFrame, number: int) -> None:
-        before = spark.read.parquet(f"{table}/generation={number - 1}") if number else None
-        if before is None:
-            empty = "source_path string, version_hash string, is_active boolean, superseded_at timestamp, created_at timestamp, updated_at timestamp, last_seen_at timestamp"
-            before = spark.createDataFrame([], empty)
-        ingest_batch(before, batch).write.mode("overwrite").parquet(f"{table}/generation={number}")
-
-    return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

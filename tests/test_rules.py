@@ -208,20 +208,6 @@ def test_section_anchors_scores(spark):
     assert {r.chunk_id: r.score for r in search.section_anchors(refs, c, 9).collect()} == {1: 1.0, 2: 0.95, 3: 0.9, 4: 0.8}
 
 
-def test_version_life(spark):
-    from lodestar.streaming.intake import ingest_batch
-
-    empty = spark.createDataFrame([], "source_path string, version_hash string, is_active boolean, superseded_at timestamp, created_at timestamp, updated_at timestamp, last_seen_at timestamp")
-    batch = lambda *rows: spark.createDataFrame([(p, h, k) for k, (p, h) in enumerate(rows)], "source_path string, version_hash string, seen_at long")
-    first = ingest_batch(empty, batch(("a", "1"), ("b", "1")))
-    again = ingest_batch(first, batch(("a", "1"), ("b", "1")))
-    assert again.count() == 2
-    changed = ingest_batch(again, batch(("a", "2")))
-    rows = {(r.source_path, r.version_hash): r for r in changed.collect()}
-    assert len(rows) == 3 and not rows["a", "1"].is_active and rows["a", "1"].superseded_at and rows["a", "2"].is_active and rows["b", "1"].is_active
-    assert lifecycle.uniqueness_violations(changed, ["source_path"], F.col("is_active")).count() == 0
-
-
 def test_missing_appendices(spark):
     rows = [(1, 1, 1, "see Appendix 13.2 and appendix 4", "Intro"), (2, 1, 2, "as in Appendix 13.2, appendix 4 again", None), (3, 1, 3, "body", "Appendix 13.2.1 Codes"), (4, 1, 3, "Appendix 9 ........ 12", None)]
     df = spark.createDataFrame(rows, "chunk_id long, document_id long, page_number long, content string, section_title string")

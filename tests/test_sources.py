@@ -2,6 +2,7 @@
 
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from lodestar.sources import corpus
@@ -39,8 +40,8 @@ def test_table_groups_and_ranges(spark):
     out = corpus.render_table_groups(corpus.table_groups(df)).orderBy("sheet", "table_no").collect()
     assert [(r.table_no, r.range_ref, r.title) for r in out] == [(1, "A1:B2", "S — Table 1"), (2, "A5:B5", "S — Table 2"), (1, "A2:A2", "T")]
     assert out[0].content == "Sheet: S\nColumns: h | i\n---\n1 | 2"
-    letters = spark.createDataFrame([(1,), (26,), (27,), (52,), (702,)], "n int").select(corpus.column_letter(F.col("n")).alias("c")).collect()
-    assert [r.c for r in letters] == ["A", "Z", "AA", "AZ", "ZZ"]
+    letters = spark.createDataFrame([(1,), (26,), (27,), (52,), (702,), (703,), (18278,), (18279,)], "n int").select(corpus.column_letter(F.col("n")).alias("c")).collect()
+    assert [r.c for r in letters] == ["A", "Z", "AA", "AZ", "ZZ", "AAA", "ZZZ", "AAAA"]
 
 
 def test_chunk_sink_keeps_excluded_unembedded(spark, tmp_path):
@@ -50,6 +51,38 @@ def test_chunk_sink_keeps_excluded_unembedded(spark, tmp_path):
     assert back[1].embedding_status == "embedded" and back[2].embedding is None
 
 
+@pytest.mark.parametrize(
+    ("row", "told"),
+    [((None, False, 1), "without id"), ((9, None, 1), "without id or flag"), ((9, False, 2), "unknown document"), ((9, True, 1), "was embedded")],
+)
+def test_chunk_sink_asserts_its_rules_and_keeps_the_old_table(spark, tmp_path, row, told):
+    path, docs = str(tmp_path / "c"), spark.createDataFrame([(1,)], "id long")
+    made = lambda rows: spark.createDataFrame([(*r, "embedded" if not r[1] or r[0] == 9 else "excluded") for r in rows], "chunk_id long, retrieval_excluded boolean, document_id long, embedding_status string")
+    good = [(1, False, 1), (2, True, 1)]
+    corpus.rebuild(made(good), path, docs)
+    with pytest.raises(Exception, match=told):
+        corpus.rebuild(made([*good, row]), path, docs)
+    assert sorted(r.chunk_id for r in spark.read.parquet(path).collect()) == [1, 2]
+    back = corpus.rebuild(corpus.drop_document(spark.read.parquet(path).where("chunk_id = 1"), spark.createDataFrame([(7,)], "id long")), path, docs)
+    assert [r.chunk_id for r in back.collect()] == [1] and not (tmp_path / "c.old").exists() and not (tmp_path / "c.new").exists()
+
+
+def test_a_rebuild_that_died_between_renames_is_mended(spark, tmp_path):
+    path = str(tmp_path / "c")
+    rows = spark.createDataFrame([(1, False)], "chunk_id long, retrieval_excluded boolean")
+    corpus.write_chunks(rows, path + ".old")
+    corpus.write_chunks(rows, path + ".new")
+    with pytest.raises(Exception, match="lost"):
+        corpus.rebuild(rows.withColumn("chunk_id", F.raise_error(F.lit("lost")).cast("long")), path)
+    assert spark.read.parquet(path).count() == 1
+
+
+def test_tables_of_many_rows_stay_whole(spark):
+    html = "<table>" + "".join(f"<tr><td>{k}</td></tr>" for k in range(3000)) + "</table><table><tr><td>one</td></tr></table>"
+    rows = corpus.html_sections(spark.createDataFrame([(1, html)], "page_id long, html string")).orderBy("pos").collect()
+    assert [r.content.count("\n") for r in rows] == [3000, 1] and rows[0].content.endswith("\n2999")
+
+
 def test_selection_files_of_two_shapes(spark, tmp_path):
     (tmp_path / "a.json").write_text(json.dumps({"selected": [{"source_path": "x"}, {"source_path": "y"}]}))
     (tmp_path / "b.json").write_text(json.dumps({"documents": [{"source_path": "y"}, {"other": 1}]}))
@@ -60,14 +93,3 @@ def test_selection_files_of_two_shapes(spark, tmp_path):
 def test_line_cleaning(spark):
     lines = spark.createDataFrame([("13 . 2 . 1  Codes",), ("Page 3 of 9",), (" 42 ",), ("body CONTROLLED COPY IF THIS LINE IS GREEN text",)], "line string")
     assert [r.line for r in corpus.clean_lines(lines).collect()] == ["13.2.1 Codes", "body text"]
-
-
-def test_ingest_stream_generations(spark, tmp_path):
-    src = tmp_path / "src"
-    schema = "source_path string, version_hash string, seen_at long"
-    for k, rows in enumerate(([("a", "1", 0)], [("a", "2", 1), ("b", "1", 1)])):
-        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(src))
-        stream = spark.readStream.schema(schema).parquet(str(src))
-        intake.ingest_stream(stream, str(tmp_path / "t"), str(tmp_path / "cp")).awaitTermination()
-    last = spark.read.parquet(str(tmp_path / "t/generation=1"))
-    assert sorted((r.source_path, r.version_hash, r.is_active) for r in last.collect()) == [("a", "1", False), ("a", "2", True), ("b", "1", True)]
