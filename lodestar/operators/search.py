@@ -1,8 +1,8 @@
 """Batched search: every operator answers a whole table of questions at once.
 
-Full text is an equality join on terms, so a posting list is probed by a shuffle
-join instead of a scan a question. Questions go to every task only when their
-table is measured to be small.
+Nearest vectors, full text and trigrams have an index each, whose bounds rule out
+most pairs; results are exact. Questions go to every task only by packs of a
+measured size.
 """
 
 from __future__ import annotations
@@ -17,17 +17,12 @@ from pyspark.sql import functions as F
 
 from lodestar.functions import patterns as P
 from lodestar.functions import text as T
+from lodestar.operators import vectors as angular
 
-#: Question tables of up to so many rows are broadcast; larger ones are joined by blocks.
-BROADCAST_QUESTIONS = 20_000
 WEIGHTS = {"A": 1.0, "B": 0.4, "C": 0.2}
 STOP_WORDS = "a an and are as at be by for from has in is it of on or that the this to was were what when where which with".split()
 
 
-def small(df: DataFrame, limit: int = BROADCAST_QUESTIONS) -> bool:
-    return df.limit(limit + 1).count() <= limit
-
-
 def searchable(chunks: DataFrame, docs: DataFrame, need_vector: bool = False) -> DataFrame:
     """Chunks of active documents that retrieval may show."""
     active = docs.where("is_active").select(F.col("id").alias("document_id"), F.col("title").alias("doc_title"), "folder", "source_type")
@@ -40,28 +35,9 @@ def top_k(hits: DataFrame, k: int | Column, score: str = "score", by: str = "que
     return hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def vector_search(queries: DataFrame, chunks: DataFrame, k: int, blocks: int = 64) -> DataFrame:
-    """Exact cosine top-k: queries(query_id, embedding) against chunks(chunk_id, embedding).
-
-    Norms are taken once a row. A small question table is broadcast; a larger one
-    meets every chunk block by block, so that no task holds either side whole, and
-    each block keeps its own k best before the final ranking.
-    """
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
-
-    def unit(df: DataFrame, key: str) -> DataFrame:
-        v = F.transform("embedding", lambda x: x.cast("double"))
-        return df.select(key, v.alias("_v")).withColumn("_norm", F.sqrt(dot(F.col("_v"), F.col("_v"))))
-
-    q = unit(queries, "query_id").toDF("query_id", "_qv", "_qn")
-    c = unit(chunks, "chunk_id").withColumn("_block", F.pmod(F.xxhash64("chunk_id"), F.lit(blocks)))
-    if small(q):
-        pairs = c.join(F.broadcast(q), F.lit(True))
-    else:
-        pairs = c.join(q.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))), "_block")
-    scored = pairs.select("query_id", "chunk_id", "_block", (dot(F.col("_qv"), F.col("_v")) / (F.col("_qn") * F.col("_norm"))).alias("score"))
-    local = Window.partitionBy("query_id", "_block").orderBy(F.desc("score"), "chunk_id")
-    return top_k(scored.withColumn("_r", F.row_number().over(local)).where(F.col("_r") <= k).select("query_id", "chunk_id", "score"), k)
+def vector_search(queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
+    """Exact cosine top-k: queries(query_id, embedding) against chunks(chunk_id, embedding), by the angular index of the module `vectors`."""
+    return angular.nearest(queries, chunks, k)[0]
 
 
 def terms(col: Column) -> Column:
@@ -246,7 +222,7 @@ def hybrid_search(
     trg = trigram_search(queries, chunks, k, threshold, TEXT_COLUMNS).select("query_id", "chunk_id", "score")
     if refs is not None:
         trg = fusion.dedupe_max(trg.unionByName(title_admissions(refs, chunks)))
-    vec = vector_search(vectors, chunks.where(F.col("embedding").isNotNull()), k).select("query_id", "chunk_id", "score") if vectors is not None else None
+    vec = vector_search(vectors, chunks, k).select("query_id", "chunk_id", "score") if vectors is not None else None
     return top_k(fusion.fuse(vec, fts, trg), final)
 
 

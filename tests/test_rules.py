@@ -189,19 +189,6 @@ def test_capped_selection_backfills(spark):
     assert [r.chunk_id for r in fusion.select_capped(hits(spark, rows), 5, 2).orderBy("position").collect()] == [0, 1, 5, 6, 2]
 
 
-def test_vector_blocks_agree_with_broadcast(spark, monkeypatch):
-    import random
-
-    rng = random.Random(1)
-    rows = [(k, [rng.gauss(0, 1) for _ in range(8)]) for k in range(120)]
-    c = spark.createDataFrame(rows, "chunk_id long, embedding array<float>")
-    q = c.where("chunk_id < 6").withColumnRenamed("chunk_id", "query_id")
-    want = [(r.query_id, r.chunk_id) for r in search.vector_search(q, c, 5).orderBy("query_id", "rank").collect()]
-    monkeypatch.setattr(search, "small", lambda *a: False)
-    got = [(r.query_id, r.chunk_id) for r in search.vector_search(q, c, 5, blocks=7).orderBy("query_id", "rank").collect()]
-    assert got == want and all(a == b for a, b in want[::5])
-
-
 def test_section_anchors_scores(spark):
     c = spark.createDataFrame([(1, "13.2 Codes", "x", "y"), (2, "see 13.2", "x", "y"), (3, None, "doc 13.2", "y"), (4, None, "x", "in 13.2 it says"), (5, "13.22 No", "x", "y")], "chunk_id long, section_title string, citation_label string, content string")
     refs = spark.createDataFrame([(1, "13.2")], "query_id long, ref string")
