@@ -211,41 +211,6 @@ def yield_report(chunks: DataFrame) -> DataFrame:
     return chunks.rollup("document_id").agg(F.grouping("document_id").cast("int").alias("is_total"), F.count("*").alias("chunks"), F.count_if(t < 20).alias("under_20"), F.count_if(t < 50).alias("under_50"), F.round(F.avg(t), 2).alias("mean_tokens"))
 
 
-APPENDIX_REF = r"(?i)\bappendix\s+(\d+(?:\.\d+)*|[A-Z])\b"
-TOC_LINE = r"\.{4,}|\s{2,}\d+\s*$"
-
-
-def completeness_audit(chunks: DataFrame) -> DataFrame:
-    """Per document: pages, characters, headings, numbered and appendix references, missing appendices, risk.
-
-    An appendix is missing if it is referred to twice or more, outside tables of
-    contents, and no heading names it or one below it.
-    """
-    body = chunks.where(~F.col("content").rlike(TOC_LINE))
-    refs = (
-        body.select("document_id", F.explode(F.regexp_extract_all("content", F.lit(APPENDIX_REF), F.lit(1))).alias("ref"))
-        .select("document_id", F.upper("ref").alias("ref"))
-        .groupBy("document_id", "ref").agg(F.count("*").alias("mentions"))
-    )
-    named = chunks.select("document_id", F.upper(F.regexp_extract(F.coalesce("section_title", F.lit("")), APPENDIX_REF, 1)).alias("have")).where("have <> ''").distinct()
-    # A heading 13.2.1 stands for 13.2 and 13 too: each heading is spread over its prefixes, so the join is an equality.
-    parts = F.split("have", r"\.")
-    covered = named.select("document_id", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, 1, i), "."))).alias("ref")).distinct()
-    missing = refs.join(covered, ["document_id", "ref"], "left_anti").where("mentions >= 2")
-    base = chunks.groupBy("document_id").agg(
-        F.count_distinct("page_number").alias("pages"), F.sum(F.length("content")).alias("characters"), F.count_distinct("section_title").alias("headings"), F.count("*").alias("chunks")
-    )
-    ref_n = refs.groupBy("document_id").agg(F.count("*").alias("appendix_refs"))
-    miss_n = missing.groupBy("document_id").agg(F.count("*").alias("missing_appendices"))
-    out = base.join(ref_n, "document_id", "left").join(miss_n, "document_id", "left").na.fill(0, ["appendix_refs", "missing_appendices"])
-    risk = F.least(F.col("missing_appendices") * 3, F.lit(6)) + F.when(F.col("headings") == 0, 2).otherwise(0) + F.when(F.col("chunks") <= 3, 1).otherwise(0)
-    return out.withColumn("risk_score", risk).withColumn("risk_level", F.when(risk >= 6, "high").when(risk >= 3, "medium").otherwise("low"))
-
-
-def audit_summary(audit: DataFrame) -> DataFrame:
-    return audit.groupBy("risk_level").agg(F.count("*").alias("n"), F.sum("missing_appendices").alias("missing_appendices"))
-
-
 def ocr_reconciliation(docs: DataFrame) -> DataFrame:
     """Per status: documents, missing fields, and the document with the least id."""
     return docs.groupBy("ocr_quality_status").agg(
@@ -253,14 +218,6 @@ def ocr_reconciliation(docs: DataFrame) -> DataFrame:
     )
 
 
-def audit_status(docs: DataFrame, audit: DataFrame) -> DataFrame:
-    """completeness_status by risk, and needs_review set by high risk and cleared by low; audit(document_id, risk_level)."""
-    level = audit.select(F.col("document_id").alias("id"), "risk_level")
-    status = F.when(F.col("risk_level") == "high", "incomplete").when(F.col("risk_level") == "medium", "check").when(F.col("risk_level") == "low", "complete")
-    review = F.when(F.col("risk_level") == "high", True).when(F.col("risk_level") == "low", F.lit(False)).otherwise(F.col("needs_review"))
-    return docs.join(level, "id", "left").withColumn("completeness_status", status).withColumn("needs_review", review)
-
-
 def reporting_checks(docs: DataFrame, health: DataFrame) -> DataFrame:
     """One row of reconciliation checks between a health row and documents with reasons and the latest flag."""
     on = F.col("is_active")

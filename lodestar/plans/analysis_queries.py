@@ -292,11 +292,6 @@ def reporting_checks(spark, sf_dir):
     return health.reporting_checks(docs, health.health_derived(health.health_metrics(docs, chunks(spark, sf_dir))))
 
 
-def audit_statuses(spark, sf_dir):
-    out = health.audit_status(versions(spark, sf_dir), health.completeness_audit(chunks(spark, sf_dir)))
-    return out.groupBy("completeness_status", "needs_review").agg(F.count("*").alias("n"))
-
-
 def residual_shallow(spark, sf_dir):
     return residual.residual_shallow(versions(spark, sf_dir)).select("id", "excess")
 
@@ -333,7 +328,6 @@ def exclusion_assessment(spark, sf_dir):
 QUERIES = {
     "authority_flags": (authority_flags, AUTHORITY),
     "reporting_checks": (reporting_checks, None),
-    "audit_statuses": (audit_statuses, None),
     "residual_shallow": (residual_shallow, SHALLOW),
     "mapping_checks": (mapping_checks, MAPPING),
     "interaction_guards": (interaction_guards, None),

@@ -188,10 +188,6 @@ def yield_report(spark, sf_dir):
 YIELD = f"SELECT coalesce(document_id, -1) AS document_id, grouping(document_id)::INT AS is_total, count(*) AS chunks, count(*) FILTER (WHERE token_count < 20) AS under_20, count(*) FILTER (WHERE token_count < 50) AS under_50, round(avg(token_count), 2) AS mean_tokens FROM ({CHUNKS}) GROUP BY ROLLUP (document_id)"
 
 
-def completeness(spark, sf_dir):
-    return health.audit_summary(health.completeness_audit(chunks(spark, sf_dir)))
-
-
 def residual_cohort(spark, sf_dir):
     return residual.residual_cohort(versions(spark, sf_dir)).select("id", F.round("excluded_ratio", 6).alias("excluded_ratio"))
 
@@ -270,7 +266,6 @@ QUERIES = {
     "smallest_chunks": (smallest_chunks, f"SELECT chunk_id, section_type, token_count FROM ({CHUNKS}) ORDER BY token_count, chunk_id LIMIT 20"),
     "small_by_type": (small_by_type, f"SELECT section_type, count(*) AS n FROM ({CHUNKS}) WHERE token_count < 50 GROUP BY 1"),
     "yield_report": (yield_report, YIELD),
-    "completeness_audit": (completeness, None),
     "residual_cohort": (residual_cohort, f"SELECT id, round({X}, 6) AS excluded_ratio FROM ({VERSIONS}) WHERE is_active AND text_quality_tier = 'partial' AND {X} >= 0.25 ORDER BY {X} DESC, id LIMIT 20"),
     "exclusion_report": (exclusion_report, EXCLUSION),
     "structural_failures": (failure_scores, None),

@@ -195,13 +195,6 @@ def test_section_anchors_scores(spark):
     assert {r.chunk_id: r.score for r in search.section_anchors(refs, c, 9).collect()} == {1: 1.0, 2: 0.95, 3: 0.9, 4: 0.8}
 
 
-def test_missing_appendices(spark):
-    rows = [(1, 1, 1, "see Appendix 13.2 and appendix 4", "Intro"), (2, 1, 2, "as in Appendix 13.2, appendix 4 again", None), (3, 1, 3, "body", "Appendix 13.2.1 Codes"), (4, 1, 3, "Appendix 9 ........ 12", None)]
-    df = spark.createDataFrame(rows, "chunk_id long, document_id long, page_number long, content string, section_title string")
-    r = health.completeness_audit(df).first()
-    assert (r.appendix_refs, r.missing_appendices, r.risk_score, r.risk_level) == (2, 1, 3, "medium")
-
-
 def test_outcomes_and_stop_rule(spark):
     d = spark.createDataFrame([(1, "ocr_noisy", "ocr_mixed", -0.01), (2, "ocr_mixed", "ocr_mixed", -0.2), (3, "ocr_mixed", "ocr_noisy", 0.1)], "id long, status_before string, status_after string, delta double")
     assert residual.summarise_outcomes(d).first().material == 2 and residual.summarise_outcomes(d, "changed").first().material == 3
