@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from lodestar.functions import patterns as P
 from lodestar.functions import text as T
+from lodestar.operators import fulltext
 from lodestar.operators import vectors as angular
 
 WEIGHTS = {"A": 1.0, "B": 0.4, "C": 0.2}
@@ -60,17 +61,8 @@ def question_terms(queries: DataFrame, col: str = "question") -> DataFrame:
 
 
 def fulltext_search(queries: DataFrame, postings: DataFrame, k: int, match: str = "all") -> DataFrame:
-    """Weighted term match; `match` is "all" or "any". Score: sum of weight x tf / (tf + 1)."""
-    asked = question_terms(queries)
-    n = asked.groupBy("query_id").agg(F.count("*").alias("_n"))
-    found = (
-        postings.join(asked, "term")
-        .groupBy("query_id", "chunk_id")
-        .agg(F.sum(F.col("weight") * F.col("tf") / (F.col("tf") + 1.0)).alias("score"), F.count("*").alias("matched"))
-    )
-    if match == "all":
-        found = found.join(n, "query_id").where(F.col("matched") == F.col("_n")).drop("_n")
-    return top_k(found.withColumn("score", F.round("score", 9)), k)  # equal sums in another order stay equal
+    """Weighted term match; `match` is "all" or "any". Score: sum of weight x tf / (tf + 1); by the slices and bounds of `fulltext`."""
+    return fulltext.search(question_terms(queries), postings, k, match)
 
 
 def chunk_grams(chunks: DataFrame, col: str = "content") -> DataFrame:

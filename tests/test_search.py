@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lodestar.operators import search, vectors
+from lodestar.operators import fulltext, search, vectors
 
 VECTOR = "embedding array<float>"
 
@@ -74,3 +74,57 @@ def test_clustered_vectors_meet_under_half_of_the_pairs(spark):
     assert index.pairs(*visits) < 0.2 * 100 * 4000
     assert index.members.agg(F.max("n")).first()[0] <= 2 * 64
     assert rows_of(hits) == plain_nearest([r for r in rows if r[0] % 40 == 0], rows, 10)
+
+
+def plain_fulltext(questions, postings, k, every):
+    out = []
+    for q in sorted({q for q, _ in questions}):
+        terms, sums, n = {t for x, t in questions if x == q}, {}, {}
+        for c, t, w, tf in postings:
+            if t in terms:
+                sums[c] = sums.get(c, 0) + w * tf / (tf + 1.0)
+                n[c] = n.get(c, 0) + 1
+        fit = sorted((-round(s, 9), c) for c, s in sums.items() if not every or n[c] == len(terms))
+        out += [(q, c, r + 1, -s, n[c]) for r, (s, c) in enumerate(fit[:k])]
+    return out
+
+
+def made_postings(rng, chunks, terms):
+    out = [(c, "everywhere", rng.choice([1.0, 0.4, 0.2]), rng.randrange(1, 9)) for c in range(chunks)]
+    for c in range(chunks):
+        out += [(c, f"t{t}", rng.choice([1.0, 0.4, 0.2]), rng.randrange(1, 9)) for t in range(terms) if rng.random() < 1 / (t + 1)]
+    return out
+
+
+@pytest.mark.parametrize(("match", "slice_chunks", "pack"), [("any", 20_000, 20_000), ("any", 60, 4), ("all", 60, 20_000)])
+def test_full_text_is_exact(spark, match, slice_chunks, pack):
+    rng = random.Random(slice_chunks)
+    postings = made_postings(rng, 400, 12)
+    questions = [(q, t) for q in range(12) for t in {"everywhere", "absent", *(f"t{rng.randrange(12)}" for _ in range(q % 5))} if t != "absent" or q % 4 == 1]
+    got = fulltext.search(spark.createDataFrame(questions, "query_id long, term string"), spark.createDataFrame(postings, "chunk_id long, term string, weight double, tf long"), 7, match, slice_chunks, pack)
+    assert sorted((r.query_id, r.chunk_id, r["rank"], r.score, r.matched) for r in got.collect()) == sorted(plain_fulltext(questions, postings, 7, match == "all"))
+
+
+def test_bounds_leave_most_of_a_frequent_list():
+    rng = random.Random(3)
+    n = 20_000
+    rare = rng.sample(range(n), 300)
+    chunk = np.array([*range(n), *rare])
+    term = np.array([0] * n + [1] * 300)
+    impact = np.array([0.2 * rng.random() for _ in range(n)] + [0.5 + 0.4 * rng.random() for _ in rare])
+    own = fulltext.Slice(chunk, term, impact)
+    found, total, matched = own.best([0, 1], 10, False)
+    sums = np.zeros(n)
+    np.add.at(sums, chunk, impact)
+    want = np.argsort(-sums, kind="stable")[:10]
+    assert set(want) <= set(found.tolist()) and np.allclose(np.sort(total)[-10:], np.sort(sums)[-10:])
+    assert own.read < 1000
+
+
+def test_a_term_in_every_chunk_is_dealt_evenly(spark):
+    postings = spark.range(40_000).select(F.col("id").alias("chunk_id"), F.lit("everywhere").alias("term"), F.lit(1.0).alias("weight"), (1 + F.col("id") % 7).alias("tf"))
+    slices = postings.groupBy(F.pmod(F.xxhash64("chunk_id"), F.lit(8))).count().collect()
+    sizes = sorted(r["count"] for r in slices)
+    assert sizes[-1] < 2 * sizes[len(sizes) // 2]
+    got = fulltext.search(spark.createDataFrame([(1, "everywhere")], "query_id long, term string"), postings, 3, slice_chunks=5000)
+    assert [r.chunk_id for r in got.orderBy("rank").collect()] == [6, 13, 20]
