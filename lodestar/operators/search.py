@@ -9,16 +9,20 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 from lodestar.functions import patterns as P
 from lodestar.functions import text as T
 from lodestar.operators import fulltext
 from lodestar.operators import vectors as angular
+from lodestar.operators.shared import cut
 
 WEIGHTS = {"A": 1.0, "B": 0.4, "C": 0.2}
 STOP_WORDS = "a an and are as at be by for from has in is it of on or that the this to was were what when where which with".split()
@@ -65,11 +69,6 @@ def fulltext_search(queries: DataFrame, postings: DataFrame, k: int, match: str
     return fulltext.search(question_terms(queries), postings, k, match)
 
 
-def chunk_grams(chunks: DataFrame, col: str = "content") -> DataFrame:
-    """(chunk_id, gram, n_grams): distinct trigrams of each chunk."""
-    return chunks.select("chunk_id", T.trigrams(F.col(col)).alias("_g")).select("chunk_id", F.size("_g").alias("n_grams"), F.explode("_g").alias("gram"))
-
-
 #: A question table whose matrix of questions by distinct grams has so many places at most goes to every task.
 MATRIX_PLACES = 16_000_000
 _WORD = re.compile("[a-z0-9]+")
@@ -80,22 +79,19 @@ def gram_set(text: str | None) -> set[str]:
     return {f"  {w} "[i : i + 3] for w in set(_WORD.findall((text or "").lower())) for i in range(len(w) + 1)}
 
 
-def trigram_search(queries: DataFrame, chunks: DataFrame, k: int, threshold: float = 0.3, cols: tuple[str, ...] = ("content",)) -> DataFrame:
+def trigram_search(queries: DataFrame, chunks: DataFrame, k: int, threshold: float = 0.3, cols: tuple[str, ...] = ("content",), places: int = MATRIX_PLACES) -> DataFrame:
     """Jaccard similarity of trigram sets, shared / (a + b - shared); of several columns the greatest counts.
 
-    Frequent grams are in most chunks, so an equality join on grams would make a row
-    for nearly every (question, chunk, gram). While the questions' matrix is small
-    (it is measured), tasks multiply it with blocks of their own chunks, and each
-    task keeps the `k` best of a question: nothing else is shuffled. Larger question
-    tables meet the chunks by an equality join on grams.
+    While the matrix of questions by their distinct grams has `places` places at most (it is
+    measured), tasks multiply it with blocks of their own chunks, and each task keeps
+    the `k` best of a question: nothing else is shuffled. Larger question tables
+    meet the chunks by the prefixes of their rarest grams. Both ways give the same rows.
     """
     fields = [chunks.select("chunk_id", F.col(c).alias("content")) for c in cols]
     asked = queries.select("query_id", T.trigrams(F.col("question")).alias("_g"))
     size = asked.agg(F.count("*").alias("n")).crossJoin(asked.select(F.explode("_g").alias("g")).agg(F.count_distinct("g").alias("grams"))).first()
-    if size.n * size.grams > MATRIX_PLACES:
-        found = fields[0].sparkSession.createDataFrame([], "query_id long, chunk_id long, score double")
-        for one in fields:
-            found = found.unionByName(gram_join(queries, one, threshold))
+    if size.n * size.grams > places:
+        found = reduce(DataFrame.unionByName, (prefix_join(queries, one, threshold) for one in fields))
     else:
         rows = asked.where(F.size("_g") > 0).collect()
         found = multiplied(fields, [r.query_id for r in rows], [list(r._g) for r in rows], k, threshold, queries.schema["query_id"].dataType.simpleString(), chunks.schema["chunk_id"].dataType.simpleString())
@@ -139,14 +135,57 @@ def multiplied(fields: list[DataFrame], ids: list, grams: list[list[str]], k: in
     return whole
 
 
-def gram_join(queries: DataFrame, chunks: DataFrame, threshold: float) -> DataFrame:
-    """The same scores by an equality join on grams; sets whose sizes differ too much are dropped at the join."""
-    q = chunk_grams(queries.select(F.col("query_id").alias("chunk_id"), F.col("question").alias("content")))
-    q = q.select(F.col("chunk_id").alias("query_id"), F.col("n_grams").alias("_qn"), "gram")
-    joined = chunk_grams(chunks).join(q, "gram").where((F.col("n_grams") >= threshold * F.col("_qn")) & (F.col("n_grams") * threshold <= F.col("_qn")))
-    shared = joined.groupBy("query_id", "chunk_id").agg(F.count("*").alias("_s"), F.max("n_grams").alias("_a"), F.max("_qn").alias("_b"))
-    scored = shared.select("query_id", "chunk_id", (F.col("_s") / (F.col("_a") + F.col("_b") - F.col("_s"))).alias("score"))
-    return scored.where(F.col("score") >= threshold)
+def ordered_grams(texts: DataFrame, key: str, col: str, rank: dict[str, int]) -> DataFrame:
+    """key, n (all distinct grams), grams: the places in `rank` of those that have one, in order."""
+    sent, kind = texts.sparkSession.sparkContext.broadcast(rank), texts.schema[key].dataType
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [gram_set(t) for t in batch.column(1).to_pylist()]
+            grams = [sorted(r for r in map(sent.value.get, s) if r is not None) for s in sets]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(len, sets), pa.int32()), pa.array(grams, pa.list_(pa.int32()))], [key, "n", "grams"])
+
+    return texts.select(key, col).mapInArrow(run, StructType([StructField(key, kind), StructField("n", IntegerType()), StructField("grams", ArrayType(IntegerType()))]))
+
+
+def prefixes(sets: DataFrame, key: str, threshold: float) -> DataFrame:
+    """key, n, m, place, gram: the first grams of each set that a set as similar as `threshold` must share one of.
+
+    Such a set shares ceil(threshold x n) grams at least, so it can't miss the first m - that + 1 of
+    the m ordered ones. Grams without a place are in no question: they would come first, and match nothing.
+    """
+    least = F.ceil(threshold * F.col("n") - 1e-9)
+    m = F.size("grams")
+    first = F.slice("grams", F.lit(1), F.greatest(m - least + 1, F.lit(0)).cast("int"))
+    return sets.select(key, "n", m.alias("m"), F.posexplode(first).alias("place", "gram"))
+
+
+def prefix_candidates(asked: DataFrame, held: DataFrame, threshold: float) -> DataFrame:
+    """Distinct (query_id, chunk_id) that share a prefix gram and pass the filters of length and position."""
+    q = prefixes(asked, "query_id", threshold).withColumnsRenamed({"n": "qn", "m": "qm", "place": "qp"})
+    c = prefixes(held, "chunk_id", threshold)
+    lengths = (F.col("n") >= threshold * F.col("qn") - 1e-9) & (F.col("n") * threshold <= F.col("qn") + 1e-9)
+    # holds for the first gram that two similar sets share, which is enough
+    most = F.least(F.col("m") - F.col("place"), F.col("qm") - F.col("qp"))
+    positions = most >= threshold / (1 + threshold) * (F.col("n") + F.col("qn")) - 1e-9
+    return c.join(q, "gram").where(lengths & positions).select("query_id", "chunk_id").distinct()
+
+
+def prefix_join(queries: DataFrame, chunks: DataFrame, threshold: float) -> DataFrame:
+    """The same scores by a set-similarity join: grams in one order of rarity, an index of prefixes, filters, and a check on the whole sets.
+
+    The order has a row a gram of the questions: 37^3 at most, whatever the tables.
+    """
+    grams = lambda df, col: df.select(F.explode(T.trigrams(F.col(col))).alias("gram"))
+    wanted = grams(queries, "question").distinct()
+    seen = grams(chunks, "content").join(wanted, "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("n"))
+    order = wanted.join(seen, "gram", "left").orderBy(F.coalesce("n", F.lit(0)), "gram").select("gram").collect()
+    rank = {r.gram: i for i, r in enumerate(order)}
+    asked, held = cut(ordered_grams(queries, "query_id", "question", rank)), cut(ordered_grams(chunks, "chunk_id", "content", rank))
+    pairs = prefix_candidates(asked, held, threshold)
+    whole = pairs.join(held, "chunk_id").join(asked.withColumnsRenamed({"n": "qn", "grams": "qgrams"}), "query_id")
+    shared = F.size(F.array_intersect("grams", "qgrams"))
+    return whole.select("query_id", "chunk_id", (shared / (F.col("n") + F.col("qn") - shared)).alias("score")).where(F.col("score") >= threshold)
 
 
 def ilike_any(col: Column, patterns: Column) -> Column:

@@ -59,6 +59,12 @@ def trigram_topk(spark, sf_dir):
     return search.trigram_search(bench, chunks(spark, sf_dir), 10, 0.3).select("query_id", "chunk_id", F.round("score", 6).alias("score"))
 
 
+def trigram_prefixes(spark, sf_dir):
+    """The same through the prefix index, which larger question tables take."""
+    bench = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
+    return search.trigram_search(bench, chunks(spark, sf_dir), 10, 0.3, places=0).select("query_id", "chunk_id", F.round("score", 6).alias("score"))
+
+
 GRAMS = "list_distinct(flatten(list_transform(list_filter(string_split_regex(lower({}), '[^a-z0-9]+'), lambda w: w <> ''), lambda w: list_transform(range(1, length(w) + 2), lambda i: substr('  ' || w || ' ', i, 3)))))"
 TRIGRAM = f"""
 WITH c AS (SELECT chunk_id, g, len(g) AS n FROM (SELECT chunk_id, {GRAMS.format('content')} AS g FROM ({CHUNKS}))),
@@ -232,6 +238,7 @@ QUERIES = {
     "postings": (postings, f"SELECT term, count(*) AS chunks, sum(tf)::BIGINT AS tf, round(sum(weight)::DOUBLE, 4) AS weight FROM ({POSTED}) GROUP BY term"),
     "fulltext_topk": (fulltext_topk, FULLTEXT),
     "trigram_topk": (trigram_topk, TRIGRAM),
+    "trigram_prefixes": (trigram_prefixes, TRIGRAM),
     "hybrid_topk": (hybrid_topk, None),
     "list_anchors": (list_anchor_hits, LIST_ANCHORS),
     "deduped_hits": (deduped_hits, DEDUPED),

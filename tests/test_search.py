@@ -2,6 +2,7 @@
 
 import math
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -128,3 +129,32 @@ def test_a_term_in_every_chunk_is_dealt_evenly(spark):
     assert sizes[-1] < 2 * sizes[len(sizes) // 2]
     got = fulltext.search(spark.createDataFrame([(1, "everywhere")], "query_id long, term string"), postings, 3, slice_chunks=5000)
     assert [r.chunk_id for r in got.orderBy("rank").collect()] == [6, 13, 20]
+
+
+@pytest.mark.parametrize("threshold", [0.1, 0.3, 0.5, 0.9])
+def test_prefix_index_gives_the_rows_of_the_matrix(spark, threshold):
+    rng = random.Random(5)
+    words = ["alpha", "beta", "gamma", "delta", "alphabet", "gammas", "b", "zz9", "the", "of"]
+    text = lambda n: " ".join(rng.choice(words) for _ in range(rng.randrange(n)))
+    texts = [(f"c{k}", text(9), text(3)) for k in range(150)] + [("cnull", None, None), ("cempty", "", "-!"), ("csame", "alpha beta", "alpha beta")]
+    asked = [(f"q{k}", text(7)) for k in range(25)] + [("qnull", None), ("qempty", "?"), ("qsame", "alpha beta")]
+    q, c = spark.createDataFrame(asked, "query_id string, question string"), spark.createDataFrame(texts, "chunk_id string, content string, section_title string")
+    score = lambda a, b: len(a & b) / len(a | b) if a and b else 0.0
+    want = []
+    for i, question in asked:
+        found = [(-max(score(search.gram_set(question), search.gram_set(t)) for t in fields), j) for j, *fields in texts]
+        want += [(i, j, -s) for s, j in sorted(found)[:6] if -s >= threshold and s]
+    for places in (0, search.MATRIX_PLACES):
+        got = search.trigram_search(q, c, 6, threshold, ("content", "section_title"), places)
+        assert sorted((r.query_id, r.chunk_id, r.score) for r in got.collect()) == sorted(want)
+
+
+def test_prefixes_leave_out_most_pairs(spark):
+    rng = random.Random(6)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(400)]
+    texts = spark.createDataFrame([(k, " ".join(["the", *rng.sample(words, 6)])) for k in range(300)], "chunk_id long, content string")
+    asked = texts.where("chunk_id < 40").toDF("query_id", "question")
+    seen = Counter(g for r in texts.collect() for g in search.gram_set(r.content))
+    rank = {g: i for i, g in enumerate(sorted(seen, key=lambda g: (seen[g], g)))}
+    sets = [search.ordered_grams(df, key, col, rank) for df, key, col in ((asked, "query_id", "question"), (texts, "chunk_id", "content"))]
+    assert search.prefix_candidates(*sets, 0.9).count() < 0.05 * 40 * 300
