@@ -47,38 +47,6 @@ def title_family(title: Column) -> Column:
     return F.when(code != "", code).otherwise(F.upper(F.substring_index(title, " ", 1)))
 
 
-def structural_aggs(chunks: DataFrame) -> DataFrame:
-    kind = lambda k: F.count_if(F.col("section_type") == k)
-    return chunks.groupBy("document_id").agg(
-        F.count("*").alias("chunks"), F.count_if("retrieval_excluded").alias("excluded"), *[kind(k).alias(f"{k}s") for k in ("heading", "table", "note", "paragraph", "appendix")],
-        F.count_if(F.col("section_title").isNull()).alias("untitled"), F.count_if(F.col("token_count") < 20).alias("tiny"), F.count_if("is_boilerplate").alias("boilerplate"),
-        F.count_if(F.col("content").rlike(r"(?i)controlled copy|page\s+\d+\s+of")).alias("contaminated"), F.round(F.avg("token_count"), 4).alias("mean_tokens"),
-    )
-
-
-def failure_scores(aggs: DataFrame) -> DataFrame:
-    """A linear score a failure pattern, and the greatest; ties go to the first in the order below."""
-    share = lambda c: T.ratio(F.col(c), F.col("chunks"))
-    scores = {
-        "missing_headings": F.when(F.col("headings") == 0, 1.0).otherwise(0.0),
-        "weak_titles": share("untitled"),
-        "fragmentation": share("tiny"),
-        "contamination": 2 * share("contaminated"),
-        "boilerplate": share("boilerplate"),
-        "over_exclusion": share("excluded"),
-        "table_noise": share("tables"),
-        "list_noise": share("notes"),
-        "appendix_bulk": share("appendixs"),
-    }
-    out = aggs.withColumns({f"score_{k}": F.round(v, 6) for k, v in scores.items()})
-    best = F.array_max(F.array(*[F.struct(F.col(f"score_{k}").alias("s"), F.lit(-i).alias("i"), F.lit(k).alias("name")) for i, k in enumerate(scores)]))
-    return out.withColumn("dominant_failure", F.when(best["s"] > 0, best["name"]).otherwise("none"))
-
-
-def structural_report(scored: DataFrame) -> DataFrame:
-    return scored.groupBy("dominant_failure").agg(F.count("*").alias("documents"), F.sum("excluded").alias("excluded"), F.sum("chunks").alias("chunks"))
-
-
 def impact(before: DataFrame, after: DataFrame) -> DataFrame:
     """Each document of `before` beside the one of `after` with its path, else its title; change of ratio, headings and chunks."""
     slim = lambda df, p: df.select("source_path", "title", excluded_ratio().alias(f"{p}_ratio"), F.col("heading_chunk_count").alias(f"{p}_headings"), F.col("chunk_count").alias(f"{p}_chunks"))

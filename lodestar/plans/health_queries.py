@@ -208,10 +208,6 @@ SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY n
 """
 
 
-def failure_scores(spark, sf_dir):
-    return residual.structural_report(residual.failure_scores(residual.structural_aggs(chunks(spark, sf_dir))))
-
-
 def _pair(spark, sf_dir):
     v = lifecycle.distinct_on(versions(spark, sf_dir), ["source_path"], [F.asc("id")])
     w = lifecycle.distinct_on(versions(spark, sf_dir), ["source_path"], [F.desc("id")])
@@ -268,7 +264,6 @@ QUERIES = {
     "yield_report": (yield_report, YIELD),
     "residual_cohort": (residual_cohort, f"SELECT id, round({X}, 6) AS excluded_ratio FROM ({VERSIONS}) WHERE is_active AND text_quality_tier = 'partial' AND {X} >= 0.25 ORDER BY {X} DESC, id LIMIT 20"),
     "exclusion_report": (exclusion_report, EXCLUSION),
-    "structural_failures": (failure_scores, None),
     "impact_summary": (impact_summary, IMPACT),
     "outcome_summary": (outcome_summary, None),
     "reprocess_wave": (wave, WAVE),
