@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestar.functions import text as T
+from lodestar.operators.shared import cut
 
 SIGNALS = ("heading", "table", "appendix", "list")
 
@@ -118,8 +119,6 @@ def ocr_quality(docs: DataFrame, noisy: float = 0.50, mixed: float = 0.30, unusa
     return docs.withColumn("ocr_quality_status", status)
 
 
-#: A document's place inside its share of equals is numbered in so many id groups, so that common shares don't meet in one task.
-PIECES = 64
 
 
 def document_priority(docs: DataFrame, high: str = r"MANUAL|GUIDELINES") -> DataFrame:
@@ -147,22 +146,21 @@ def reprocess_candidate(docs: DataFrame) -> DataFrame:
 def reprocess_rank(docs: DataFrame) -> DataFrame:
     """Ranks candidates over the whole corpus by priority, then excluded share, then id.
 
-    Positions come from counts by (priority, share, range of ids) and a running sum
-    over those few rows; documents never pass through one task, and a share that many
-    have is numbered in `PIECES` ranges.
+    One sort by ranges numbers the rows of each partition, and one count a partition, which goes
+    to the driver and back, tells where each partition begins.
     """
+    spark = docs.sparkSession
     order = F.when(F.col("document_priority") == "high", 0).when(F.col("document_priority") == "medium", 1).otherwise(2)
     keyed = docs.where("reprocess_candidate").select("id", order.alias("_p"), F.round(-excluded_ratio(), 9).alias("_x"))
-    if docs.schema["id"].dataType.typeName() in ("integer", "long"):
-        ends = keyed.agg(F.min("id").alias("_lo"), F.max("id").alias("_hi"))  # one row
-        part = F.floor((F.col("id") - F.col("_lo")).cast("double") / (F.col("_hi") - F.col("_lo") + 1) * PIECES)
-        keyed = keyed.crossJoin(F.broadcast(ends)).select("id", "_p", "_x", part.alias("_i"))
-    else:
-        keyed = keyed.withColumn("_i", F.lit(0))
-    groups = keyed.groupBy("_p", "_x", "_i").agg(F.count("*").alias("_n"))
-    offset = groups.withColumn("_before", F.sum("_n").over(Window.orderBy("_p", "_x", "_i").rowsBetween(Window.unboundedPreceding, -1)))
-    within = F.row_number().over(Window.partitionBy("_p", "_x", "_i").orderBy("id"))
-    ranks = keyed.withColumn("_w", within).join(offset, ["_p", "_x", "_i"]).select("id", (F.coalesce("_before", F.lit(0)) + F.col("_w")).alias("reprocess_rank"))
+    keys = ["_p", "_x", "id"]
+    placed = cut(keyed.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *keys).sortWithinPartitions(*keys).select("id", F.monotonically_increasing_id().alias("_place")))
+    part = F.shiftrightunsigned("_place", 33)
+    before, starts = 0, [(-1, 0)]
+    for row in placed.groupBy(part.alias("part")).agg(F.count("*").alias("n")).orderBy("part").collect():
+        starts.append((row.part, before))
+        before += row.n
+    offsets = F.broadcast(spark.createDataFrame(starts, "_part long, _before long"))
+    ranks = placed.join(offsets, part == F.col("_part")).select("id", (F.col("_before") + F.col("_place").bitwiseAND((1 << 33) - 1) + 1).alias("reprocess_rank"))
     return docs.join(ranks, "id", "left")
 
 

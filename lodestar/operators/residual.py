@@ -72,43 +72,11 @@ def impact_summary(changes: DataFrame, unresolved: float = 0.25) -> DataFrame:
     )
 
 
-def select_pilot(docs: DataFrame, n: int = 8) -> DataFrame:
-    """High-priority mixed or noisy candidates, best rank first; n is held to 5..10."""
-    pool = docs.where("is_active AND document_priority = 'high' AND ocr_quality_status IN ('ocr_mixed', 'ocr_noisy')")
-    return pool.withColumn("excluded_ratio", excluded_ratio()).orderBy(F.asc_nulls_last("reprocess_rank"), F.desc("excluded_ratio"), "id").limit(max(5, min(10, n)))
-
-
-def select_wave(docs: DataFrame, done: DataFrame, n: int = 20, offset: int = 0) -> DataFrame:
-    """The next candidates not yet processed; n is held to 5..20."""
-    pool = docs.where("is_active AND reprocess_candidate").join(done.select("source_path"), "source_path", "left_anti")
-    return pool.orderBy(F.asc_nulls_last("reprocess_rank"), "id").offset(offset).limit(max(5, min(20, n)))
-
-
 def quality_deltas(before: DataFrame, after: DataFrame) -> DataFrame:
     slim = lambda df, p: df.select("source_path", F.col("ocr_quality_status").alias(f"status_{p}"), excluded_ratio().alias(f"ratio_{p}"))
     return slim(before, "before").join(slim(after, "after"), "source_path", "left").withColumn("delta", F.round(F.col("ratio_after") - F.col("ratio_before"), 6))
 
 
-def status_rank(status: Column) -> Column:
-    order = ("native_clean", "ocr_clean", "ocr_mixed", "ocr_noisy", "ocr_unusable")
-    return F.coalesce(*[F.when(status == s, i) for i, s in enumerate(order)])
-
-
-def summarise_outcomes(deltas: DataFrame, material: str = "improved") -> DataFrame:
-    """How many documents changed materially, mean change, and a recommendation: worthwhile from max(2, 30 %) on."""
-    status = status_rank(F.col("status_after")) < status_rank(F.col("status_before")) if material == "improved" else F.col("status_after") != F.col("status_before")
-    moved = F.coalesce((F.col("delta") <= -0.05) | status, F.lit(False))
-    out = deltas.agg(F.count("*").alias("documents"), F.count_if(moved).alias("material"), F.round(F.avg("delta"), 6).alias("mean_delta"))
-    enough = F.greatest(F.lit(2), F.ceil(F.col("documents") * 0.3))
-    return out.withColumn("worthwhile", F.col("material") >= enough).withColumn("recommendation", F.when(F.col("worthwhile"), "continue").otherwise("stop"))
-
-
-def summarise_wave(wave: DataFrame, base: DataFrame, within: float = 0.1) -> DataFrame:
-    """Material rate of a wave against the pilot's; both sides are one row."""
-    rate = lambda df, p: df.select(T.ratio(F.col("material"), F.col("documents")).alias(f"{p}_rate"), F.col("mean_delta").alias(f"{p}_delta"))
-    return rate(wave, "wave").crossJoin(rate(base, "base")).withColumn("consistent", F.abs(F.col("wave_delta") - F.col("base_delta")) < within)
-
-
 def substrings(col: Column, n: int) -> Column:
     """Distinct runs of n characters; none of a shorter text."""
     runs = F.transform(F.sequence(F.lit(1), F.length(col) - (n - 1)), lambda i: F.substring(col, i, n))
@@ -148,22 +116,6 @@ def source_hits(hits: DataFrame, docs: DataFrame) -> DataFrame:
     return named.join(counts, "_t", "left").crossJoin(F.broadcast(totals)).select("id", hits_of.cast("long").alias("hits"))
 
 
-def retrieval_impact(before: DataFrame, after: DataFrame) -> DataFrame:
-    """(document_id, query_id, hits, answer_chars) twice: improved if newly found, found more often, or answered 40 characters longer."""
-    a = after.select("document_id", "query_id", F.col("hits").alias("_h"), F.col("answer_chars").alias("_c"))
-    better = ((F.col("hits") == 0) & (F.col("_h") > 0)) | (F.col("_h") > F.col("hits")) | (F.col("_c") - F.col("answer_chars") > 40)
-    return before.join(a, ["document_id", "query_id"]).groupBy("document_id").agg(F.bool_or(better).alias("improved"), F.count("*").alias("queries"))
-
-
-def stop_decision(metrics: DataFrame) -> DataFrame:
-    """metrics(material, documents, mean_delta, junk_share, max_sources, reconciles) + reasons to stop."""
-    found = T.reasons(
-        (T.ratio(F.col("material"), F.col("documents")) < 0.3, "few_material_changes"), (F.col("mean_delta") > -0.02, "little_gain"),
-        (F.col("junk_share") > 0.2, "junk_spike"), (F.col("max_sources") > 24, "source_spam"), (~F.col("reconciles"), "does_not_reconcile"),
-    )
-    return metrics.withColumn("stop_reasons", found).withColumn("stop", F.size("stop_reasons") > 0)
-
-
 def cycle_rollup(cycles: DataFrame) -> DataFrame:
     return cycles.agg(
         F.count("*").alias("cycles"), F.sum("documents").alias("documents"), F.sum("material").alias("material"),

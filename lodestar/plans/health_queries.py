@@ -225,21 +225,6 @@ SELECT count(*) AS documents, count(*) FILTER (WHERE d < 0) AS improved, count(*
 """
 
 
-def outcome_summary(spark, sf_dir):
-    b, a = _pair(spark, sf_dir)
-    return residual.summarise_outcomes(residual.quality_deltas(health.ocr_quality(b), health.ocr_quality(a)))
-
-
-def wave(spark, sf_dir):
-    docs = health.reprocess_rank(_scored(spark, sf_dir))
-    return residual.select_wave(docs, docs.where("quarantined").select("source_path"), n=20, offset=5).select("id", "reprocess_rank")
-
-
-WAVE = f"""
-WITH s AS (SELECT *, row_number() OVER (ORDER BY CASE document_priority WHEN 'high' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END, round(-x, 9), id) AS r FROM ({SCORED}) WHERE reprocess_candidate)
-SELECT id, r AS reprocess_rank FROM s WHERE is_active AND source_path NOT IN (SELECT source_path FROM ({VERSIONS}) WHERE quarantined) ORDER BY r, id LIMIT 20 OFFSET 5
-"""
-
 QUERIES = {
     "doc_chunk_stats": (doc_chunk_stats, f"SELECT document_id, count(*) AS chunk_count, count(*) FILTER (WHERE retrieval_excluded) AS excluded_chunk_count, count(*) FILTER (WHERE is_boilerplate) AS boilerplate_chunk_count, count(*) FILTER (WHERE retrieval_downranked) AS downranked_chunk_count FROM ({CHUNKS}) GROUP BY document_id"),
     "invariant_violations": (invariants, f"SELECT chunk_id, 'excluded_embedded' AS violation FROM ({CHUNKS}) WHERE retrieval_excluded AND embedding_status = 'embedded' UNION ALL SELECT chunk_id, 'orphan' FROM ({CHUNKS}) WHERE document_id NOT IN (SELECT id FROM ({VERSIONS}) WHERE is_active)"),
@@ -265,6 +250,4 @@ QUERIES = {
     "residual_cohort": (residual_cohort, f"SELECT id, round({X}, 6) AS excluded_ratio FROM ({VERSIONS}) WHERE is_active AND text_quality_tier = 'partial' AND {X} >= 0.25 ORDER BY {X} DESC, id LIMIT 20"),
     "exclusion_report": (exclusion_report, EXCLUSION),
     "impact_summary": (impact_summary, IMPACT),
-    "outcome_summary": (outcome_summary, None),
-    "reprocess_wave": (wave, WAVE),
 }

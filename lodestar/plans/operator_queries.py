@@ -368,18 +368,6 @@ def small_by_type(spark, sf_dir):
     return health.small_by_type(chunks(spark, sf_dir))
 
 
-def retrieval_impacts(spark, sf_dir):
-    li = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("document_id"), F.col("l_orderkey").alias("query_id"))
-    side = lambda h, c: li.agg(F.max(h).cast("double").alias("hits"), F.max(c).cast("double").alias("answer_chars"))
-    return residual.retrieval_impact(side("l_linenumber", "l_quantity"), side("l_quantity", "l_linenumber"))
-
-
-IMPACTS = """
-WITH p AS (SELECT l_suppkey AS document_id, l_orderkey AS query_id, max(l_linenumber)::DOUBLE AS a, max(l_quantity)::DOUBLE AS b FROM lineitem GROUP BY 1, 2)
-SELECT document_id, bool_or((a = 0 AND b > 0) OR b > a OR a - b > 40) AS improved, count(*) AS queries FROM p GROUP BY 1
-"""
-
-
 def _cycles(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem")
     return li.groupBy("l_suppkey").agg(
@@ -391,16 +379,6 @@ def _cycles(spark, sf_dir):
 _CYCLES = "SELECT l_suppkey, count(*) AS documents, count(*) FILTER (WHERE l_returnflag = 'R') AS material, -avg(CAST(l_discount AS DOUBLE)) AS mean_delta, avg((l_tax > 0.06)::INT)::DOUBLE AS junk_share, max(l_linenumber) AS max_sources, sum(l_linenumber) % 2 = 0 AS reconciles FROM lineitem GROUP BY 1"
 
 
-def stop_decisions(spark, sf_dir):
-    return residual.stop_decision(_cycles(spark, sf_dir)).select("l_suppkey", "stop", F.array_join("stop_reasons", "|").alias("stop_reasons"))
-
-
-STOPS = f"""
-SELECT l_suppkey, r <> '' AS stop, r AS stop_reasons FROM (SELECT l_suppkey, concat_ws('|', CASE WHEN material / documents < 0.3 THEN 'few_material_changes' END, CASE WHEN mean_delta > -0.02 THEN 'little_gain' END,
-  CASE WHEN junk_share > 0.2 THEN 'junk_spike' END, CASE WHEN max_sources > 24 THEN 'source_spam' END, CASE WHEN NOT reconciles THEN 'does_not_reconcile' END) AS r FROM ({_CYCLES}))
-"""
-
-
 def cycle_rollup(spark, sf_dir):
     return residual.cycle_rollup(_cycles(spark, sf_dir))
 
@@ -408,18 +386,6 @@ def cycle_rollup(spark, sf_dir):
 ROLLUP = f"SELECT count(*) AS cycles, sum(documents)::BIGINT AS documents, sum(material)::BIGINT AS material, round(sum(mean_delta * documents) / sum(documents), 6) AS weighted_delta FROM ({_CYCLES})"
 
 
-def wave_summary(spark, sf_dir):
-    whole = residual.cycle_rollup(_cycles(spark, sf_dir)).select("documents", "material", F.col("weighted_delta").alias("mean_delta"))
-    best = residual.cycle_rollup(_cycles(spark, sf_dir).where("reconciles")).select("documents", "material", F.col("weighted_delta").alias("mean_delta"))
-    return residual.summarise_wave(best, whole).select(*[F.round(c, 6).alias(c) for c in ("wave_rate", "base_rate", "wave_delta", "base_delta")], "consistent")
-
-
-WAVES = f"""
-WITH c AS ({_CYCLES}), w AS (SELECT sum(material) / sum(documents) AS r, round(sum(mean_delta * documents) / sum(documents), 6) AS d FROM c WHERE reconciles), b AS (SELECT sum(material) / sum(documents) AS r, round(sum(mean_delta * documents) / sum(documents), 6) AS d FROM c)
-SELECT round(w.r, 6) AS wave_rate, round(b.r, 6) AS base_rate, w.d AS wave_delta, b.d AS base_delta, abs(w.d - b.d) < 0.1 AS consistent FROM w, b
-"""
-
-
 def source_hits(spark, sf_dir):
     """Hits cite customers' manuals by the start of their titles, and notes and procedures whole."""
     name = F.when(F.col("c_custkey") % 4 == 1, F.concat(F.lit("Site manual "), "c_custkey")).when(F.col("c_custkey") % 4 == 0, F.concat(F.lit("LOP-AB "), "c_custkey", F.lit(".PDF, p. 1"))).otherwise(F.concat(F.lit("notes: "), "c_custkey"))
@@ -473,16 +439,6 @@ SELECT a.title, a.x < b.x AS improved, a.mixed AND NOT a.ocr_used AS likely_fixa
 """
 
 
-def reprocess_pilot(spark, sf_dir):
-    return residual.select_pilot(health.reprocess_rank(_scored(spark, sf_dir))).select("id", "reprocess_rank")
-
-
-PILOT = f"""
-WITH s AS (SELECT id, x, row_number() OVER (ORDER BY CASE document_priority WHEN 'high' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END, round(-x, 9), id) AS r FROM ({SCORED}) WHERE reprocess_candidate)
-SELECT d.id, s.r AS reprocess_rank FROM ({SCORED}) d LEFT JOIN s USING (id) WHERE is_active AND document_priority = 'high' AND ocr_quality_status IN ('ocr_mixed', 'ocr_noisy')
-ORDER BY s.r NULLS LAST, d.x DESC, d.id LIMIT 8
-"""
-
 HINTS = "setup interface import export"
 
 
@@ -586,15 +542,11 @@ QUERIES = {
     "last_run": (last_run, f"SELECT strftime(max(created_at), '%Y-%m-%d') AS last_ingest_run FROM ({VERSIONS})"),
     "version_comparison": (version_comparison, COMPARED),
     "small_by_type": (small_by_type, f"SELECT section_type, count(*) AS n FROM ({CHUNKS}) WHERE token_count < 50 GROUP BY 1"),
-    "retrieval_impacts": (retrieval_impacts, IMPACTS),
-    "stop_decisions": (stop_decisions, STOPS),
     "cycle_rollup": (cycle_rollup, ROLLUP),
-    "wave_summary": (wave_summary, WAVES),
     "source_hits": (source_hits, SOURCE_HITS),
     "text_quality_tiers": (text_quality_tiers, None),
     "residual_drivers": (residual_drivers, DRIVERS),
     "residual_detail": (residual_detail, DETAIL),
-    "reprocess_pilot": (reprocess_pilot, PILOT),
     "fallback_hits": (fallback_hits, FALLBACK),
     "answer_checks": (answer_checks, CHECKED),
     "acceptance": (acceptance, ACCEPTED),

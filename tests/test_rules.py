@@ -195,14 +195,6 @@ def test_section_anchors_scores(spark):
     assert {r.chunk_id: r.score for r in search.section_anchors(refs, c, 9).collect()} == {1: 1.0, 2: 0.95, 3: 0.9, 4: 0.8}
 
 
-def test_outcomes_and_stop_rule(spark):
-    d = spark.createDataFrame([(1, "ocr_noisy", "ocr_mixed", -0.01), (2, "ocr_mixed", "ocr_mixed", -0.2), (3, "ocr_mixed", "ocr_noisy", 0.1)], "id long, status_before string, status_after string, delta double")
-    assert residual.summarise_outcomes(d).first().material == 2 and residual.summarise_outcomes(d, "changed").first().material == 3
-    m = spark.createDataFrame([(1, 10, -0.001, 0.3, 30, False), (8, 10, -0.2, 0.0, 10, True)], "material long, documents long, mean_delta double, junk_share double, max_sources long, reconciles boolean")
-    got = [r.stop_reasons for r in residual.stop_decision(m).orderBy("material").collect()]
-    assert got == [["few_material_changes", "little_gain", "junk_spike", "source_spam", "does_not_reconcile"], []]
-
-
 def test_citations(spark):
     a = spark.createDataFrame([(1, "It is so [Source: A, 1] . And [Source: B, 2].", ["x"])], "query_id long, answer string, z array<string>")
     h = spark.createDataFrame([(1, "A, 1")], "query_id long, citation_label string")
