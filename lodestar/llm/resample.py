@@ -146,6 +146,7 @@ def ranked(weighed: DataFrame, percent: int = 5, least_words: int = 20, id_col:
     """
     eligible = F.col("n_words") >= least_words
     order = [eligible.desc(), F.desc("score"), F.asc(f"`{id_col}`"), F.asc("weight"), F.asc("n_features")]
+    weighed = checkpoint(weighed)  # ranges are sampled before the sort, which would weigh every text twice
     partitions = int(weighed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # a row's number within its partition is the lower 33 bits
     placed = checkpoint(weighed.repartitionByRange(partitions, *order).sortWithinPartitions(*order).withColumn("_place", F.monotonically_increasing_id()))
