@@ -82,41 +82,54 @@ def evidence_flags(chunks: DataFrame) -> DataFrame:
     )
 
 
-#: Kinds of rules a text can state; own lists, parameters of nothing that must match another system.
+#: Categories of rules and the words that show them; fixed values.
 RULE_CATEGORIES = (
-    ("obligation", r"(?i)\b(?:must|shall|required?)\b"), ("prohibition", r"(?i)\b(?:must not|shall not|never|prohibited)\b"), ("condition", r"(?i)\b(?:if|unless|provided that)\b"),
-    ("timing", r"(?i)\b(?:before|after|within|until)\b"), ("limit", r"(?i)\b(?:maximum|minimum|limit|at least|at most)\b"), ("exception", r"(?i)\b(?:except|exempt|waiver)\w*\b"),
-)
+    ("system", r"(?i)\b(?:system|configuration|partition|database|access)\b"),
+    ("sample", r"(?i)\b(?:sample|classification|eligibility)\b"),
+    ("data_entry", r"(?i)\b(?:data\s*entry|manual\s*entry|field|format)\b"),
+    ("result_entry", r"(?i)\b(?:result\s*entry|adjust|amend|correction)\b"),
+    ("instrument", r"(?i)\b(?:instrument|program|programme|method)\b"),
+    ("release", r"(?i)\b(?:release|report|approval|approve)\b"),
+    ("exception", r"(?i)\b(?:exception|escalation|reject|notify|out\s*of\s*range)\b"),
+)
 
 
 def evidence_summary(hits: DataFrame) -> DataFrame:
-    """Counts of each question's evidence, and whether lists, rules and sources are covered; hits carry `evidence_flags`."""
+    """Counts of each question's evidence and what it covers; hits carry `evidence_flags`, doc_title and folder.
+
+    Documents are told apart by title and folder. An authoritative source is a structured hit or two authoritative
+    ones. Coverage is strong with two documents, six hits and an authoritative source, three list signals or
+    three rule categories; rules are covered broadly with three categories and four rule signals beside those.
+    """
+    document = F.struct(F.coalesce("doc_title", F.lit("")), F.coalesce("folder", F.lit("")))
     found = hits.groupBy("query_id").agg(
-        F.count_distinct("document_id").alias("documents"),
+        F.count_distinct(document).alias("documents"),
         F.count("*").alias("chunks"),
-        F.count("section_title").alias("titled"),
+        F.count_if(F.trim(F.coalesce("section_title", F.lit(""))) != "").alias("titled"),
         F.count_if("list_signal").alias("list_signals"),
         F.count_if("rule_signal").alias("rule_signals"),
         F.count_if("is_structured").alias("structured"),
         F.count_if("is_authoritative").alias("authoritative"),
         *[F.max(F.array_contains("rule_categories", name).cast("int")).alias(f"_{name}") for name, _ in RULE_CATEGORIES],
     )
-    kinds = sum((F.col(f"_{name}") for name, _ in RULE_CATEGORIES[1:]), F.col(f"_{RULE_CATEGORIES[0][0]}"))
+    categories = sum((F.col(f"_{name}") for name, _ in RULE_CATEGORIES[1:]), F.col(f"_{RULE_CATEGORIES[0][0]}"))
+    several = (F.col("documents") >= 2) & (F.col("chunks") >= 6)
+    source = (F.col("structured") > 0) | (F.col("authoritative") >= 2)
     return found.withColumns(
         {
-            "rule_kinds": kinds,
-            "covers_lists": F.col("list_signals") >= 2,
-            "covers_rules": (F.col("rule_signals") >= 2) & (kinds >= 2),
-            "covers_sources": (F.col("documents") >= 2) & (F.col("authoritative") > 0),
+            "rule_categories": categories,
+            "has_authoritative_source": source,
+            "has_strong_coverage": several & (source | (F.col("list_signals") >= 3) | (categories >= 3)),
+            "has_broad_rules": several & (categories >= 3) & (F.col("rule_signals") >= 4),
         }
     ).drop(*[f"_{name}" for name, _ in RULE_CATEGORIES])
 
 
 def evidence_policy(summary: DataFrame, queries: DataFrame) -> DataFrame:
-    """policy by intent: broad_rules, strong, authoritative or none."""
-    broad = (F.col("intent") == "synthesis_rules") & (F.col("rule_signals") >= 4) & (F.col("documents") >= 2)
-    strong = (F.col("chunks") >= 6) & (F.col("documents") >= 2)
-    return queries.join(summary, "query_id", "left").withColumn("policy", F.when(broad, "broad_rules").when(strong, "strong").when(F.col("authoritative") > 0, "authoritative").otherwise("none"))
+    """policy by intent and coverage: broad_rules (rule questions alone), strong, authoritative or none; questions without evidence have none."""
+    broad = (F.col("intent") == "synthesis_rules") & F.col("has_broad_rules")
+    policy = F.when(broad, "broad_rules").when(F.col("has_strong_coverage"), "strong").when(F.col("has_authoritative_source"), "authoritative").otherwise("none")
+    return queries.join(summary, "query_id", "left").withColumn("policy", policy)
 
 
 def operating_frame(hits: DataFrame, limit: int = 4, pool: int = 24, names: dict[str, str] | None = None) -> DataFrame:

@@ -64,8 +64,11 @@ def structured_factor(source_type: Column) -> Column:
 
 
 def mentions(corpus: Column, entity: Column) -> Column:
-    """The entity occurs as whole words, case aside; false without one."""
-    quoted = F.concat(F.lit(r"(?i)\b\Q"), entity, F.lit(r"\E\b"))
+    """The entity occurs as whole words, case aside; false without one.
+
+    A name that begins or ends with a sign, such as "c++", has no word boundary beside it and never occurs.
+    """
+    quoted = F.concat(F.lit(r"(?i)\b\Q"), F.replace(entity, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E\b"))
     return F.when(F.trim(F.coalesce(entity, F.lit(""))) != "", F.regexp_like(corpus, quoted)).otherwise(False)
 
 

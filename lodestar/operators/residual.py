@@ -159,8 +159,11 @@ def assess_categories(categories: DataFrame) -> DataFrame:
 
 
 def residual_detail(before: DataFrame, after: DataFrame) -> DataFrame:
-    """By title, (title, excluded_ratio, dominant_failure, ocr_used) twice: what is fixable, what is a floor, and risk notes."""
-    b = before.select("title", F.col("excluded_ratio").alias("ratio_before"))
+    """By title, (title, excluded_ratio, dominant_failure, ocr_used) twice: what is fixable, what is a floor, and risk notes.
+
+    One row a row of `after`: documents of one title in `before` stand for it with their least ratio.
+    """
+    b = before.groupBy("title").agg(F.min("excluded_ratio").alias("ratio_before"))
     out = after.join(b, "title")
     mixed = F.col("dominant_failure") == "contamination"
     improved = F.col("excluded_ratio") < F.col("ratio_before")

@@ -225,12 +225,26 @@ def evidence_summary(spark, sf_dir):
     return evidence.evidence_summary(h.join(c.drop("content", "citation_label"), "k"))
 
 
-SUMMARY = f"""
-WITH j AS (SELECT h.query_id, c.*, concat_ws(' ', coalesce(section_title, ''), content) AS corpus FROM ({DEDUPED}) h JOIN ({CHUNKS}) c ON h.chunk_id = c.document_id * 3 + c.chunk_index)
-SELECT *, list_signals >= 2 AS covers_lists, rule_signals >= 2 AND rule_kinds >= 2 AS covers_rules, documents >= 2 AND authoritative > 0 AS covers_sources FROM (
-SELECT query_id, {" + ".join(f"max(regexp_matches(corpus, {q(p)})::INT)" for _, p in evidence.RULE_CATEGORIES)} AS rule_kinds, count(DISTINCT document_id) AS documents, count(*) AS chunks, count(section_title) AS titled, count(*) FILTER (WHERE regexp_matches(corpus, {q(P.LIST_TEXT_SIGNAL)})) AS list_signals,
+def evidence_policies(spark, sf_dir):
+    """Every order is a question, in turn about rules and about lists."""
+    asked = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("query_id"), F.when(F.col("o_custkey") % 2 == 0, "synthesis_rules").otherwise("synthesis_list").alias("intent"))
+    return evidence.evidence_policy(evidence_summary(spark, sf_dir), asked).select("query_id", "intent", "policy")
+
+
+SUMMARY = rf"""
+WITH j AS (SELECT h.query_id, c.*, concat_ws(' ', coalesce(section_title, ''), content) AS corpus FROM ({DEDUPED}) h JOIN ({CHUNKS}) c ON h.chunk_id = c.document_id * 3 + c.chunk_index),
+g AS (SELECT query_id, count(DISTINCT doc_title || '|||' || folder) AS documents, count(*) AS chunks, count(*) FILTER (WHERE trim(coalesce(section_title, '')) <> '') AS titled, count(*) FILTER (WHERE regexp_matches(corpus, {q(P.LIST_TEXT_SIGNAL)})) AS list_signals,
   count(*) FILTER (WHERE regexp_matches(corpus, {q(P.RULE_SIGNAL)})) AS rule_signals, count(*) FILTER (WHERE source_type = 'xlsx') AS structured,
-  count(*) FILTER (WHERE source_type = 'xlsx' OR regexp_matches(doc_title, {q(P.AUTHORITATIVE_TITLE)}) OR regexp_matches(coalesce(section_title, ''), {q(P.AUTHORITATIVE_SECTION)})) AS authoritative FROM j GROUP BY 1)
+  count(*) FILTER (WHERE source_type = 'xlsx' OR regexp_matches(doc_title, {q(P.AUTHORITATIVE_TITLE)}) OR regexp_matches(coalesce(section_title, ''), {q(P.AUTHORITATIVE_SECTION)})) AS authoritative,
+  max(regexp_matches(corpus, '(?i)\b(system|configuration|partition|database|access)\b')::INT) + max(regexp_matches(corpus, '(?i)\b(sample|classification|eligibility)\b')::INT) + max(regexp_matches(corpus, '(?i)\b(data\s*entry|manual\s*entry|field|format)\b')::INT)
+  + max(regexp_matches(corpus, '(?i)\b(result\s*entry|adjust|amend|correction)\b')::INT) + max(regexp_matches(corpus, '(?i)\b(instrument|program|programme|method)\b')::INT) + max(regexp_matches(corpus, '(?i)\b(release|report|approval|approve)\b')::INT)
+  + max(regexp_matches(corpus, '(?i)\b(exception|escalation|reject|notify|out\s*of\s*range)\b')::INT) AS rule_categories FROM j GROUP BY 1)
+SELECT *, structured > 0 OR authoritative >= 2 AS has_authoritative_source, documents >= 2 AND chunks >= 6 AND (structured > 0 OR authoritative >= 2 OR list_signals >= 3 OR rule_categories >= 3) AS has_strong_coverage,
+  rule_categories >= 3 AND documents >= 2 AND chunks >= 6 AND rule_signals >= 4 AS has_broad_rules FROM g
+"""
+POLICIES = f"""
+SELECT o_orderkey AS query_id, CASE WHEN o_custkey % 2 = 0 THEN 'synthesis_rules' ELSE 'synthesis_list' END AS intent, CASE WHEN s.query_id IS NULL THEN 'none' WHEN o_custkey % 2 = 0 AND has_broad_rules THEN 'broad_rules'
+  WHEN has_strong_coverage THEN 'strong' WHEN has_authoritative_source THEN 'authoritative' ELSE 'none' END AS policy FROM orders LEFT JOIN ({SUMMARY}) s ON s.query_id = o_orderkey
 """
 
 QUERIES = {
@@ -255,4 +269,5 @@ QUERIES = {
     "latest_assistant": (latest_assistant, "SELECT conv_id, turn, md5(last_value(CASE WHEN role = 'assistant' THEN text END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) AS latest FROM conversations"),
     "source_groups": (source_groups, SOURCES),
     "evidence_summary": (evidence_summary, SUMMARY),
+    "evidence_policies": (evidence_policies, POLICIES),
 }
