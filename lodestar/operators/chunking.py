@@ -178,39 +178,6 @@ def compose_tables(groups: DataFrame, max_tokens: int = 1000) -> DataFrame:
     return out.withColumn("range_ref", ref).withColumn("content", F.col("_text")).drop("_parts", "_text")
 
 
-def hashing_vectors(dimensions: int = 64) -> Callable[[list[str]], list[list[float]]]:
-    """The default model: signed hashed word counts of unit length."""
-    import zlib
-
-    def embed(texts: list[str]) -> list[list[float]]:
-        out = []
-        for text in texts:
-            v = [0.0] * dimensions
-            for word in text.lower().split():
-                h = zlib.crc32(word.encode())
-                v[h % dimensions] += 1.0 if h & 0x80000000 else -1.0
-            norm = sum(x * x for x in v) ** 0.5 or 1.0
-            out.append([x / norm for x in v])
-        return out
-
-    return embed
-
-
-def embed(chunks: DataFrame, model: Callable[[list[str]], list[list[float]]] | None = None, batch: int = 32) -> DataFrame:
-    """Vectors of kept chunks, in batches through `model`; excluded ones stay null and never reach it."""
-    model = model or hashing_vectors()
-
-    @F.pandas_udf("array<float>")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            rows = [v for k in range(0, len(texts), batch) for v in model([t or "" for t in texts[k : k + batch]])]
-            yield pd.Series(rows, index=texts.index)
-
-    eligible = chunks.where(~F.col("retrieval_excluded")).withColumn("embedding", run(F.col("content")))
-    excluded = chunks.where(F.col("retrieval_excluded")).withColumn("embedding", F.lit(None).cast("array<float>"))
-    return eligible.unionByName(excluded)
-
-
 def repair_titles(chunks: DataFrame, by: str = "document_id") -> DataFrame:
     """A chunk titled by its own first line takes the structural heading of the excluded chunk right before it."""
     w = Window.partitionBy(by).orderBy("chunk_index")

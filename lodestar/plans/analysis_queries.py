@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lodestar.functions import patterns as P
-from lodestar.operators import chunking, evidence, fusion, health, lifecycle, normalise, questions, residual, search, structure
+from lodestar.operators import chunking, embedding, evidence, fusion, health, lifecycle, normalise, questions, residual, search, structure
 from lodestar.plans.corpus_queries import q
 from lodestar.plans.inputs import CHUNKS, QUESTIONS, VERSIONS, WHITE, chunks, conversations, hits, sections, table, versions
 from lodestar.plans.inputs import questions as question_table
@@ -52,7 +52,7 @@ SELECT chunk_id, (row_number() OVER (PARTITION BY document_id ORDER BY i) - 1)::
 
 
 def embedded_chunks(spark, sf_dir):
-    made = chunking.embed(chunks(spark, sf_dir).select("chunk_id", "content", "retrieval_excluded"))
+    made = embedding.embed(chunks(spark, sf_dir).select("chunk_id", "content", "retrieval_excluded"))
     return made.groupBy("retrieval_excluded").agg(F.count("*").alias("n"), F.count("embedding").alias("embedded"))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lodestar.functions import patterns as P
-from lodestar.operators import chunking, evidence, fusion, health, lifecycle, questions, residual, search, text_quality
+from lodestar.operators import chunking, embedding, evidence, fusion, health, lifecycle, questions, residual, search, text_quality
 from lodestar.plans.analysis_queries import ANSWERS, JOINED, _answers, _joined
 from lodestar.plans.corpus_queries import q
 from lodestar.plans.health_queries import SCORED, _scored
@@ -156,8 +156,8 @@ SELECT query_id, chunk_id, rank, round(score, 6) AS score FROM (SELECT *, row_nu
 def hybrid_vectors(spark, sf_dir):
     """All three channels over searchable chunks, with title admissions; the vectors are the stand-in model's."""
     asked = _short_questions(spark, sf_dir)
-    kept = chunking.embed(chunks(spark, sf_dir).where("NOT retrieval_excluded"))
-    vectors = chunking.embed(asked.select("query_id", F.col("question").alias("content"), F.lit(False).alias("retrieval_excluded"))).select("query_id", "embedding")
+    kept = embedding.embed(chunks(spark, sf_dir).where("NOT retrieval_excluded"))
+    vectors = embedding.embed(asked.select("query_id", F.col("question").alias("content"), F.lit(False).alias("retrieval_excluded"))).select("query_id", "embedding")
     p = search.search_postings(kept, {"citation_label": "A", "section_title": "A", "content": "C"})
     refs = asked.select("query_id", F.concat(F.lit("Title "), F.col("query_id") % 40).alias("ref"))
     return search.hybrid_search(asked, kept, p, vectors=vectors, refs=refs).select("query_id", "chunk_id", "rank", F.round("score", 6).alias("score"))

@@ -13,12 +13,16 @@ SUPPORTED = ("pdf", "docx", "txt", "xlsx", "csv", "png", "jpg", "jpeg")
 HIDDEN = r"(^|/)(\.|~\$)"
 
 
-def corpus_scan(spark: SparkSession, root: str, with_hash: bool = True) -> DataFrame:
+def corpus_scan(spark: SparkSession, root: str, with_hash: bool = True, most_bytes: int = 100 * 1024 * 1024, pattern: str = "*") -> DataFrame:
     """source_path, folder, extension, bytes, modified_at (and version_hash) of every file below `root`.
 
-    Without the hash the content column is pruned, so files aren't read.
+    `pattern` filters names in the listing. Without the hash the content column is pruned, so files aren't
+    read; with it, files of more than `most_bytes` aren't either, and have a null hash.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(root)
+    if with_hash:  # the bound on lengths reaches the reader, which opens no file beyond it
+        large = files.where(F.col("length") > most_bytes).drop("content").withColumn("content", F.lit(None).cast("binary"))
+        files = files.where(F.col("length") <= most_bytes).unionByName(large)
     base = root.rstrip("/").rpartition("/")[2]
     relative = F.regexp_replace("path", rf"^.*?/{base}/", "")
     out = files.withColumn("source_path", relative).where(~F.col("source_path").rlike(HIDDEN))
@@ -168,17 +172,37 @@ def write_report(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
-def processed_paths(spark: SparkSession, files: list[str]) -> DataFrame:
-    """Distinct source paths from selection files of two shapes: {"selected": [{source_path}]} and {"documents": [...]}."""
-    row = "array<struct<source_path:string>>"
-    raw = spark.read.schema(f"selected {row}, documents {row}").option("multiLine", True).json(files)
-    none = F.array().cast(row)
-    return raw.select(F.explode(F.concat(F.coalesce("selected", none), F.coalesce("documents", none))).alias("d")).select("d.source_path").where("source_path IS NOT NULL").distinct()
+def read_artifacts(spark: SparkSession, paths: str | list[str], whole: bool = True) -> DataFrame:
+    """file, value (variant), bad_record: JSON of any shape, a file or a line a row; what isn't JSON is kept as text."""
+    raw = spark.read.text(paths, wholetext=whole).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("text")).where(F.trim("text") != "")
+    return raw.withColumn("value", F.try_parse_json("text")).select("file", "value", F.when(F.col("value").isNull(), F.col("text")).alias("bad_record"))
 
 
-def read_queries(spark: SparkSession, path: str) -> DataFrame:
-    schema = "query_id long, question string, category string, expected_docs array<string>, expected_behaviour string"
-    return spark.read.schema(schema).option("multiLine", True).json(path)
+def exploded(rows: DataFrame, keys: tuple[str, ...], *columns: str) -> DataFrame:
+    """`columns` and `item` (variant): the elements of the arrays under each of `keys`, null and other values giving none."""
+    out = None
+    for key in keys:
+        part = rows.select(*columns, F.try_variant_get("value", f"$.{key}", "array<variant>").alias("_items")).select(*columns, F.explode("_items").alias("item"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def processed_paths(spark: SparkSession, files: str | list[str], whole: bool = True) -> DataFrame:
+    """Distinct source paths from selection artifacts of both shapes, {"selected": [{source_path}]} and {"documents": [...]}; bad records have none."""
+    items = exploded(read_artifacts(spark, files, whole), ("selected", "documents"))
+    return items.select(F.try_variant_get("item", "$.source_path", "string").alias("source_path")).where("source_path IS NOT NULL").distinct()
+
+
+QUERY_FIELDS = {"query_id": "long", "question": "string", "category": "string", "expected_docs": "array<string>", "expected_behaviour": "string"}
+
+
+def read_queries(spark: SparkSession, path: str | list[str], whole: bool = True) -> DataFrame:
+    """Question sets, as a list of questions or under "queries": typed fields and, for what is no question, bad_record."""
+    rows = read_artifacts(spark, path, whole)
+    listed = F.coalesce(F.try_variant_get("value", "$", "array<variant>"), F.try_variant_get("value", "$.queries", "array<variant>"), F.array("value"))
+    items = rows.select("bad_record", F.explode(F.when(F.col("value").isNull(), F.array(F.lit(None).cast("variant"))).otherwise(listed)).alias("item"))
+    typed = items.select(*(F.try_variant_get("item", f"$.{name}", kind).alias(name) for name, kind in QUERY_FIELDS.items()), F.coalesce("bad_record", F.to_json("item")).alias("_text"))
+    return typed.withColumn("bad_record", F.when(F.col("question").isNull(), F.col("_text"))).drop("_text")
 
 
 def rebuild(chunks: DataFrame, path: str, documents: DataFrame | None = None) -> DataFrame:

@@ -1,6 +1,8 @@
 """File scans, tables, sinks and streams on temporary folders."""
 
+import hashlib
 import json
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -84,10 +86,41 @@ def test_tables_of_many_rows_stay_whole(spark):
 
 
 def test_selection_files_of_two_shapes(spark, tmp_path):
-    (tmp_path / "a.json").write_text(json.dumps({"selected": [{"source_path": "x"}, {"source_path": "y"}]}))
-    (tmp_path / "b.json").write_text(json.dumps({"documents": [{"source_path": "y"}, {"other": 1}]}))
-    got = corpus.processed_paths(spark, [str(tmp_path / "a.json"), str(tmp_path / "b.json")])
+    (tmp_path / "a.json").write_text(json.dumps({"selected": [{"source_path": "x", "n": {"deep": [1]}}, {"source_path": "y"}, 7, None]}, indent=2))
+    (tmp_path / "b.json").write_text(json.dumps({"documents": [{"source_path": "y"}, {"other": 1}], "selected": "none"}))
+    (tmp_path / "c.json").write_text('{"documents": [{"source_path": "z"')
+    (tmp_path / "d.json").write_text("[1, 2]")
+    got = corpus.processed_paths(spark, str(tmp_path))
     assert sorted(r.source_path for r in got.collect()) == ["x", "y"]
+    bad = corpus.read_artifacts(spark, str(tmp_path)).where("bad_record IS NOT NULL").collect()
+    assert [r.file.rpartition("/")[2] for r in bad] == ["c.json"] and bad[0].bad_record.endswith('"z"')
+
+
+def test_question_sets_keep_what_is_no_question(spark, tmp_path):
+    (tmp_path / "a.json").write_text(json.dumps([{"query_id": 1, "question": "one?", "expected_docs": ["a", "b"], "more": {}}, {"query_id": "two"}]))
+    (tmp_path / "b.json").write_text(json.dumps({"queries": [{"query_id": 3, "question": "three?", "category": "c"}]}))
+    (tmp_path / "c.json").write_text("not json")
+    rows = sorted(corpus.read_queries(spark, str(tmp_path)).collect(), key=lambda r: (r.query_id is None, r.query_id or 0, r.bad_record or ""))
+    assert [(r.query_id, r.question, r.category, r.expected_docs, r.bad_record) for r in rows] == [
+        (1, "one?", None, ["a", "b"], None), (3, "three?", "c", None, None), (None, None, None, None, "not json"), (None, None, None, None, '{"query_id":"two"}'),
+    ]
+
+
+def test_scan_reads_no_file_beyond_the_bound(spark, tmp_path):
+    (tmp_path / "root").mkdir()
+    for name, size in (("a.txt", 3), ("b.txt", 30), ("c.csv", 2)):
+        (tmp_path / "root" / name).write_text("x" * size)
+    rows = {r.source_path: r for r in corpus.corpus_scan(spark, str(tmp_path / "root"), most_bytes=10, pattern="*.txt").collect()}
+    assert set(rows) == {"a.txt", "b.txt"} and rows["b.txt"].version_hash is None and rows["b.txt"].bytes == 30
+    assert rows["a.txt"].version_hash == hashlib.sha256(b"xxx").hexdigest()
+
+
+def test_files_of_the_tables(spark, sf_dir):
+    from lodestar.plans import ingest_queries
+
+    want = {p.name: (p.stat().st_size, hashlib.sha256(p.read_bytes()).hexdigest()) for p in Path(sf_dir).glob("*.parquet")}
+    assert {r.source_path: (r.bytes, r.version_hash) for r in ingest_queries.table_files(spark, sf_dir).collect()} == want
+    assert {r.name: (r.bytes, r.version_hash) for r in ingest_queries.arriving_files(spark, sf_dir).collect()} == want
 
 
 def test_line_cleaning(spark):
