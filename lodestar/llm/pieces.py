@@ -4,14 +4,15 @@ A text becomes characters; an agenda of adjacent pairs, ordered by the score of
 the piece they would make and then from left to right, is worked off until no
 pair makes a piece. Characters without a piece become their UTF-8 bytes.
 
-No piece reaches over the place where a word mark follows another character, nor
-over a character that no longer piece holds; both are read from the vocabulary,
-so whole texts are cut there into stretches that are merged once and kept in a
-bounded cache. Where a vocabulary has pieces over word marks, stretches are
-longer and results the same.
+A piece can only reach over two neighbours that some longer piece of the vocabulary holds
+side by side, so a text falls into parts that are merged by themselves: words
+with their mark, and in them runs of such neighbours. Both are kept in bounded caches.
+Where a vocabulary has pieces over word marks, texts aren't cut into words and results are the same.
 
-Each text's ids are compared with the sentencepiece library's in the same Arrow batch
-(column `agrees`); the ids returned are the agenda's in any case.
+Every Arrow batch is checked against the sentencepiece library: each word that a worker merges
+anew is encoded by the library too, texts that aren't cut into words are encoded whole, and
+the decoded text is compared with the text (column `agrees`). What is returned is
+the agenda's in any case.
 
 Defined results: null and empty texts have no ids and decode to the empty text;
 very long texts are merged stretch by stretch, whole; rows are mapped one by
@@ -22,13 +23,12 @@ the id and the named columns alone); an empty table gives an empty result.
 from __future__ import annotations
 
 import hashlib
-import heapq
 from collections.abc import Iterable, Sequence
-from heapq import heappop, heappush
-from itertools import groupby
+from heapq import heapify, heappop, heappush
+from itertools import chain, groupby
+from operator import add
 
 import pyarrow as pa
-import regex
 import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql.pandas.types import to_arrow_type
@@ -37,12 +37,16 @@ from lodestar.llm.common import BoundedCache, map_rows
 
 #: The character that stands for a space in pieces; a fixed value of the format.
 MARK = "▁"
+#: So many new words are compared with the library at a time.
+FRESH = 10_000
+#: Parts of so many characters at most have an agenda without a heap; the rank of pairs that make no piece.
+SHORT, NONE = 32, 1 << 32
 
 
 class PieceCodec:
     """One vocabulary: `encode` by the agenda, `decode` from ids."""
 
-    def __init__(self, content: bytes, limit: int = 200_000) -> None:
+    def __init__(self, content: bytes, limit: int = 300_000) -> None:
         self.library = sentencepiece.SentencePieceProcessor(model_proto=content)
         size = self.library.get_piece_size()
         if self.library.normalize(" ﬁ  É ") != f"{MARK}{MARK}ﬁ{MARK}{MARK}É{MARK}":
@@ -65,22 +69,24 @@ class PieceCodec:
         self.decimal = [str(i) for i in range(size)]
         self.lead = {i for i in plain if names[i].startswith(MARK)}
         self.silent = {i for i in range(size) if self.library.is_control(i)}
-        held = {c for piece in self.rank_of for c in piece}
-        alone = regex.escape("".join(chr(c) for c in range(128) if chr(c) not in held), literal_spaces=True)
-        over_marks = any(a != MARK and b == MARK for piece in self.rank_of for a, b in zip(piece, piece[1:]))
-        within = f"[^{alone}]+" if over_marks else f"{MARK}*[^{MARK}{alone}]+|{MARK}+"
-        self.stretches = regex.compile(f"{within}|[{alone}]+" if alone else within)
-        self.cache = BoundedCache(lambda stretch: self.ids(self.merged(list(stretch))), limit)
+        #: Neighbours that some piece holds: no piece reaches over any others.
+        self.pairs = {piece[i : i + 2] for piece in self.rank_of for i in range(len(piece) - 1)}
+        self.over_marks = any(pair[0] != MARK and pair[1] == MARK for pair in self.pairs)
+        self.words = BoundedCache(self._word, limit)
+        self.fresh, self.wrong = [], set()
+        self.parts = BoundedCache(lambda part: self.ids(self.merged(list(part))), limit)
 
     def merged(self, symbols: list[str]) -> list[str]:
         """Works off the agenda: the best-scored adjacent pair first, the leftmost of equals."""
-        n, rank_of = len(symbols), self.rank_of.get
-        ranks = [rank_of(a + b, -1) for a, b in zip(symbols, symbols[1:])]
-        agenda = [rank << 32 | i for i, rank in enumerate(ranks) if rank >= 0]
+        if len(symbols) <= SHORT:
+            return self._merged_short(symbols)
+        rank_of, n = self.rank_of.get, len(symbols)
+        ranks = list(map(rank_of, map(add, symbols, symbols[1:])))
+        agenda = [rank << 32 | i for i, rank in enumerate(ranks) if rank is not None]
         if not agenda:
             return symbols
-        heapq.heapify(agenda)
-        ranks.append(-1)  # ranks[i] is that of the pair that begins at i, as it now stands
+        heapify(agenda)
+        ranks.append(None)  # ranks[i] is that of the pair that begins at i, as it now stands
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         while agenda:
             entry = heappop(agenda)
@@ -88,22 +94,79 @@ class PieceCodec:
             if ranks[i] != entry >> 32:
                 continue
             j = after[i]
-            symbols[i] += symbols[j]
-            symbols[j], ranks[j] = "", -1
+            symbol = symbols[i] = symbols[i] + symbols[j]
+            symbols[j] = ranks[j] = None
             k = after[i] = after[j]
-            changed = [before[i], i] if k < n else [before[i]]
             if k < n:
                 before[k] = i
+                rank = ranks[i] = rank_of(symbol + symbols[k])
+                if rank is not None:
+                    heappush(agenda, rank << 32 | i)
             else:
-                ranks[i] = -1
-            for left in changed:
-                if left >= 0:
-                    rank = ranks[left] = rank_of(symbols[left] + symbols[after[left]], -1)
-                    if rank >= 0:
-                        heappush(agenda, rank << 32 | left)
+                ranks[i] = None
+            h = before[i]
+            if h >= 0:
+                rank = ranks[h] = rank_of(symbols[h] + symbol)
+                if rank is not None:
+                    heappush(agenda, rank << 32 | h)
         return [s for s in symbols if s]
 
+    def _merged_short(self, symbols: list[str]) -> list[str]:
+        """The same with an agenda that is short enough to be looked through: the ranks of all pairs in a row."""
+        rank_of = self.rank_of.get
+        agenda = [rank_of(a + b, NONE) for a, b in zip(symbols, symbols[1:])]
+        while agenda:
+            best = min(agenda)
+            if best == NONE:
+                break
+            i = agenda.index(best)
+            symbol = symbols[i] = symbols[i] + symbols[i + 1]
+            del symbols[i + 1], agenda[i]
+            if i:
+                agenda[i - 1] = rank_of(symbols[i - 1] + symbol, NONE)
+            if i < len(agenda):
+                agenda[i] = rank_of(symbol + symbols[i + 1], NONE)
+        return symbols
+
+    def _stretch(self, stretch: str) -> tuple[int, ...]:
+        """Ids of characters in a row, cut where no piece reaches over."""
+        pairs, begin, out = self.pairs, 0, []
+        for end in range(1, len(stretch)):
+            if stretch[end - 1 : end + 1] not in pairs:
+                out.extend(self.parts[stretch[begin:end]])
+                begin = end
+        out.extend(self.parts[stretch[begin:]])
+        return tuple(out)
+
+    def _word(self, word: str) -> tuple[int, ...]:
+        core, last = word[:-1], word[-1:]
+        if word.isalpha():
+            ids = self.ids(self.merged([MARK, *word]))
+        elif core.isalpha() and core[-1] + last not in self.pairs:  # a word and the sign behind it
+            ids = self.words[core] + self.parts[last]
+        else:
+            ids = self._stretch(MARK + word)
+        self.fresh.append((word, ids))
+        if len(self.fresh) >= FRESH:
+            self.check()
+        return ids
+
+    def check(self) -> None:
+        """Compares the words merged since the last check with the library's ids."""
+        found = self.library.encode([word for word, _ in self.fresh], add_bos=False, add_eos=False, num_threads=1)
+        self.wrong.update(word for (word, ids), other in zip(self.fresh, found) if list(ids) != (other if word else [self.id_of[MARK]]))
+        self.fresh = []
+
+    def agrees(self, text: str, ids: list[int]) -> bool:
+        """Whether the library gives a text these ids: by its words, which `check` has seen, or whole where it isn't cut into words."""
+        if self._by_words(text):
+            return not self.wrong or self.wrong.isdisjoint(text.split(" "))
+        return ids == self.library.encode(text, add_bos=False, add_eos=False)
+
     def ids(self, symbols: Iterable[str]) -> tuple[int, ...]:
+        out = list(map(self.id_of.get, symbols))
+        if None not in out:
+            return tuple(out)
         out = []
         for symbol in symbols:
             i = self.id_of.get(symbol)
@@ -113,12 +176,16 @@ class PieceCodec:
                 out.append(i)
         return tuple(out)
 
+    def _by_words(self, text: str) -> bool:
+        """Whether every mark begins a word of its own, so that no piece reaches from one to the next."""
+        return not (self.over_marks or "  " in text or MARK in text or text.startswith(" "))
+
     def encode(self, text: str) -> list[int]:
-        out: list[int] = []
-        if text:
-            for stretch in self.stretches.findall(MARK + text.replace(" ", MARK)):
-                out.extend(self.cache[stretch])
-        return out
+        if not text:
+            return []
+        if not self._by_words(text):
+            return list(self._stretch(MARK + text.replace(" ", MARK)))
+        return list(chain.from_iterable(map(self.words.__getitem__, text.split(" "))))
 
     def decode(self, ids: Sequence[int]) -> str:
         """The text of any ids: a first mark goes, bytes that are no UTF-8 become U+FFFD one by one, control pieces break runs of bytes."""
@@ -170,13 +237,17 @@ def encode_documents(docs: DataFrame, vocabulary: str, digests: bool = False, te
             found = codec.encode(text or "")
             back = codec.decode(found)
             counts.append(len(found))
-            agrees.append(found == codec.library.encode(text or "", add_bos=False, add_eos=False) and back == codec.library.decode(found))
+            same = back == (text or "").replace(MARK, " ")
+            agrees.append(same if codec._by_words(text or "") else same and codec.agrees(text, found))
             if digests:
                 encoded.append(hashlib.sha256(",".join(map(codec.decimal.__getitem__, found)).encode()).hexdigest())
                 decoded.append(hashlib.sha256(back.encode()).hexdigest())
             else:
                 encoded.append(found)
                 decoded.append(back)
+        codec.check()
+        if codec.wrong:
+            agrees = [ok and codec.agrees(text or "", ()) if codec._by_words(text or "") else ok for ok, text in zip(agrees, texts)]
         return [ids, counts, encoded, decoded, agrees]
 
     kind = docs.schema[id_col].dataType

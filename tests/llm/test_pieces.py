@@ -38,7 +38,7 @@ def test_agenda_takes_the_best_pair_and_then_the_leftmost():
     ours = codec()
     rng = random.Random(7)
     for _ in range(500):
-        symbols = [rng.choice("▁abtheinrs") for _ in range(rng.randrange(30))]
+        symbols = [rng.choice("▁abtheinrs") for _ in range(rng.randrange(70))]
         plain = list(symbols)
         while True:
             pairs = [(ours.rank_of[a + b], i) for i, (a, b) in enumerate(zip(plain, plain[1:])) if a + b in ours.rank_of]
@@ -49,6 +49,21 @@ def test_agenda_takes_the_best_pair_and_then_the_leftmost():
         assert ours.merged(symbols) == plain
 
 
+def test_words_and_texts_that_differ_from_the_library_are_told(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "one two"), (2, "two"), (3, "  one"), (4, "")], "doc_id long, text string")
+    ours = codec()
+    assert ours.encode("one two  ") and ours.encode("one two ") and not ours.check() and not ours.wrong
+    ours.id_of["▁two"] = 7
+    ours.words.clear()
+    ours.words.old = {}
+    for text in ("one two", "two", "one"):
+        ours.encode(text)
+    ours.check()
+    assert ours.wrong == {"two"} and not ours.agrees("one two", []) and ours.agrees("one", [])
+    assert not ours.agrees("  one", [7]) and ours.agrees("  one", LIBRARY.encode("  one"))
+    assert all(r.agrees for r in pieces.encode_documents(docs, MODEL).collect())
+
+
 def test_whole_tables(documents, awkward, empty):
     for docs in (documents, awkward):
         want = []
