@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lodestar.functions import patterns as P
-from lodestar.operators import chunking, embedding, evidence, fusion, health, lifecycle, questions, residual, search, text_quality
+from lodestar.operators import chunking, embedding, evidence, fusion, health, intents, lifecycle, questions, residual, search, text_quality
 from lodestar.plans.analysis_queries import ANSWERS, JOINED, _answers, _joined
 from lodestar.plans.corpus_queries import q
 from lodestar.plans.health_queries import SCORED, _scored
@@ -281,20 +281,11 @@ SELECT x.query_id, string_agg(canonical, '|' ORDER BY place, canonical) AS menti
 """
 
 
-def interaction_pairs(spark, sf_dir):
-    n, r = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
-    asked = n.join(r, F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_nationkey").alias("query_id"), F.concat(F.lit("What flows between the "), "n_name", F.lit(" and "), "r_name", F.lit("?")).alias("question"), F.array().cast("array<string>").alias("mentions"))
-    return questions.interaction_pair(asked).select("query_id", F.lower("system_a").alias("a"), F.lower("system_b").alias("b"))
-
-
-PAIRS = "SELECT n_nationkey AS query_id, lower(n_name) AS a, lower(r_name) AS b FROM nation JOIN region ON n_regionkey = r_regionkey"
-
-
 def search_texts(spark, sf_dir):
     asked = question_table(spark, sf_dir).where("question IS NOT NULL")
     words = F.filter(F.split(F.lower("question"), "[^a-z0-9]+"), lambda w: F.length(w) > 3)
     registry = asked.select(F.get(words, 0).alias("canonical"), F.get(words, 1).alias("alias")).where("canonical IS NOT NULL AND alias IS NOT NULL").distinct()
-    q_ = questions.classify_intent(asked).withColumns({"mode": questions.retrieval_mode(F.col("intent")), "mentions": F.slice(words, 1, 1), "system_a": F.lit(None).cast("string"), "system_b": F.lit(None).cast("string"), "hint_terms": F.array().cast("array<string>")})
+    q_ = intents.classify(asked).withColumns({"mode": questions.retrieval_mode(F.col("intent")), "mentions": F.slice(words, 1, 1), "system_a": F.lit(None).cast("string"), "system_b": F.lit(None).cast("string"), "hint_terms": F.array().cast("array<string>")})
     return questions.search_text(questions.expand_registry(q_, registry)).select("query_id", "mode", F.md5("search_text").alias("search_text"))
 
 
@@ -531,7 +522,6 @@ QUERIES = {
     "escalations": (escalations, ESCALATIONS),
     "structural_lookups": (structural_lookups, LOOKUPS),
     "entity_mentions": (entity_mentions, MENTIONS),
-    "interaction_pairs": (interaction_pairs, PAIRS),
     "search_texts": (search_texts, None),
     "latest_contexts": (latest_contexts, CONTEXTS),
     "inherited_modes": (inherited_modes, INHERITED),

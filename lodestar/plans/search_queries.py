@@ -185,11 +185,6 @@ def prepared_queries(spark, sf_dir):
     return out.select("query_id", "is_structural", F.array_join("section_refs", "|").alias("section_refs"), "expanded")
 
 
-def intents(spark, sf_dir):
-    out = questions.classify_intent(question_table(spark, sf_dir)).withColumn("mode", questions.retrieval_mode(F.col("intent")))
-    return fusion.retrieval_plan(out.select("query_id", "intent", "mode")).select("query_id", "intent", "mode", "candidates", "final")
-
-
 def followups(spark, sf_dir):
     return questions.followup_question(conversations(spark, sf_dir)).select("conv_id", "turn", "vague_followup", "deep_followup", "retrieval_question")
 
@@ -264,7 +259,6 @@ QUERIES = {
     "mixed_evidence": (mixed_evidence, MIXED),
     "query_flags": (query_flags, FLAGS),
     "prepared_queries": (prepared_queries, None),
-    "query_intents": (intents, None),
     "followup_questions": (followups, FOLLOWUPS),
     "latest_assistant": (latest_assistant, "SELECT conv_id, turn, md5(last_value(CASE WHEN role = 'assistant' THEN text END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) AS latest FROM conversations"),
     "source_groups": (source_groups, SOURCES),

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from lodestar.functions import patterns as P
 from lodestar.functions import text as T
-from lodestar.operators import chunking, evidence, fusion, health, lifecycle, normalise, questions, residual, search, structure, text_quality
+from lodestar.operators import chunking, evidence, fusion, health, intents, lifecycle, normalise, questions, residual, search, structure, text_quality
 from lodestar.sources import corpus
 
 SECTION = "doc_id long, pos long, content string, type string, title string, level int"
@@ -142,7 +142,7 @@ def test_intents(spark):
         "master register in section 4.1": "canonical_lookup",
     }
     df = spark.createDataFrame(list(enumerate(asked)), "query_id long, question string")
-    got = {r.question: r.intent for r in questions.classify_intent(df).collect()}
+    got = {r.question: r.intent for r in intents.classify(df).collect()}
     assert got == asked
 
 
@@ -151,8 +151,6 @@ def test_entities_come_in_order_and_hide_each_other(spark):
     q = spark.createDataFrame([(1, "report from the lake to big box"), (2, "report only"), (3, "nothing")], "query_id long, question string")
     got = {r.query_id: r.mentions for r in questions.entity_mentions(q, registry, hides=(("Big Box", "Box"),)).collect()}
     assert got == {1: ["Lake", "Big Box"], 2: ["Reports"], 3: None}
-    pair = questions.interaction_pair(spark.createDataFrame([(1, "What flows between the night sorter and main ledger?", None)], "query_id long, question string, mentions array<string>")).first()
-    assert (pair.system_a, pair.system_b) == ("Night Sorter", "Main Ledger")
 
 
 def test_context_markers(spark):
