@@ -9,9 +9,8 @@ language alone, or the one with the greatest share of a set that beats it.
 
 Documents are estimated together, some hundred thousand n-grams at a time: an
 n-gram table in the order of the documents, one vector a language, sums by
-document with `reduceat`, and documents that have settled leave the table. With
-more than `WIDE` languages, a document's mixture ends among those that its first
-rounds don't nearly rule out.
+document with `reduceat`, and documents that have settled leave the table. All
+languages take part in every round, however many there are.
 
 Defined results: null texts and texts without a letter are `und` with score 0
 and no languages, and so is everything when nothing was learned (an empty table
@@ -38,7 +37,6 @@ BUCKETS = 1 << 16
 STRETCH = 1 << 20
 #: Characters of documents whose n-grams are counted together, and n-grams times languages of one table.
 TOGETHER, TABLE = 1 << 17, 1 << 21
-WIDE = 8
 UNKNOWN = "und"
 
 _letters: np.ndarray | None = None
@@ -171,7 +169,6 @@ class Model:
         self.langs, self.p, self.penalty, self.least_share, self.thin = langs, np.asarray(p, np.float32), penalty, least_share, thin
         self.log_p = np.log(self.p)
         self.rows = np.ascontiguousarray(self.p.T)
-        self.fair = self.p / self.p.sum(axis=1, keepdims=True) if langs else self.p
 
     @classmethod
     def fit(cls, counts: dict[str, tuple[np.ndarray, np.ndarray]], **options: float) -> Model:
@@ -212,10 +209,7 @@ class Model:
         total = np.add.reduceat(counts, starts)
         single = np.add.reduceat(self.log_p[buckets] * n[:, None], starts, axis=0, dtype=np.float64)
         best = single.argmax(axis=1)
-        if width <= WIDE:
-            shares, most = self.subset(np.tile(np.arange(width), (docs, 1)), np.arange(docs), starts, sizes, buckets, n)
-        else:
-            shares, most = self.screened(starts, sizes, buckets, n, total)
+        shares, most = self.subset(np.tile(np.arange(width), (docs, 1)), np.arange(docs), starts, sizes, buckets, n)
         # n-grams overlap, so the likelihood is thinned before it is held against the penalty for one more share.
         price = self.penalty * np.log(total + 1)
         score = self.thin * single.max(axis=1)
@@ -235,26 +229,6 @@ class Model:
                     sets[doc] = [int(c) for c in chosen[k][by]], own[k][by].tolist()
         return [(self.langs[s[0]], float(min(1.0, max(0.0, shares[doc, s[0]]))), [self.langs[k] for k in s], each) for doc, (s, each) in enumerate(sets)]
 
-    def screened(self, starts: np.ndarray, sizes: np.ndarray, buckets: np.ndarray, n: np.ndarray, total: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Shares over all languages and log-likelihoods, where only a document's own languages take part.
-
-        The first round over all languages and five more over those it leaves show
-        them: shares of half an equal one, then of a fifth of `least_share`.
-        """
-        width, docs = len(self.langs), len(starts)
-        first = np.add.reduceat(self.fair[buckets] * n[:, None], starts, axis=0) / total[:, None]
-        held = np.maximum((first >= 0.5 / width).sum(axis=1), WIDE)
-        for rounds, least in ((5, self.least_share / 5), (40, 0.0)):
-            order = np.argsort(-first, axis=1, kind="stable")
-            classes = np.minimum(1 << np.ceil(np.log2(held)).astype(int), width)
-            shares, most = np.zeros((docs, width)), np.zeros(docs)
-            for size in np.unique(classes):
-                these = np.flatnonzero(classes == size)
-                chosen = np.sort(order[these, :size], axis=1)
-                shares[these[:, None], chosen], most[these] = self.subset(chosen, these, starts, sizes, buckets, n, rounds)
-            first, held = shares, np.maximum((shares >= least).sum(axis=1), 1)
-        return shares, most
-
     def subset(
         self, chosen: np.ndarray, these: np.ndarray, starts: np.ndarray, sizes: np.ndarray, buckets: np.ndarray, n: np.ndarray, rounds: int = 40
     ) -> tuple[np.ndarray, np.ndarray]:

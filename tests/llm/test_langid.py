@@ -85,7 +85,7 @@ def test_batches_equal_single_documents(fitted, monkeypatch):
 
 
 def test_many_languages_keep_the_right_ones(fitted):
-    """Twenty languages made by permuting letters: the screened mixtures agree with whole ones."""
+    """Twenty languages made by permuting letters: sets equal those of the plain expectation-maximisation over all of them."""
     _, rows = fitted
     letters = "abcdefghijklmnopqrstuvwxyz"
     tables = [str.maketrans(letters, "".join(random.Random(k).sample(letters, 26))) for k in range(5)]
@@ -98,11 +98,12 @@ def test_many_languages_keep_the_right_ones(fitted):
         total = np.bincount(langid.hashed(own)[1], minlength=langid.BUCKETS)
         counts[name] = np.flatnonzero(total), total[total > 0]
     model = langid.Model.fit(counts)
-    assert len(model.langs) == 20 > langid.WIDE
+    assert len(model.langs) == 20
     tried = [(name, own[0][:600]) for name, own in texts.items()]
     tried += [(a, texts[a][0][:900] + "\n" + texts[b][0][:500]) for a, b in zip(sorted(texts), sorted(texts)[3:])]
-    same = sum(set(got[2]) == set(plain_predict(model, t)[2]) for (_, t), got in zip(tried, model.predict_all([t for _, t in tried])))
-    assert same >= 0.95 * len(tried)
+    for (_, text), got in zip(tried, model.predict_all([t for _, t in tried])):
+        lang, share, chosen = plain_predict(model, text)
+        assert (got[0], got[2]) == (lang, chosen) and abs(got[1] - share) < 2e-3
 
 
 def test_awkward_rows(awkward, empty):
