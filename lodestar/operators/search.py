@@ -228,13 +228,58 @@ def list_anchors(chunks: DataFrame, k: int) -> DataFrame:
     return scored.select("chunk_id", "score").orderBy(F.desc("score"), "chunk_id").limit(k)
 
 
-def authoritative_anchors(hits: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
-    """Among text hits, those of structured sources or authoritative titles and sections: 1.0, 0.96, 0.93, 0.9, 0.82."""
-    structured = F.col("source_type").isin("xlsx", "csv")
-    title = F.coalesce("doc_title", F.lit("")).rlike(P.AUTHORITATIVE_TITLE)
-    section = F.coalesce("section_title", F.lit("")).rlike(P.AUTHORITATIVE_SECTION)
-    score = F.when(structured & title, 1.0).when(structured, 0.96).when(title & section, 0.93).when(title, 0.9).when(section, 0.82)
-    return top_k(hits.select("query_id", "chunk_id").join(chunks, "chunk_id").withColumn("score", score).where("score IS NOT NULL").select("query_id", "chunk_id", "score"), k)
+#: Words in titles and section titles of authoritative sources; fixed values.
+AUTHORITY_TITLES = ("list", "code", "appendix", "matrix", "mapping", "register", "reference", "catalog", "catalogue", "lookup")
+AUTHORITY_SECTIONS = ("code", "test type", "appendix", "criteria", "rule", "release", "interpretation", "form", "mapping", "register", "reference")
+STRUCTURED = ("xlsx", "csv")
+
+
+def all_terms_pairs(asked: DataFrame, held: DataFrame) -> DataFrame:
+    """(query_id, chunk_id) of chunks that hold every term: asked(query_id, terms), held(chunk_id, terms), both distinct.
+
+    A question meets the chunks of its rarest term alone, and the whole sets decide.
+    """
+    wanted = asked.select("query_id", F.explode("terms").alias("term"))
+    df = held.select(F.explode("terms").alias("term")).join(wanted.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n"))
+    rarest = wanted.join(df, "term", "left").groupBy("query_id").agg(F.min_by("term", F.struct(F.coalesce("n", F.lit(0)), "term")).alias("term"))
+    by_term = held.select("chunk_id", "terms", F.explode("terms").alias("term"))
+    met = by_term.join(rarest, "term").join(asked.withColumnRenamed("terms", "asked"), "query_id")
+    return met.where(F.size(F.array_intersect("asked", "terms")) == F.size("asked")).select("query_id", "chunk_id")
+
+
+def containing_pairs(queries: DataFrame, chunks: DataFrame, cols: tuple[str, ...]) -> DataFrame:
+    """(query_id, chunk_id) of chunks with the whole question in one of `cols`, case aside; % and _ stand for themselves."""
+    from lodestar.operators.residual import contained
+
+    asked = queries.select("query_id", F.lower("question").alias("needle")).where("needle <> ''")
+    texts = reduce(DataFrame.unionByName, (chunks.select("chunk_id", F.lower(c).alias("text")).where("text <> ''") for c in cols))
+    inside = contained(asked.select("needle").distinct(), texts.select("text").distinct())
+    return inside.join(asked, "needle").join(texts, "text").select("query_id", "chunk_id").distinct()
+
+
+def authoritative_anchors(queries: DataFrame, chunks: DataFrame, k: int = 24) -> DataFrame:
+    """query_id, chunk_id, score and rank of authoritative chunks: structured sources (1.0), titles (0.96), section titles (0.93), text matches (0.9), the rest (0.82).
+
+    queries(query_id, question, refs); chunks(chunk_id, source_type, doc_title, section_title, citation_label, content) are searchable ones. Chunks whose section
+    title holds one of `refs` are authoritative too. Chunks that aren't structured must hold all terms of the question, or the whole of it in
+    content or label. Structured ones stand for every question, so only the `k` first of them meet the questions.
+    """
+    lowered = lambda c: F.lower(F.coalesce(c, F.lit("")))
+    structured = lowered("source_type").isin(*STRUCTURED)
+    patterns = lambda words: F.array(*map(F.lit, words))
+    title, section = ilike_any(lowered("doc_title"), patterns(AUTHORITY_TITLES)), ilike_any(lowered("section_title"), patterns(AUTHORITY_SECTIONS))
+    first = chunks.where(structured).orderBy("chunk_id").limit(k).select("chunk_id", F.lit(1.0).alias("score"))
+    always = queries.select("query_id").crossJoin(F.broadcast(first))  # k rows
+    others = chunks.where(~structured).select("chunk_id", "section_title", "citation_label", "content", F.when(title, 0.96).when(section, 0.93).alias("_s"))
+    asked = queries.select("query_id", F.array_distinct(terms(F.col("question"))).alias("terms")).where(F.size("terms") > 0)
+    text = F.concat_ws(" ", F.coalesce("citation_label", F.lit("")), F.coalesce("section_title", F.lit("")), F.coalesce("content", F.lit("")))
+    matched = all_terms_pairs(asked, others.select("chunk_id", F.array_distinct(terms(text)).alias("terms"))).withColumn("_m", F.lit(True))
+    held = containing_pairs(queries, others, ("content", "citation_label")).withColumn("_m", F.lit(False))
+    pairs = matched.unionByName(held).groupBy("query_id", "chunk_id").agg(F.bool_or("_m").alias("_m"))
+    rows = pairs.join(others.select("chunk_id", "section_title", "_s"), "chunk_id").join(queries.select("query_id", "refs"), "query_id")
+    admitted = F.col("_s").isNotNull() | ilike_any(lowered("section_title"), F.coalesce("refs", F.array().cast("array<string>")))
+    scored = rows.where(admitted).select("query_id", "chunk_id", F.coalesce("_s", F.when(F.col("_m"), 0.9), F.lit(0.82)).alias("score"))
+    return top_k(always.unionByName(scored), k)
 
 
 TEXT_COLUMNS = ("content", "citation_label", "section_title")

@@ -97,6 +97,30 @@ SELECT chunk_id, score FROM (SELECT chunk_id, CASE WHEN regexp_matches(t, '(?i)t
 """
 
 
+def _headings(spark, sf_dir):
+    """Recurring headings as questions; the start of each is its section reference."""
+    heads = chunks(spark, sf_dir).where("section_type = 'heading'").groupBy(F.col("content").alias("question")).agg(F.count("*").alias("n"), F.min("chunk_id").alias("query_id")).where("n > 1")
+    return heads.select("query_id", "question", F.array(F.substring("question", 1, 4)).alias("refs"))
+
+
+def authoritative_hits(spark, sf_dir):
+    titled = F.when(F.col("document_id") % 3 == 0, F.concat(F.lit("Register "), "doc_title")).otherwise(F.col("doc_title"))
+    kept = chunks(spark, sf_dir).where("NOT retrieval_excluded").withColumn("doc_title", titled).withColumn("source_type", F.when(F.col("chunk_id") % 997 == 0, "CSV").otherwise("pdf"))
+    return search.authoritative_anchors(_headings(spark, sf_dir), kept).select("query_id", "chunk_id", "rank", "score")
+
+
+_LISTED = lambda c, words: "(" + " OR ".join(f"contains({c}, {q(w)})" for w in words) + ")"
+AUTHORITY = rf"""
+WITH qs AS (SELECT min(chunk_id) AS query_id, content AS question, list_distinct({TERMS.format('content')}) AS ts FROM ({CHUNKS}) WHERE section_type = 'heading' GROUP BY content HAVING count(*) > 1),
+c AS (SELECT chunk_id, CASE WHEN chunk_id % 997 = 0 THEN 'csv' ELSE 'pdf' END AS kind, lower(CASE WHEN document_id % 3 = 0 THEN 'Register ' || doc_title ELSE doc_title END) AS title, lower(coalesce(section_title, '')) AS section, lower(citation_label) AS label, lower(content) AS content,
+  {TERMS.format("concat_ws(' ', citation_label, coalesce(section_title, ''), content)")} AS ts FROM ({CHUNKS}) WHERE NOT retrieval_excluded),
+j AS (SELECT query_id, chunk_id, kind, title, section, len(qs.ts) > 0 AND list_has_all(c.ts, qs.ts) AS matched, contains(c.content, lower(question)) OR contains(label, lower(question)) AS inside, contains(section, lower(question[1:4])) AS cited FROM qs, c),
+s AS (SELECT query_id, chunk_id, CASE WHEN kind = 'csv' THEN 1.0 WHEN {_LISTED('title', search.AUTHORITY_TITLES)} THEN 0.96 WHEN {_LISTED('section', search.AUTHORITY_SECTIONS)} THEN 0.93 WHEN matched THEN 0.9 ELSE 0.82 END::DOUBLE AS score
+  FROM j WHERE (kind = 'csv' OR {_LISTED('title', search.AUTHORITY_TITLES)} OR {_LISTED('section', search.AUTHORITY_SECTIONS)} OR cited) AND (matched OR inside OR kind = 'csv'))
+SELECT * FROM (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id)::INT AS rank, score FROM s) WHERE rank <= 24
+"""
+
+
 def deduped_hits(spark, sf_dir):
     h = hits(spark, sf_dir)
     return fusion.dedupe_max(h.select("query_id", "chunk_id", "score", "document_id"))
@@ -250,6 +274,7 @@ QUERIES = {
     "trigram_prefixes": (trigram_prefixes, TRIGRAM),
     "hybrid_topk": (hybrid_topk, None),
     "list_anchors": (list_anchor_hits, LIST_ANCHORS),
+    "authoritative_hits": (authoritative_hits, AUTHORITY),
     "deduped_hits": (deduped_hits, DEDUPED),
     "normalised_hits": (normalised_hits, f"SELECT query_id, chunk_id, round(CASE WHEN max(score) OVER w = min(score) OVER w THEN 1 ELSE (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) END, 6) AS norm FROM ({DEDUPED}) WINDOW w AS (PARTITION BY query_id)"),
     "fused_hits": (fused_hits, FUSED),

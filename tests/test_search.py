@@ -158,3 +158,17 @@ def test_prefixes_leave_out_most_pairs(spark):
     rank = {g: i for i, g in enumerate(sorted(seen, key=lambda g: (seen[g], g)))}
     sets = [search.ordered_grams(df, key, col, rank) for df, key, col in ((asked, "query_id", "question"), (texts, "chunk_id", "content"))]
     assert search.prefix_candidates(*sets, 0.9).count() < 0.05 * 40 * 300
+
+
+def test_authoritative_anchors_by_rule(spark):
+    kind = "chunk_id long, source_type string, doc_title string, section_title string, citation_label string, content string"
+    rows = [
+        (1, "XLSX", "Notes", None, "l", "unrelated"), (2, "pdf", "Code list", None, "l", "night valve and check"), (3, "pdf", "Code list", None, "l", "night only"), (4, "pdf", "Notes", "Test types", "l", "check of valve at night"),
+        (5, "pdf", "Notes", "13.2 x", "l", "valve check"), (6, "pdf", "Notes", "see 4.1 here", "valve", "night check"), (7, "pdf", "Notes", "4.1", None, "xnight valve checky"), (8, "csv", None, None, None, None), (9, "pdf", "Lookup", "4.1", None, "100% of_it"),
+    ]
+    asked = spark.createDataFrame([(1, "Night valve check", ["4.1"]), (2, "100% of_it", None), (3, "", []), (4, None, None)], "query_id long, question string, refs array<string>")
+    got: dict = {}
+    for r in search.authoritative_anchors(asked, spark.createDataFrame(rows, kind)).collect():
+        got.setdefault(r.query_id, {})[r.chunk_id] = r.score
+    assert got == {1: {1: 1.0, 8: 1.0, 2: 0.96, 4: 0.93, 6: 0.9, 7: 0.82}, 2: {1: 1.0, 8: 1.0, 9: 0.96}, 3: {1: 1.0, 8: 1.0}, 4: {1: 1.0, 8: 1.0}}
+    assert [(r.query_id, r.chunk_id) for r in search.authoritative_anchors(asked, spark.createDataFrame(rows, kind), 1).orderBy("query_id").collect()] == [(1, 1), (2, 1), (3, 1), (4, 1)]
