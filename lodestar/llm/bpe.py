@@ -7,7 +7,8 @@ never builds identifiers.
 
 Defined results: null and empty texts have 0 bytes and 0 tokens; rows are
 mapped one by one, so repeated rows, ties and clashing extra columns need no
-rule; an empty table gives an empty result. A special token's literal string
+rule; very long texts are counted whole, stretch by stretch; an empty table gives an
+empty result. A special token's literal string
 inside a text counts as one token, as the tokenizers library does by default.
 """
 

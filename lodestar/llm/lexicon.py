@@ -10,8 +10,9 @@ lexicon are merged exactly by heap and linked list.
 Defined results: null and empty texts encode to no identifiers and decode to
 the empty text. A special token's literal string becomes its identifier, as
 the tokenizers library does by default. Rows are mapped one by one, so repeated
-rows and ties need no rule; an empty table gives an empty result and an empty
-lexicon.
+rows and ties need no rule; very long texts are encoded whole, stretch by
+stretch; extra columns of any name are ignored; an empty table gives an empty result and an
+empty lexicon.
 """
 
 from __future__ import annotations

@@ -13,8 +13,8 @@ Defined results: a document with fewer lines than a window has none and stays
 as it is; a null text stays null, an empty one empty. A document whose lines
 are all covered keeps its row with an empty text. Rows that share a document id
 are ordered by the hash of their text; rows equal in both are one document and
-treated alike. Null ids sort first. Extra columns stay, except that n_lines and
-n_removed are replaced.
+treated alike. Null ids sort first. Very long texts count with all their lines; an empty table
+gives an empty result. Extra columns stay, except that n_lines and n_removed are replaced.
 """
 
 from __future__ import annotations

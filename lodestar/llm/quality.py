@@ -13,8 +13,8 @@ costs one row a task.
 
 Defined results: a null or empty text has no words and fails the base rules.
 Documents without a source belong to no host and are judged alone. Repeated
-rows count as often as they occur. Extra columns stay; a column named like a
-result is replaced. Ties can't matter: nothing is ranked.
+rows count as often as they occur. Very long texts are counted whole; an empty table gives an empty
+result. Extra columns stay; a column named like a result is replaced. Ties can't matter: nothing is ranked.
 """
 
 from __future__ import annotations

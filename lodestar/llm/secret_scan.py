@@ -9,7 +9,9 @@ identifiers such as UUIDs, or words; base spans always stay.
 
 Defined results: null and empty texts have no spans. Positions are code points,
 ends exclusive. Rows are mapped one by one, so repeated rows and ties need no
-rule; extra columns are ignored by the scan and kept by ``redact_documents``.
+rule; very long texts are read whole by the patterns and a window of fixed size, an
+empty table gives an empty result; extra columns of any name are ignored by the scan and kept by
+``redact_documents``.
 """
 
 from __future__ import annotations

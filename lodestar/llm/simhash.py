@@ -17,6 +17,7 @@ large-star and small-star rounds.
 Defined results: null and empty texts have no words and the fingerprint zero,
 which links like any other. Repeated rows share a fingerprint and a component.
 A component's id is its smallest non-null document id (null if all are null).
+Very long texts are shingled whole; an empty table gives an empty result.
 Extra columns are ignored by the search and kept by ``keep_first``.
 """
 
