@@ -173,12 +173,32 @@ def validate_citations(answers: DataFrame, hits: DataFrame) -> DataFrame:
     return out.withColumn("valid", F.array_sort(F.array_intersect("_cited", "_given"))).withColumn("unknown", F.array_sort(F.array_except("_cited", "_given"))).drop("_cited", "_given")
 
 
-def normalise_answers(answers: DataFrame) -> DataFrame:
-    """Inline citations become one References list; spaces before marks go."""
-    bare = F.trim(F.regexp_replace(F.regexp_replace("answer", P.CITATION, ""), r"[ \t]+([.,;:])", "$1"))
-    refs = cited_labels(F.col("answer"))
-    tail = F.when(F.size(refs) > 0, F.concat(F.lit("\n\nReferences:\n"), F.array_join(F.transform(refs, lambda r: F.concat(F.lit("- "), r)), "\n"))).otherwise("")
-    return answers.withColumn("answer", F.concat(bare, tail))
+def fallback_labels(hits: DataFrame) -> DataFrame:
+    """query_id, labels: the distinct labels of a question's best hits, two where they come from several documents, else one."""
+    first = hits.groupBy("query_id", "citation_label").agg(F.min(F.struct((-F.col("score")).alias("less"), "chunk_id")).alias("at"))
+    several = hits.groupBy("query_id").agg(F.count_distinct(F.struct(F.coalesce("doc_title", F.lit("")), F.coalesce("folder", F.lit("")))).alias("n"))
+    w = Window.partitionBy("query_id").orderBy("at")
+    best = first.where("citation_label IS NOT NULL").withColumn("r", F.row_number().over(w)).where("r <= 2").join(several, "query_id").where((F.col("r") == 1) | (F.col("n") > 1))
+    return best.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "citation_label"))), lambda x: x["citation_label"]).alias("labels"))
+
+
+def normalise_answers(answers: DataFrame, labels: DataFrame | None = None, no_evidence: str | None = None) -> DataFrame:
+    """Inline citations become one list of references, each once; spaces before marks and runs of blank lines go.
+
+    An answer without citations takes those of labels(query_id, labels), unless it is empty or says `no_evidence`.
+    """
+    none = F.array().cast("array<string>")
+    answer = F.coalesce("answer", F.lit(""))
+    bare = F.regexp_replace(F.regexp_replace(F.regexp_replace(answer, r"\s*\[Source:\s*[^\]]+\]", ""), r"\s+([.,;:!?])", "$1"), r"\n{3,}", "\n\n")
+    bare = F.regexp_replace(bare, r"^\s+|\s+\z", "")
+    tidy = lambda c: F.array_distinct(F.filter(F.transform(c, T.strip), lambda x: x != ""))
+    cited = F.filter(F.transform(F.regexp_extract_all(answer, F.lit(r"\[Source:\s*([^\]]+)\]"), F.lit(1)), T.strip), lambda x: x != "")
+    out = answers if labels is None else answers.join(labels.select("query_id", F.col("labels").alias("_labels")), "query_id", "left")
+    given = none if labels is None else F.coalesce("_labels", none)
+    answered = (bare != "") & (~bare.contains(no_evidence) if no_evidence else F.lit(True))
+    refs = tidy(F.when(F.size(cited) > 0, cited).when(answered, given).otherwise(none))
+    tail = F.when(F.size(refs) > 0, F.concat(F.lit("\n\nReferences:\n"), F.array_join(F.transform(refs, lambda r: F.concat(F.lit("- [Source: "), r, F.lit("]"))), "\n"))).otherwise("")
+    return out.withColumns({"answer": F.concat(bare, tail), "references": refs}).select(*answers.columns, "references")
 
 
 def image_previews(hits: DataFrame) -> DataFrame:

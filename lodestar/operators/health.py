@@ -106,19 +106,60 @@ def excluded_ratio() -> Column:
 
 
 def ocr_quality(docs: DataFrame, noisy: float = 0.50, mixed: float = 0.30, unusable: float = 0.50) -> DataFrame:
-    """ocr_quality_status by extraction, excluded share and tier. Bounds are as the rules are coded, so `noisy` is only reached when it is lowered."""
+    """ocr_quality_status by extraction, excluded share and tier, and ocr_quality_reasons. Bounds are as the rules are coded, so `noisy` is only reached when it is lowered."""
     x = excluded_ratio()
+    quarantined, ocr = F.coalesce("quarantined", F.lit(False)), F.coalesce("ocr_used", F.lit(False))
+    native = ~ocr & F.coalesce(F.col("extraction_method").startswith("native_"), F.lit(False))
+    by_share = lambda *bounds: [(x >= b, status, said) for b, status, said in bounds]
+    shares = by_share((unusable, "ocr_unusable", "Very high exclusion"), (noisy, "ocr_noisy", "High contamination"), (mixed, "ocr_mixed", "Moderate contamination"), (0.0, "ocr_clean", "Low exclusion"))
     status = (
-        F.when(F.col("quarantined"), "ocr_unusable")
-        .when(~F.col("ocr_used") & F.col("extraction_method").startswith("native_"), F.when(x < 0.1, "native_clean").otherwise("ocr_mixed"))
-        .when(F.col("ocr_used"), F.when(x >= unusable, "ocr_unusable").when(x >= noisy, "ocr_noisy").when(x >= mixed, "ocr_mixed").otherwise("ocr_clean"))
+        F.when(quarantined, "ocr_unusable")
+        .when(native, F.when(x < 0.1, "native_clean").otherwise("ocr_mixed"))
+        .when(ocr, F.coalesce(*(F.when(cond, name) for cond, name, _ in shares)))
         .when(F.col("text_quality_tier") == "poor", "ocr_noisy")
         .when(F.col("text_quality_tier") == "partial", "ocr_mixed")
         .otherwise("ocr_clean")
     )
-    return docs.withColumn("ocr_quality_status", status)
+    percent = F.concat(F.round(x * 100).cast("int").cast("string"), F.lit("%"))
+    share = lambda said: F.concat(F.lit(f"{said} ("), percent, F.lit(")"))
+    flags = T.reasons((F.coalesce("heading_chunk_count", F.lit(0)) == 0, "No structural headings"), (F.coalesce("needs_review", F.lit(False)), "Flagged for review"))
+    kind = F.concat(F.upper(F.regexp_replace(F.coalesce("extraction_method", F.lit("")), "^native_", "")), F.lit(" native"))
+    reasons = (
+        F.when(quarantined, F.array(F.lit("Document quarantined")))
+        .when(native, F.array(kind, F.when(x < 0.1, share("Low exclusion")).otherwise(F.concat(F.lit("Some issues ("), percent, F.lit(" excluded)")))))
+        .when(ocr, F.concat(F.array(F.lit("OCR extracted"), F.coalesce(*(F.when(cond, share(said)) for cond, _, said in shares))), flags))
+        .when(F.col("text_quality_tier") == "poor", F.array(F.lit("Poor quality tier")))
+        .when(F.col("text_quality_tier") == "partial", F.array(F.lit("Partial quality tier")))
+        .otherwise(F.array(F.lit("Clean quality tier (default)")))
+    )
+    return docs.withColumns({"ocr_quality_status": status, "ocr_quality_reasons": reasons})
+
+
+def top_candidates(docs: DataFrame, n: int = 5) -> DataFrame:
+    """The first candidates by rank, ties by id."""
+    return docs.where("reprocess_candidate").orderBy(F.asc_nulls_last("reprocess_rank"), "id").limit(n)
 
 
+def ocr_distributions(docs: DataFrame) -> DataFrame:
+    """level (status or priority), name, n: no status counts as unassigned, no priority isn't counted."""
+    sets = docs.select(F.coalesce("ocr_quality_status", F.lit("unassigned")).alias("status"), F.col("document_priority").alias("priority")).groupingSets([["status"], ["priority"]], "status", "priority")
+    counted = sets.agg(F.grouping_id().alias("g"), F.count("*").alias("n"))
+    return counted.select(F.when(F.col("g") == 1, "status").otherwise("priority").alias("level"), F.coalesce("status", "priority").alias("name"), "n").where("name IS NOT NULL")
+
+
+def ocr_checks(docs: DataFrame) -> DataFrame:
+    """One row: what of scoring is missing, each as a check that holds."""
+    blank = lambda c: F.trim(F.coalesce(c, F.lit(""))) == ""
+    none = F.size(F.coalesce("ocr_quality_reasons", F.array().cast("array<string>"))) == 0
+    candidate = F.coalesce("reprocess_candidate", F.lit(False))
+    holds = lambda bad: F.count_if(bad) == 0
+    return docs.agg(
+        F.count("*").alias("total_documents"),
+        holds(blank("ocr_quality_status")).alias("all_docs_have_status"),
+        holds(F.col("ocr_quality_status").isin("ocr_mixed", "ocr_noisy", "ocr_unusable") & none).alias("all_quality_docs_have_reasons"),
+        holds(candidate & blank("reprocess_reason")).alias("all_candidates_have_reasons"),
+        holds(candidate & F.col("reprocess_rank").isNull()).alias("all_candidates_have_rank"),
+    )
 
 
 def document_priority(docs: DataFrame, high: str = r"MANUAL|GUIDELINES") -> DataFrame:

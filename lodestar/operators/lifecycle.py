@@ -143,25 +143,35 @@ def remove(documents: DataFrame, ids: DataFrame) -> DataFrame:
     return documents.join(gone, "id", "left").withColumn("is_active", F.col("is_active") & F.col("_gone").isNull()).drop("_gone")
 
 
-def select_for_reprocess(documents: DataFrame, source_type: str | None = None, contains: str | None = None, limit: int | None = None) -> DataFrame:
+def select_for_reprocess(documents: DataFrame, source_type: str | None = None, contains: str | None = None, limit: int | None = None, doc_id: object = None, source_path: str | None = None) -> DataFrame:
+    """Active versions by id, path, type and a part of title or path, in order of title, path and id; without any of them all."""
     out = documents.where("is_active")
     if source_type:
-        out = out.where(F.col("source_type") == source_type)
+        out = out.where(F.lower("source_type") == source_type.lower())
+    if doc_id is not None:
+        out = out.where(F.col("id") == doc_id)
+    if source_path:
+        out = out.where(F.col("source_path") == source_path)
     if contains:
         needle = contains.lower()
         out = out.where(F.lower("title").contains(needle) | F.lower("source_path").contains(needle))
-    out = out.orderBy("source_path", "id")
+    out = out.orderBy("title", "source_path", "id")
     return out.limit(limit) if limit else out
 
 
-def inventory(documents: DataFrame, signals: DataFrame, folder: str | None = None, source_type: str | None = None) -> DataFrame:
-    """Latest flag and chunk signals beside each version."""
-    out = with_latest_flag(documents).join(signals, documents["id"] == signals["document_id"], "left").drop("document_id")
-    if folder:
-        out = out.where(F.col("folder") == folder)
-    if source_type:
-        out = out.where(F.col("source_type") == source_type)
-    return out
+def inventory(documents: DataFrame, signals: DataFrame, folder: str | None = None, source_type: str | None = None, status: str | None = None) -> DataFrame:
+    """Latest flag and chunk signals (0 without chunks) beside each version, of a folder, type and extraction status where given; in `inventory_order`."""
+    counts = [c for c in signals.columns if c != "document_id"]
+    out = with_latest_flag(documents).drop(*counts).join(signals.withColumnRenamed("document_id", "id"), "id", "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in counts})
+    for column, value in (("folder", folder), ("source_type", source_type), ("extraction_status", status)):
+        if value:
+            out = out.where(F.col(column) == value)
+    return out.orderBy(*inventory_order())
+
+
+def inventory_order() -> list[Column]:
+    """Active and latest versions first, then folder, title and the newer; ties by id."""
+    return [F.desc("is_active"), F.desc("is_latest"), F.asc("folder"), F.asc("title"), F.desc("created_at"), F.asc("id")]
 
 
 def facet_filter(docs: DataFrame, **spec) -> DataFrame:

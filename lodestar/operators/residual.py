@@ -179,6 +179,23 @@ def residual_detail(before: DataFrame, after: DataFrame) -> DataFrame:
     )
 
 
+def residual_rollup(detail: DataFrame, families: int = 8) -> DataFrame:
+    """level, name, n and said: the commonest families of `residual_detail`, what cleaning up can do, and the risk that documents stay as they are."""
+    named = detail.groupBy(title_family(F.coalesce("title", F.lit(""))).alias("name")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "name").limit(families)
+    rows = named.select(F.lit("family").alias("level"), "name", "n", F.lit(None).cast("string").alias("said"))
+    total = detail.agg(F.count("*").alias("all"), F.count_if("likely_fixable").alias("fixable"), F.count_if("likely_stable").alias("stable"))
+    of = lambda c: F.concat(F.col(c).cast("string"), F.lit("/"), F.col("all").cast("string"))
+    cleanup = F.when(F.col("fixable") > 0, F.concat(F.lit("High: "), of("fixable"), F.lit(" docs likely fixable by footer/header cleanup"))).otherwise("Low: Most residual issues tied to OCR or inherent structure")
+    risk = F.when(F.col("stable") > F.col("all") * 0.5, F.concat(F.lit("High risk: "), of("stable"), F.lit(" docs show stable floor traits"))).otherwise(F.concat(F.lit("Moderate: "), of("stable"), F.lit(" docs may be stable floor")))
+    said = total.select(F.explode(F.array(F.struct(F.lit("cleanup").alias("name"), F.col("fixable").alias("n"), cleanup.alias("said")), F.struct(F.lit("risk").alias("name"), F.col("stable").alias("n"), risk.alias("said")))).alias("s"))
+    return rows.unionByName(said.select(F.lit("overall").alias("level"), "s.*"))
+
+
+def unresolved(changes: DataFrame, above: float = 0.25, n: int = 10) -> DataFrame:
+    """Of `impact`'s documents those still at `above` or more, the ones that gained most first."""
+    return changes.where(F.col("after_ratio") >= above).orderBy("ratio_change", "source_path").limit(n)
+
+
 def residual_shallow(docs: DataFrame, n: int = 20, above: float = 0.25) -> DataFrame:
     """From document counters alone: the active partial documents of greatest excluded share, and how far above the bound."""
     pool = docs.where("is_active AND text_quality_tier = 'partial' AND chunk_count > 0").withColumn("excluded_ratio", excluded_ratio())

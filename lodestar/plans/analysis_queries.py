@@ -137,10 +137,6 @@ FROM conversations LEFT JOIN g ON g.query_id = conv_id * 10 + turn WHERE role =
 """
 
 
-def normalised_answers(spark, sf_dir):
-    return evidence.normalise_answers(_answers(spark, sf_dir)).select("query_id", F.md5("answer").alias("hash"))
-
-
 def _joined(spark, sf_dir):
     h = fusion.dedupe_max(hits(spark, sf_dir).select("query_id", "chunk_id", "score")).withColumnRenamed("chunk_id", "k")
     return h.join(chunks(spark, sf_dir).withColumn("k", F.col("document_id") * 3 + F.col("chunk_index")), "k")
@@ -347,7 +343,6 @@ QUERIES = {
     "rendered_tables": (rendered_tables, None),
     "answer_summary": (answer_summary, ANSWER_SUMMARY),
     "citation_check": (citation_check, CITATIONS),
-    "normalised_answers": (normalised_answers, None),
     "assembled_contexts": (contexts, None),
     "synthesis_context": (synthesis_context, SYNTHESIS),
     "operating_frames": (operating_frames, FRAMES),

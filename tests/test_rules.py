@@ -198,7 +198,7 @@ def test_citations(spark):
     h = spark.createDataFrame([(1, "A, 1")], "query_id long, citation_label string")
     r = evidence.validate_citations(a, h).first()
     assert r.valid == ["A, 1"] and r.unknown == ["B, 2"]
-    assert evidence.normalise_answers(a).first().answer == "It is so. And.\n\nReferences:\n- A, 1\n- B, 2"
+    assert evidence.normalise_answers(a).first().answer == "It is so. And.\n\nReferences:\n- [Source: A, 1]\n- [Source: B, 2]"
 
 
 def test_previews_do_not_contain_each_other(spark):
