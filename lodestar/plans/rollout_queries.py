@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.operators import health, lifecycle, rollout
+from lodestar.operators import health, lifecycle, residual, rollout
 from lodestar.plans.health_queries import SCORED, _scored
 from lodestar.plans.inputs import VERSIONS, table, versions
 
@@ -41,6 +41,12 @@ def deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.withColumn("retrieval_improved", F.col("id") % 3 != 0)
 
 
+def quality_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _scored(spark, sf_dir)
+    first, last = (lifecycle.distinct_on(docs, ["source_path"], [order]) for order in (F.asc("id"), F.desc("id")))
+    return residual.quality_deltas(first, last).select("source_path", "status_before", "status_after", "delta")
+
+
 def outcome_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rollout.outcomes(deltas(spark, sf_dir))
 
@@ -79,7 +85,7 @@ _REST = f"source_path NOT IN (SELECT source_path FROM ({VERSIONS}) WHERE quarant
 _SCORE = "CASE {0} WHEN 'native_clean' THEN 5 WHEN 'ocr_clean' THEN 4 WHEN 'ocr_mixed' THEN 3 WHEN 'ocr_noisy' THEN 2 WHEN 'ocr_unusable' THEN 1 ELSE 0 END"
 _DELTAS = f"""
 s AS ({SCORED}), f AS (SELECT DISTINCT ON (source_path) * FROM s ORDER BY source_path, id), l AS (SELECT DISTINCT ON (source_path) * FROM s ORDER BY source_path, id DESC),
-e AS (SELECT l.id, l.folder, f.x AS b, l.x AS a, f.ocr_quality_status AS sb, l.ocr_quality_status AS sa, l.document_priority AS p, l.id % 3 <> 0 AS better FROM f JOIN l USING (source_path))
+e AS (SELECT l.id, source_path, l.folder, f.x AS b, l.x AS a, f.ocr_quality_status AS sb, l.ocr_quality_status AS sa, l.document_priority AS p, l.id % 3 <> 0 AS better FROM f JOIN l USING (source_path))
 """
 
 
@@ -96,6 +102,7 @@ QUERIES = {
     "reprocess_pilot": (reprocess_pilot, f"WITH {_RANKED} SELECT id, k AS reprocess_rank FROM d WHERE document_priority = 'high' AND regexp_matches(concat_ws(' ', title, folder), '(?i)(lop|eop|manual|operation|sop)') ORDER BY k, id LIMIT 8"),
     "reprocess_wave": (reprocess_wave, f"WITH {_RANKED} SELECT id, k AS reprocess_rank FROM d WHERE document_priority IN ('high', 'medium') AND {_REST} ORDER BY k, id LIMIT 20 OFFSET 5"),
     "reprocess_batch": (reprocess_batch, f"WITH {_RANKED} SELECT id, k AS reprocess_rank FROM d WHERE {_REST} ORDER BY k, id LIMIT 20"),
+    "quality_deltas": (quality_deltas, f"WITH {_DELTAS} SELECT source_path, sb AS status_before, sa AS status_after, round(a - b, 6) AS delta FROM e"),
     "outcome_summary": (outcome_summary, f"WITH {_DELTAS} SELECT {_SHOWN}, {_VERDICT} FROM ({_outcomes('')})"),
     "outcome_changes": (outcome_changes, f"WITH {_DELTAS} SELECT folder, {_SHOWN}, {_VERDICT} FROM ({_outcomes('folder,', improved=False)})"),
     "wave_summary": (wave_summary, f"""WITH {_DELTAS}, w AS ({_outcomes('folder,')}), p AS ({_outcomes('', "folder = 'folder0'")})
