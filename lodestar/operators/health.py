@@ -192,7 +192,7 @@ def reprocess_rank(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     order = F.when(F.col("document_priority") == "high", 0).when(F.col("document_priority") == "medium", 1).otherwise(2)
-    keyed = docs.where("reprocess_candidate").select("id", order.alias("_p"), F.round(-excluded_ratio(), 9).alias("_x"))
+    keyed = cut(docs.where("reprocess_candidate").select("id", order.alias("_p"), F.round(-excluded_ratio(), 9).alias("_x")))  # read twice, for the ranges and for the sort
     keys = ["_p", "_x", "id"]
     placed = cut(keyed.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *keys).sortWithinPartitions(*keys).select("id", F.monotonically_increasing_id().alias("_place")))
     part = F.shiftrightunsigned("_place", 33)
