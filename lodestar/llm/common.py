@@ -15,6 +15,9 @@ DOCUMENT_COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 SPACE_CLASS = r"[\x20\x09-\x0D]"
 WORD_CLASS = r"[^\x20\x09-\x0D]"
 
+#: Rows of ids and numbers, or of sets, that a task is worth.
+PART_ROWS = 4000
+
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -35,6 +38,21 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def packed(df: DataFrame, rows: int = 0, part_rows: int = PART_ROWS) -> DataFrame:
+    """df in partitions of `part_rows` rows on average if it has `rows`, but no fewer than cores; never in more than it has, and without a shuffle.
+
+    A task costs 12 kB of disk for its shuffle files and some more in logs, however few rows it has.
+    """
+    return df.coalesce(max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // part_rows)))
+
+
+def settled(df: DataFrame, most: int | None = None) -> tuple[DataFrame, int]:
+    """A checkpoint of df, packed by its rows, and their number; `most` is a bound of it that is known before."""
+    out = checkpoint(df if most is None else packed(df, most))
+    rows = packed(out).count()
+    return packed(out, rows), rows
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """`body` of a value that is computed once: inside a lambda a plain expression is computed for every element."""
     return F.get(F.transform(F.array(value), body), 0)

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from lodestar.llm.common import checkpoint, map_rows
+from lodestar.llm.common import checkpoint, map_rows, packed
 
 SEED = 42
 PAIRS_UP_TO = 64
@@ -116,8 +116,8 @@ def links(distinct: DataFrame, pairs_up_to: int = PAIRS_UP_TO) -> DataFrame:
     return pairs.unionByName(within).unionByName(stars).distinct()
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """(node, root): root is the least node that can be reached. Nodes without edges aren't listed."""
+def components(edges: DataFrame, rounds: int = 60, part_rows: int | None = None) -> DataFrame:
+    """(node, root): root is the least node that can be reached. Nodes without edges aren't listed. A round's tasks get `part_rows` edges on average, if given."""
 
     def state(e: DataFrame) -> tuple:
         return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).head())
@@ -125,16 +125,18 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     edges = checkpoint(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct())
     before = None
     for _ in range(rounds):
-        now = state(edges)
+        now = state(packed(edges) if part_rows else edges)
         if now == before or now[0] == 0:
             break
         before = now
+        pack = (lambda d, n=now[0]: packed(d, n, part_rows)) if part_rows else (lambda d: d)
+        edges = pack(edges)
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = pack(pack(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))).distinct())
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select("v", "m").toDF("u", "v")
-        edges = checkpoint(small.unionByName(least.toDF("u", "v")).where("u <> v").distinct())
+        edges = checkpoint(pack(pack(small.unionByName(least.toDF("u", "v")).where("u <> v")).distinct()))
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
