@@ -39,7 +39,7 @@ def checkpoint(df: DataFrame) -> DataFrame:
 
 
 def packed(df: DataFrame, rows: int = 0, part_rows: int = PART_ROWS) -> DataFrame:
-    """df in partitions of `part_rows` rows on average if it has `rows`, but no fewer than cores; never in more than it has, and without a shuffle.
+    """df in partitions of `part_rows` rows on average if `rows` are read for it, but no fewer than cores; never in more than it has, and without a shuffle.
 
     A task costs 12 kB of disk for its shuffle files and some more in logs, however few rows it has.
     """
