@@ -48,7 +48,7 @@ def chunk_counts(chunks: DataFrame) -> DataFrame:
         F.count_if("retrieval_excluded").alias("excluded_chunks"),
         *(F.count_if(kind == k).alias(f"{k}_chunks") for k in ("heading", "table", "list")),
         F.count_if(F.col("section_title").isNull()).alias("untitled_chunks"),
-        F.round(F.avg("token_count"), 2).alias("avg_chunk_tokens"),
+        (F.round(F.avg("token_count") * 100) / 100).alias("avg_chunk_tokens"),  # halves are judged on the double, as the SQL does
         *(F.count_if(F.col("exclusion_tag") == t).alias(f"{t}_chunks") for t in TAGS),
         F.count_if(content.rlike(CONTAMINATION)).alias("contamination_chunks"),
         F.count_if((kind == "paragraph") & content.rlike(HEADING_LIKE)).alias("heading_like_paragraphs"),
@@ -57,23 +57,25 @@ def chunk_counts(chunks: DataFrame) -> DataFrame:
 
 def failure_scores() -> dict[str, Column]:
     """The linear score of each pattern over `per_document`'s columns."""
-    n = lambda c, times=1.0: F.col(c) * F.lit(times)
-    given = lambda cond, points: F.when(F.coalesce(cond, F.lit(False)), F.lit(points)).otherwise(0.0)
+    # Points are whole hundredths until a score is made: sums of tenths as doubles would tell equal scores apart.
+    points = lambda *hundredths: sum(hundredths[1:], hundredths[0]) / 100.0
+    n = lambda c, each: F.col(c) * F.lit(each)
+    given = lambda cond, some: F.when(F.coalesce(cond, F.lit(False)), F.lit(some)).otherwise(0)
     reason = lambda name: F.exists("quality_reasons", lambda r: F.lower(r) == name.lower())
     pdf, chunks, headings = F.lower("source_type") == "pdf", F.col("chunk_count"), F.col("heading_chunks")
     ocr, fallback, untitled = F.col("ocr_used"), F.col("fallback_used"), F.col("untitled_ratio")
     broken, short, bare = "broken_structure_chunks", "short_fragment_noise_chunks", (chunks > 0) & (headings == 0)
     return {
-        "weak_heading_detection": given(headings == 0, 2.5) + n("heading_like_paragraphs", 0.7) + given(reason("Weak headings"), 2.0),
-        "broken_section_boundary": n(broken, 0.6) + n(short, 0.35) + untitled * 2.0 + given(bare, 0.5),
-        "multi_column_fragmentation": given(pdf, 1.0) + untitled * 1.8 + n(broken, 0.2) + given(fallback, 0.5),
-        "ocr_body_contamination": given(ocr | fallback, 1.2) + n("contamination_chunks", 0.9) + n("ocr_garbage_chunks", 0.7),
-        "table_schema_loss": n("table_noise_chunks", 0.8) + given((F.col("table_chunks") > 0) & (headings <= 1), 0.8) + given(reason("Table-heavy"), 0.5),
-        "split_procedure_fragment": n(short, 0.75) + n("list_chunks", 0.15) + n(broken, 0.25),
-        "footer_header_body_mix": n("contamination_chunks", 1.1) + n("metadata_block_chunks", 0.25),
-        "diagram_caption_fragmentation": given(pdf, 0.3) + given(bare & (F.col("table_chunks") == 0), 0.4),
-        "sparse_extraction": F.when(chunks <= 3, 3.0).when(chunks <= 8, 1.5).otherwise(0.0) + given(reason("Sparse text"), 1.0) + given(reason("Low chunk density"), 1.0),
-        "layout_order_error": given(pdf, 1.0) + untitled * 1.3 + given(fallback, 0.8),
+        "weak_heading_detection": points(given(headings == 0, 250), n("heading_like_paragraphs", 70), given(reason("Weak headings"), 200)),
+        "broken_section_boundary": points(n(broken, 60), n(short, 35)) + untitled * 2.0 + points(given(bare, 50)),
+        "multi_column_fragmentation": points(given(pdf, 100)) + untitled * 1.8 + points(n(broken, 20)) + points(given(fallback, 50)),
+        "ocr_body_contamination": points(given(ocr | fallback, 120), n("contamination_chunks", 90), n("ocr_garbage_chunks", 70)),
+        "table_schema_loss": points(n("table_noise_chunks", 80), given((F.col("table_chunks") > 0) & (headings <= 1), 80), given(reason("Table-heavy"), 50)),
+        "split_procedure_fragment": points(n(short, 75), n("list_chunks", 15), n(broken, 25)),
+        "footer_header_body_mix": points(n("contamination_chunks", 110), n("metadata_block_chunks", 25)),
+        "diagram_caption_fragmentation": points(given(pdf, 30), given(bare & (F.col("table_chunks") == 0), 40)),
+        "sparse_extraction": points(F.when(chunks <= 3, 300).when(chunks <= 8, 150).otherwise(0), given(reason("Sparse text"), 100), given(reason("Low chunk density"), 100)),
+        "layout_order_error": points(given(pdf, 100)) + untitled * 1.3 + points(given(fallback, 80)),
     }
 
 

@@ -31,6 +31,20 @@ def test_scores_add_up_and_the_first_of_equals_wins(spark):
     assert none.score_weak_heading_detection == none.score_layout_order_error == 0 and none.dominant_failure == "weak_heading_detection"
 
 
+def test_scores_equal_in_tenths_are_equal(spark):
+    """2.5 + 4 * 0.7 and 1.2 + 3 * 0.9 + 2 * 0.7 are both 5.3, though not as sums of doubles."""
+    rows = [("paragraph", "1.2 Valve check", None)] * 4 + [("table", "controlled copy", "ocr_garbage")] * 2 + [("table", "controlled copy", None)]
+    chunks = [(1, kind, "t", content, 4, False, tag) for kind, content, tag in rows]
+    row = report(spark, [doc(1, method="ocr", n=7, x=0)], chunks)[1]
+    assert row.score_weak_heading_detection == row.score_ocr_body_contamination == 5.3 and row.dominant_failure == "weak_heading_detection"
+
+
+def test_mean_tokens_round_as_their_sql(spark):
+    """2639 / 40 = 65.975 is below its half as a double times 100."""
+    chunks = [(1, "paragraph", "t", "x", 65 if k else 104, False, None) for k in range(40)]
+    assert report(spark, [doc(1, n=40, x=0)], chunks)[1].avg_chunk_tokens == 65.97
+
+
 def test_cohort_order_and_documents_without_chunks(spark):
     docs = [doc(1, x=5, score=0.9), doc(2, x=5, score=0.1), doc(3, x=9), doc(4, x=5, score=None), doc(5, tier="good", x=9), doc(6, active=False, x=9), doc(7, n=0, x=0)]
     assert set(report(spark, docs, [], cohort=3)) == {3, 2, 1}
