@@ -67,3 +67,10 @@ def test_levels_hold_every_pattern_and_mark_three(spark):
     assert sum(level == "pattern" for level, _ in got) == 10 and got["pattern", "weak_heading_detection"].documents == 0
     assert {name for (level, name), r in got.items() if r.fixable} == {"table_schema_loss", "weak_heading_detection", "broken_section_boundary"}
     assert got["cohort", "all"].avg_excluded_ratio == 0.25 and got["cohort", "all"].messy == 1 and got["family", "A"].documents == 2
+
+
+def test_levels_count_equal_scores_under_the_first_pattern(spark):
+    rows = [("paragraph", "1.2 Valve check", None)] * 4 + [("table", "controlled copy", "ocr_garbage")] * 2 + [("table", "controlled copy", None)]
+    chunks = spark.createDataFrame([(1, kind, "t", content, 4, False, tag) for kind, content, tag in rows], CHUNK)
+    found = structural.per_document(spark.createDataFrame([doc(1, method="ocr", n=7, x=0)], DOC), chunks, cohort=None)
+    assert {r.name for r in structural.structural_levels(found).where("level = 'pattern' AND documents = 1").collect()} == {"weak_heading_detection"}
