@@ -1,7 +1,7 @@
 """Chunk composition: sentences, runs of sections, size limits, labels and records.
 
-Which sections go together is decided by a fold over one document's section sizes
-and kinds; the texts stay in Spark and are put together by an aggregate.
+Which sections go together is decided by a fold over one document's sections, which
+puts their texts together too: sections are made once, and shuffled once.
 """
 
 from __future__ import annotations
@@ -12,8 +12,10 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from lodestar.functions import text as T
+from lodestar.operators.shared import folded
 
 DISTINCT_TYPES = ("warning", "note")
 BREAK_BEFORE = ("procedure_step", "instruction_block")
@@ -83,34 +85,30 @@ def compose_prose(secs: DataFrame, max_tokens: int = 800, overlap: int = 120) ->
     alone = F.col("type").isin("table", "list") | F.col("section_type").isin(*DISTINCT_TYPES)
     marked = marked.withColumn("_kind", F.when(alone, "alone").when(F.col("_n") > max_tokens, "long").otherwise("join"))
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("pos", kind="stable")
-        run, size, first, out = 0, None, None, []
-        for kind, n, section_type, excluded in zip(pdf["_kind"], pdf["_n"], pdf["section_type"], pdf["retrieval_excluded"]):
+    def run_of(rows: list[tuple]) -> tuple:
+        """One chunk of neighbouring rows; flags are those that hold for any of them, the rest is the first one's."""
+        some = lambda k: (any(r[k] for r in rows) if any(r[k] is not None for r in rows) else None)
+        doc, pos, _, title, section_type, _, _, boilerplate, kind, _ = rows[0]
+        return doc, pos, "\n\n".join(r[2] for r in rows), title, section_type, [r[4] for r in rows], some(5), some(6), boilerplate, kind
+
+    def fold(rows: list[tuple]) -> list[tuple]:
+        size, first, runs = None, None, []
+        for row in rows:
+            section_type, excluded, kind, n = row[4], row[5], row[8], row[9]
             fits = kind == "join" and size is not None and size + n <= max_tokens and first[1] == excluded and not (section_type in BREAK_BEFORE and first[0] != section_type)
             if not fits:
-                run += 1
+                runs.append([])
                 size, first = (0, (section_type, excluded)) if kind == "join" else (None, None)
             if size is not None:
                 size += n
-            out.append(run)
-        return pd.DataFrame({"doc_id": pdf["doc_id"], "pos": pdf["pos"], "_run": out})
-
-    kinds = {f.name: f.dataType.simpleString() for f in secs.schema}
-    runs = marked.select("doc_id", "pos", "_kind", "_n", "section_type", "retrieval_excluded").groupBy("doc_id").applyInPandas(fold, f"doc_id {kinds['doc_id']}, pos {kinds['pos']}, _run long")
-    joined = marked.join(runs, ["doc_id", "pos"]).groupBy("doc_id", "_run").agg(
-        F.min("pos").alias("pos"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "content"))), lambda x: x["content"]), "\n\n").alias("content"),
-        F.min_by("_title", "pos").alias("section_title"),
-        F.min_by("section_type", "pos").alias("section_type"),
-        F.transform(F.array_sort(F.collect_list(F.struct("pos", "section_type"))), lambda x: x["section_type"]).alias("section_types"),
-        F.bool_or("retrieval_excluded").alias("retrieval_excluded"),
-        F.bool_or("retrieval_downranked").alias("retrieval_downranked"),
-        F.min_by("is_boilerplate", "pos").alias("is_boilerplate"),
-        F.max("_kind").alias("_kind"),
-    )
+            runs[-1].append(row)
+        return [run_of(r) for r in runs]
+
+    slim = marked.select("doc_id", "pos", "content", F.col("_title").alias("section_title"), "section_type", "retrieval_excluded", "retrieval_downranked", "is_boilerplate", "_kind", "_n")
+    schema = StructType([*slim.schema[:5], StructField("section_types", ArrayType(StringType())), *slim.schema[5:9]])
+    joined = folded(slim, ["pos"], fold, schema)
     parts = F.when(F.col("_kind") == "long", pieces(max_tokens, overlap)(F.col("content"))).otherwise(F.array(F.trim("content")))
-    return joined.withColumn("_parts", parts).select("*", F.posexplode("_parts").alias("part", "_text")).withColumn("content", F.col("_text")).drop("_parts", "_text", "_run", "_kind")
+    return joined.withColumn("_parts", parts).select("*", F.posexplode("_parts").alias("part", "_text")).withColumn("content", F.col("_text")).drop("_parts", "_text", "_kind")
 
 
 def reindex(chunks: DataFrame, order: list[str], by: str = "doc_id") -> DataFrame:

@@ -66,8 +66,8 @@ def classify_sections(secs: DataFrame) -> DataFrame:
         F.when(content.rlike(P.FOOTER_HEADER) & T.has_body_beyond_footer(content), outcome("instruction_block", 0.72, tag="broken_structure"))
         .when(content.rlike(P.FOOTER_HEADER), outcome("footer_header", 0.9, True, tag="metadata_block"))
         .when(T.is_ocr_garbage(content), outcome("metadata_only", 0.9, True, tag="ocr_garbage"))
-        .when(under(P.FORM_HEADING) & T.is_empty_content(content), outcome("form_stub", 0.9, True, tag="metadata_block"))
-        .when(under(P.APPENDIX_FORM_HEADING) & (tokens < 10) & T.is_empty_content(content), outcome("form_stub", 0.9, True, tag="metadata_block"))
+        .when(T.is_empty_content(content) & under(P.FORM_HEADING), outcome("form_stub", 0.9, True, tag="metadata_block"))
+        .when((tokens < 10) & T.is_empty_content(content) & under(P.APPENDIX_FORM_HEADING), outcome("form_stub", 0.9, True, tag="metadata_block"))
         .when(content.rlike(P.WARNING_START), outcome("warning", 0.9))
         .when(content.rlike(P.NUMBERED_STEP) & (verbs > 0), outcome("procedure_step", 0.9))
         .when(F.col("type") == "table", outcome("table", 0.95, ~reference, tag=F.when(reference, "table_reference").otherwise("table_noise")))
@@ -214,7 +214,7 @@ def short_content_policy(secs: DataFrame, min_tokens: int = 20) -> DataFrame:
     isolated = ~near(F.lag) & ~near(F.lead)
     short = (F.col("_n") < min_tokens) & ~F.col("retrieval_excluded") & isolated
     spared = F.col("section_type").isin(*EXEMPT_SHORT) | T.is_heading_like(F.col("content")) | T.is_meaningful_short(F.coalesce("content", F.lit("")), F.col("type"))
-    marked = marked.withColumns({"_short": short, "_spared": spared})
+    marked = marked.withColumns({"_short": short, "_spared": F.when(short, spared).otherwise(False)})
     return (
         marked.withColumn("retained_short", F.col("_short") & F.col("_spared"))
         .withColumn("dropped_short", F.col("_short") & ~F.col("_spared"))

@@ -3,7 +3,9 @@
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from lodestar.operators import fusion
+from lodestar.functions import patterns as P
+from lodestar.functions import text as T
+from lodestar.operators import chunking, fusion
 from lodestar.operators.shared import folded
 
 
@@ -35,3 +37,21 @@ def test_selection_takes_tiers_that_hits_have(spark):
     rows = [(1, k, k, 1.0 - k / 100, 1 if k == 5 else 2 if k in (3, 4) else 3, k == 4, False, False) for k in range(8)]
     out = fusion.select_interaction(spark.createDataFrame(rows, kind), target=4).orderBy("position").collect()
     assert [(r.chunk_id, r.position) for r in out] == [(5, 1), (4, 2), (3, 3), (0, 4)]
+
+
+def test_sections_are_made_once_for_their_chunks(spark):
+    rows = [(d, i, f"words of line {i} in {d}", "heading" if i % 3 == 0 else "paragraph", "note" if i == 4 else None, i == 5, False, False) for d in range(3) for i in range(7)]
+    secs = spark.createDataFrame(rows, "doc_id long, pos long, content string, type string, section_type string, retrieval_excluded boolean, retrieval_downranked boolean, is_boilerplate boolean")
+    made = chunking.compose_prose(secs)
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapGroupsInPandas" not in plan and plan.count("Scan") == 1
+    got = [(r.pos, r.part, r.section_types, r.retrieval_excluded) for r in made.where("doc_id = 1").orderBy("pos").collect()]
+    assert got == [(0, 0, [None] * 4, False), (4, 0, ["note"], False), (5, 0, [None], True), (6, 0, [None], False)]
+
+
+def test_characters_are_counted_by_code_points(spark):
+    texts = ["", "  ", "plain words", "#" * 11 + "a" * 9, "#" * 12 + "a" * 9, "\U0001f600" * 5 + "abcd", "\U0001f600" * 4 + "abcd", "é\t ab é", "1 $", "$$ ß", None, "a????b", "0OIl0OIl"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    alnum, symbols = F.regexp_count(F.trim("t"), F.lit("[A-Za-z0-9]")), F.regexp_count(F.trim("t"), F.lit(r"[^\sA-Za-z0-9]"))
+    plain = F.coalesce((F.trim("t") == "") | F.trim("t").rlike(P.OCR_GARBAGE) | (alnum == 0) | (symbols / (alnum + symbols) > 0.55), F.lit(True))
+    assert [r.a for r in df.select(T.is_ocr_garbage(F.col("t")).alias("a")).collect()] == [r.b for r in df.select(plain.alias("b")).collect()]
