@@ -172,3 +172,17 @@ def test_authoritative_anchors_by_rule(spark):
         got.setdefault(r.query_id, {})[r.chunk_id] = r.score
     assert got == {1: {1: 1.0, 8: 1.0, 2: 0.96, 4: 0.93, 6: 0.9, 7: 0.82}, 2: {1: 1.0, 8: 1.0, 9: 0.96}, 3: {1: 1.0, 8: 1.0}, 4: {1: 1.0, 8: 1.0}}
     assert [(r.query_id, r.chunk_id) for r in search.authoritative_anchors(asked, spark.createDataFrame(rows, kind), 1).orderBy("query_id").collect()] == [(1, 1), (2, 1), (3, 1), (4, 1)]
+
+
+def test_section_anchors_rank_within_a_reference_before_they_meet_questions(spark):
+    """Questions with several references and equal scores: the same rows as from all pairs, with a limit below the join."""
+    refs = [(q, r) for q in range(6) for r in ("1.1", "2.2", "3.3")[: 1 + q % 3]] + [(9, "8.8")]
+    rows = [(c, f"{1 + c % 3}.{1 + c % 3} T" if c % 4 == 0 else f"x {1 + c % 3}.{1 + c % 3}", "", f"in {1 + c % 2}.{1 + c % 2}") for c in range(40)]
+    out = search.section_anchors(spark.createDataFrame(refs, "query_id long, ref string"), spark.createDataFrame(rows, "chunk_id long, section_title string, citation_label string, content string"), 5)
+    want = set()
+    for q in {q for q, _ in refs}:
+        score = lambda c, t, text: max([0] + [1.0 if t.startswith(r) else 0.95 if r in t else 0.8 if r in text else 0 for o, r in refs if o == q])
+        best = sorted((-score(c, t, text), c) for c, t, _, text in rows if score(c, t, text))[:5]
+        want |= {(q, c, -s) for s, c in best}
+    assert {(r.query_id, r.chunk_id, r.score) for r in out.collect()} == want
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Window [") == 2
