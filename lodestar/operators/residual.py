@@ -83,26 +83,35 @@ def substrings(col: Column, n: int) -> Column:
     return F.when(F.length(col) >= n, F.array_distinct(runs)).otherwise(F.array().cast("array<string>"))
 
 
+#: Needles of so many characters meet the texts by runs of that length, shorter ones by runs of three or as they are.
+LONG_RUN = 6
+
+
 def contained(needles: DataFrame, texts: DataFrame) -> DataFrame:
     """(needle, text) for every needle that stands inside a text, both distinct and not empty.
 
-    All runs of three characters of a needle are in a text that holds it, so they meet
-    by equality on the needle's rarest run (shorter needles: on themselves), and
-    `contains` confirms. A needle with a run that no text has meets none.
+    All runs of three characters of a needle, and all of `LONG_RUN`, are in a text that holds it, so they meet
+    by equality on the needle's rarest run of the longest kind it has (needles of one or two: on themselves), and
+    `contains` confirms. A needle with a run that no text has meets none. Texts have runs of the
+    kinds that needles ask for alone. Both tables may be large, so no side is sent to every task.
     """
     n = F.length("needle")
-    runs = texts.where("text <> ''").select("text", F.explode(F.concat(*[substrings(F.col("text"), k) for k in (1, 2, 3)])).alias("_run"))
+    kind = F.when(n < 3, n).when(n < LONG_RUN, 3).otherwise(LONG_RUN)
+    kinds = sorted(r[0] for r in needles.where("needle <> ''").select(kind.alias("k")).distinct().collect()) or [1]  # four numbers at most
+    runs = texts.where("text <> ''").select("text", F.explode(F.concat(*[substrings(F.col("text"), k) for k in kinds])).alias("_run"))
     counts = runs.groupBy("_run").agg(F.count("*").alias("_n"))
-    asked = needles.where("needle <> ''").select("needle", F.explode(F.when(n < 3, F.array("needle")).otherwise(substrings(F.col("needle"), 3))).alias("_run"))
-    rarest = asked.join(counts, "_run", "left").groupBy("needle").agg(F.min_by("_run", F.struct(F.coalesce("_n", F.lit(0)), "_run")).alias("_run"))
-    return rarest.join(runs, "_run").where(F.contains("text", "needle")).select("needle", "text")
+    own = F.when(n < 3, F.array("needle")).when(n < LONG_RUN, substrings(F.col("needle"), 3)).otherwise(substrings(F.col("needle"), LONG_RUN))
+    asked = needles.where("needle <> ''").select("needle", F.explode(own).alias("_run"))
+    rarest = asked.join(counts.hint("merge"), "_run", "left").groupBy("needle").agg(F.min_by("_run", F.struct(F.coalesce("_n", F.lit(0)), "_run")).alias("_run"))
+    return rarest.hint("merge").join(runs, "_run").where(F.contains("text", "needle")).select("needle", "text")
 
 
 def source_hits(hits: DataFrame, docs: DataFrame) -> DataFrame:
     """id, hits: how many hits have a title that equals, holds or is held by the document's, both normalised.
 
     Blank titles of hits don't count; a title without a letter or digit holds nothing
-    and stands inside every other. A document without a title has none.
+    and stands inside every other. A document without a title has none. There may be as many titles as
+    documents, so they are joined by sorting.
     """
     norm = lambda c: F.trim(F.regexp_replace(F.lower(c), r"[^a-z0-9]+", " "))
     found = hits.where(F.trim("doc_title") != "").groupBy(norm("doc_title").alias("text")).agg(F.count("*").alias("_n"))
@@ -110,10 +119,10 @@ def source_hits(hits: DataFrame, docs: DataFrame) -> DataFrame:
     titles = named.where(F.col("_t").isNotNull()).select(F.col("_t").alias("needle")).distinct()
     inside = contained(titles, found)
     around = contained(found.select(F.col("text").alias("needle")), titles.select(F.col("needle").alias("text"))).select(F.col("text").alias("needle"), F.col("needle").alias("text"))
-    counts = inside.unionByName(around).distinct().join(found, "text").groupBy(F.col("needle").alias("_t")).agg(F.sum("_n").alias("_hits"))
+    counts = inside.unionByName(around).distinct().join(found.hint("merge"), "text").groupBy(F.col("needle").alias("_t")).agg(F.sum("_n").alias("_hits"))
     totals = found.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("_all"), F.coalesce(F.sum(F.when(F.col("text") == "", F.col("_n"))), F.lit(0)).alias("_bare"))  # one row
     hits_of = F.when(F.col("_t").isNull(), 0).when(F.col("_t") == "", F.col("_all")).otherwise(F.coalesce("_hits", F.lit(0)) + F.col("_bare"))
-    return named.join(counts, "_t", "left").crossJoin(F.broadcast(totals)).select("id", hits_of.cast("long").alias("hits"))
+    return named.join(counts.hint("merge"), "_t", "left").crossJoin(F.broadcast(totals)).select("id", hits_of.cast("long").alias("hits"))
 
 
 def cycle_rollup(cycles: DataFrame) -> DataFrame:

@@ -207,6 +207,12 @@ def test_previews_do_not_contain_each_other(spark):
     assert r.preview == "abcdef ghi … more of it … other"
 
 
+def test_titles_are_never_sent_to_every_task(spark):
+    docs = spark.createDataFrame([(k, f"Site manual {k}") for k in range(30)], "id long, title string")
+    plan = residual.source_hits(docs.select(F.col("title").alias("doc_title")), docs)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan and "SortMergeJoin" in plan
+
+
 def test_lines_keep_the_digits_at_their_ends(spark):
     text = "\n".join(f"\t{i} step {i} " for i in range(12))
     df = spark.createDataFrame([(1, text)], "doc_id long, text string")
