@@ -295,3 +295,10 @@ def test_text_quality_equals_a_plain_count(spark, sf_dir):
     for r in out:
         score, tier = plain(r.text or "")
         assert abs(r.text_quality_score - score) < 2e-6 and r.text_quality_tier == tier, r.text
+
+
+def test_contained_meets_long_texts_by_wanted_runs_alone(spark):
+    texts = ["a long line with valve check in it", "valve", "x" * 400 + "valve check", "nothing of it", "VALVE CHECK"]
+    made = residual.contained(spark.createDataFrame([("valve check",), ("it",), ("lin",)], "needle string"), spark.createDataFrame([(t,) for t in texts], "text string"))
+    assert sorted(map(tuple, made.collect())) == sorted((n, t) for n in ("valve check", "it", "lin") for t in texts if n in t)
+    assert "LeftSemi" in made._jdf.queryExecution().optimizedPlan().toString()
