@@ -65,3 +65,9 @@ def test_signals_are_found_below_the_join(spark, sf_dir, name):
     plan = catalog.queries()[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString().splitlines()
     joins = [i for i, line in enumerate(plan) if "Join Inner" in line]
     assert joins and not any("RLIKE" in line for line in plan[: joins[-1]])
+
+
+def test_lists_are_found_below_the_join(spark, sf_dir):
+    plan = catalog.queries()["synthesis_context"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    joins = [i for i, line in enumerate(plan) if "Join Inner" in line]
+    assert any("regexp_replace" in line for line in plan[joins[-1] :]) and not any("regexp_replace" in line for line in plan[: joins[-1]])
